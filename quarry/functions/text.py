@@ -42,8 +42,8 @@ def sentence_split(text) -> Column:
 
 def token_count(sentence) -> Column:
     """Default token counter: word/punctuation tokens plus the two special tokens."""
-    return F.size(F.regexp_extract_all(_col(sentence), F.lit(TOKEN_PATTERN), 0)) + F.lit(
-        SPECIAL_TOKENS)
+    return (F.regexp_count(_col(sentence), F.lit(TOKEN_PATTERN)) + F.lit(SPECIAL_TOKENS)).cast(
+        "int")
 
 
 def word_tokens(text) -> Column:
