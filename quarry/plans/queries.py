@@ -538,3 +538,114 @@ QUERIES = {
     "split_parts": q_split_parts,
     "secret_scan": q_secret_scan,
 }
+
+
+# --------------------------------------------------------------------------- approximate
+IVF_NLIST, IVF_NPROBE = 16, 8
+
+
+def _emb_tables(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    return (e.select(F.col("vec_id").alias("idx"), "embedding"),
+            e.select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+def q_knn_ivf(spark, sf):
+    from quarry.operators.ann import IvfIndex
+    corpus, q = _emb_tables(spark, sf)
+    index = IvfIndex.build(corpus, nlist=IVF_NLIST)
+    hits = index.search(q, k=K_KNN, nprobe=IVF_NPROBE)
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
+def q_ivf_refresh(spark, sf):
+    """Index built on the first batch (labels 0-4), the second batch (labels 5-9) added with
+    cells from the saved model, then every vector searched."""
+    from quarry.operators.ann import IvfIndex
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
+    first = e.where(F.col("label") < 5).select("idx", "embedding")
+    second = e.where(F.col("label") >= 5).select("idx", "embedding")
+    index = IvfIndex.build(first, nlist=IVF_NLIST).refresh(second)
+    _, q = _emb_tables(spark, sf)
+    hits = index.search(q, k=K_KNN, nprobe=IVF_NPROBE)
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
+# --------------------------------------------------------------------------- streaming
+def q_stream_ingest(spark, sf):
+    from quarry.streaming.ingest import ingest_stream
+    corpus = Corpus.create(spark)
+
+    def to_docs(batch):
+        return batch.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+                            .alias("doc_name"), "text")
+
+    ingest_stream(spark, f"{sf}/documents.parque*", corpus, to_docs)
+    return corpus.chunks()
+
+
+# --------------------------------------------------------------------------- plug-ins
+def q_custom_embedder(spark, sf):
+    from quarry.functions.embedders import trigram_embedder
+    emb = trigram_embedder(64)
+    rows = chunk_rows(_named_docs(spark, sf), ["doc_id"], "doc_name", "text", embedder=emb)
+    return rows.select("idx", "doc_name", "chunk_no", "embedding")
+
+
+# --------------------------------------------------------------------------- answers
+def _user_queries(spark, sf):
+    u = _user_turns(spark, sf)
+    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id",
+                    "text")
+
+
+def q_answers(spark, sf):
+    """User turns are questions; the next assistant turn is the model reply. Each question is
+    routed to a model (k = 10 hosted, 3 local), searched over the document corpus, and ok
+    replies become answer rows with their retrieved context."""
+    qs = gen.route_models(_user_queries(spark, sf))
+    hits = _doc_search(spark, sf, qs.select("query_id", "text"), k=gen.HOSTED_K)
+    kept = hits.join(F.broadcast(qs.select("query_id", "k")), "query_id") \
+        .where(F.col("rank") <= F.col("k")).drop("k")
+    results = srch.collect_results(kept)
+    replies = synth_responses(spark, sf).select(
+        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("query_id"), "family", "status",
+        "body")
+    parsed = gen.parse_responses(replies.join(qs.select("query_id"), "query_id", "left_semi"))
+    return gen.answers(parsed, results).select("query_id", "result", "idx_list", "doc_names",
+                                               "chunks", "served")
+
+
+SQL["stream_ingest"] = SQL["ingest_documents"]
+
+SQL["answers"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
+  uq AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations
+         WHERE role = 'user'),
+""" + O.embed_cte("q", "uq", ["query_id", "conv_id"], "text") + f""",
+  qk AS (SELECT query_id, CASE WHEN instr(m.model, '{gen.HOSTED_MARKER}') > 0
+                     THEN {gen.HOSTED_K} ELSE {gen.LOCAL_K} END AS k
+         FROM uq JOIN {_models_values()} ON m.model_no = (uq.conv_id % 3)),
+  hits AS (SELECT q.query_id, c.idx, c.doc_name, c.chunk,
+             row_number() OVER (PARTITION BY q.query_id ORDER BY
+               list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.idx) AS rank
+           FROM q, corpus c),
+  arrays AS (SELECT h.query_id, list(h.idx ORDER BY h.rank) AS idx_list,
+               list(h.doc_name ORDER BY h.rank) AS doc_names, list(h.chunk ORDER BY h.rank) AS chunks
+             FROM hits h JOIN qk USING (query_id) WHERE h.rank <= qk.k GROUP BY h.query_id),
+  parsed AS ({SQL["parse_responses"].replace("WITH r AS", "SELECT * FROM (WITH r AS", 1)})),
+  replies AS (SELECT conv_id * 1000 + turn - 1 AS query_id, result, error FROM parsed
+              WHERE conv_id * 1000 + turn - 1 IN (SELECT query_id FROM uq))
+  SELECT r.query_id, r.result, a.idx_list, a.doc_names, a.chunks,
+    to_json({{'result': r.result,
+             'doc_names': list_reduce(list_transform(a.doc_names, lambda x: [x]),
+               lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc
+                                   ELSE list_concat(acc, x) END)}})::VARCHAR AS served
+  FROM replies r LEFT JOIN arrays a USING (query_id) WHERE r.error IS NULL"""
+
+QUERIES.update({
+    "knn_ivf": q_knn_ivf,
+    "ivf_refresh": q_ivf_refresh,
+    "stream_ingest": q_stream_ingest,
+    "custom_embedder": q_custom_embedder,
+    "answers": q_answers,
+})
