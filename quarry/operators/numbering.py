@@ -47,13 +47,13 @@ def assign_dense_ids(df: DataFrame, order_cols, array_col: str, id_name: str = "
     starts = start_offsets(counted, order_cols, "_cnt", offset)
     joined = counted.join(starts, list(order_cols)).drop("_cnt")
     others = [c for c in joined.columns if c not in (array_col, "_start")]
-    return (joined.select(*others, "_start", F.posexplode_outer(array_col))
-                  .where(F.col("pos").isNotNull())
+    return (joined.select(*others, "_start",
+                          F.posexplode_outer(array_col).alias("_p", "_e"))
+                  .where(F.col("_p").isNotNull())
                   .select(*others,
-                          (F.col("_start") + F.col("pos") + 1).alias(id_name),
-                          F.col("pos").cast("int").alias(pos_name),
-                          F.col("col").alias(array_col))
-                  .drop())
+                          (F.col("_start") + F.col("_p") + 1).alias(id_name),
+                          F.col("_p").cast("int").alias(pos_name),
+                          F.col("_e").alias(array_col)))
 
 
 def next_idx(corpus: DataFrame, id_col: str = "idx") -> DataFrame:
