@@ -2,9 +2,10 @@
 
 ``readStream`` over the document files -> ``foreachBatch`` runs the batch ingest (chunk,
 number from the corpus' ``next_idx``, embed, append). There is no event time, so no
-watermark. Each micro-batch records its id in a marker folder after its rows are written; a
-replayed batch whose marker exists is skipped, so a restart after a failure neither loses nor
-duplicates rows. ``foreachBatch`` runs batches one at a time (single writer).
+watermark. Micro-batch ``n`` is written as corpus batch ``s<n>``: a replay after a failure
+(the checkpoint re-delivers the same files for the same id) rewrites exactly that batch with
+the same ids, so nothing is lost or duplicated. ``foreachBatch`` runs batches one at a time
+(single writer).
 """
 
 from __future__ import annotations
@@ -17,12 +18,6 @@ from quarry.session import scratch_path
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def _marker_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
-
-
 def ingest_stream(spark: SparkSession, source_glob: str, corpus: Corpus, to_docs,
                   checkpoint: str | None = None, schema: str = DOC_SCHEMA,
                   order_cols=("doc_id",), max_files_per_trigger: int | None = None):
@@ -37,11 +32,8 @@ def ingest_stream(spark: SparkSession, source_glob: str, corpus: Corpus, to_docs
     stream = reader.parquet(source_glob)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{corpus.path}/_batches/{batch_id}"
-        if _marker_exists(spark, marker):
-            return
-        corpus.append_documents(to_docs(batch), order_cols=order_cols)
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").json(marker)
+        corpus.append_documents(to_docs(batch), order_cols=order_cols,
+                                batch=f"s{batch_id:012d}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
                .option("checkpointLocation", checkpoint)

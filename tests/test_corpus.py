@@ -47,7 +47,7 @@ def test_append_chunks_and_rejects_bad_vectors(spark, tmpdir_session):
     assert [r["chunk"] for r in c.chunks().orderBy("idx").collect()] == ["hello world", "second"]
     bad = spark.createDataFrame([(9, "x", 0, "x", [1.0])], c.chunks().schema)
     with pytest.raises(ValueError):
-        c._write(bad)
+        c._write(bad, "x")
 
 
 def test_search_tiny_corpus_rank1(spark, tmpdir_session):

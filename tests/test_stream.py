@@ -18,3 +18,15 @@ def test_entry_smoke(spark):
     assert df.columns == ["query_id", "rank", "idx", "doc_name", "chunk", "distance"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_replayed_batch_is_idempotent(spark, tmpdir_session):
+    from quarry.plans.corpus import Corpus
+    c = Corpus.create(spark, f"{tmpdir_session}/replay")
+    d1 = spark.createDataFrame([(1, "a", "One. Two.")], "doc_id long, doc_name string, text string")
+    d2 = spark.createDataFrame([(2, "b", "Three.")], "doc_id long, doc_name string, text string")
+    c.append_documents(d1, batch="s1")
+    c.append_documents(d2, batch="s2")
+    c.append_documents(d2, batch="s2")  # replay of the same micro-batch
+    rows = [(r["idx"], r["doc_name"]) for r in c.chunks().orderBy("idx").collect()]
+    assert rows == [(1, "a"), (2, "b")]
