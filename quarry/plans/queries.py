@@ -108,11 +108,15 @@ def q_ingest_entries(spark, sf):
 
 
 def q_upsert_chunks(spark, sf):
+    """Chunks appended one batch at a time (English documents first, then the rest); each
+    append numbers its rows from the corpus' ``next_idx``."""
     docs = _docs(spark, sf).select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast(
         "string")).alias("doc_name"), "text", "lang")
+    chunks = chunking.chunkify(spread(docs, "doc_id"), id_cols=("doc_id", "doc_name", "lang"))
     corpus = Corpus.create(spark)
-    corpus.append_documents(docs.where(F.col("lang") == "en"))
-    corpus.append_documents(docs.where(F.col("lang") != "en"))
+    order = ("doc_id", "chunk_no")
+    corpus.append_chunks(chunks.where(F.col("lang") == "en"), order_cols=order)
+    corpus.append_chunks(chunks.where(F.col("lang") != "en"), order_cols=order)
     return corpus.chunks().select("idx", "doc_name", "chunk_no", "chunk")
 
 
