@@ -38,13 +38,27 @@ def start_offsets(df: DataFrame, order_cols, count_col: str, offset=0,
                  .select(*order_cols, (F.col("_base") + F.col("_local") + off).alias("_start")))
 
 
+MAX_BROADCAST_OFFSETS = 4_000_000  # (key, start) rows, ~16 bytes each
+
+
 def assign_dense_ids(df: DataFrame, order_cols, array_col: str, id_name: str = "idx",
-                     offset=0, pos_name: str = "pos") -> DataFrame:
+                     offset=0, pos_name: str = "pos", n_rows: int | None = None) -> DataFrame:
     """Explode ``array_col`` of every row into rows numbered ``offset+1 ...`` densely, in
     ``order_cols`` order then array position. Rows stay whole until after the join, so one
-    huge array is one row in the shuffle, not a skewed key of many rows."""
+    huge array is one row in the shuffle, not a skewed key of many rows.
+
+    The (key, start) table is broadcast only when ``n_rows`` (the caller's row count) proves
+    it small; otherwise a shuffled hash join builds on it. Either way the document rows are
+    the streamed side, so the explode and everything after it keep the rows' parallelism
+    (left to itself, AQE may broadcast a small document side and stream the one-partition
+    offsets instead).
+    """
     counted = df.withColumn("_cnt", F.size(array_col))
     starts = start_offsets(counted, order_cols, "_cnt", offset)
+    if n_rows is not None and n_rows <= MAX_BROADCAST_OFFSETS:
+        starts = F.broadcast(starts)
+    else:
+        starts = starts.hint("shuffle_hash")
     joined = counted.join(starts, list(order_cols)).drop("_cnt")
     others = [c for c in joined.columns if c not in (array_col, "_start")]
     return (joined.select(*others, "_start",
