@@ -64,3 +64,26 @@ def test_split_parts_rules(spark):
     assert parts == [(1, 0, 0, 2, 8), (1, 1, 2, 2, 7)]
     many = split_parts(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), 10)
     assert many.count() == 2  # target 0: one line per part
+
+
+def test_append_text_and_part_lines(spark, tmp_path):
+    from quarry.operators.splitting import append_text, part_lines
+    df = spark.createDataFrame([(1, "aaaa\nbb\ncccc\nd")], "doc_id long, text string")
+    lines = part_lines(df, 2).orderBy("line_no").collect()
+    assert [(r["part"], r["line"]) for r in lines] == [(0, "aaaa"), (0, "bb"), (1, "cccc"),
+                                                        (1, "d")]
+    out = str(tmp_path / "parts")
+    append_text(spark.createDataFrame([("x",)], "value string"), out)
+    append_text(spark.createDataFrame([("y",)], "value string"), out)  # created, then appended
+    assert sorted(r[0] for r in spark.read.text(out).collect()) == ["x", "y"]
+
+
+def test_answers_join(spark):
+    parsed = spark.createDataFrame([(1, 200, "A", None), (2, 500, None, "failed")],
+                                   "query_id long, status int, result string, error string")
+    results = spark.createDataFrame([(1, [5, 6], ["d1", "d1"], ["c5", "c6"])],
+                                    "query_id long, idx_list array<long>, doc_names array<string>,"
+                                    " chunks array<string>")
+    rows = gen.answers(parsed, results).collect()
+    assert len(rows) == 1 and rows[0]["idx_list"] == [5, 6]
+    assert json.loads(rows[0]["served"]) == {"result": "A", "doc_names": ["d1"]}

@@ -77,3 +77,26 @@ def test_ivf_recall_floor(spark):
     idx = IvfIndex.build(corpus, nlist=8)
     assert recall_at_k(idx.search(q, k=10, nprobe=8), exact) == pytest.approx(1.0)
     assert recall_at_k(idx.search(q, k=10, nprobe=4), exact) > 0.6
+
+
+def test_ivf_refresh_assigns_new_rows(spark):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    first = e.where("label < 5").select(F.col("vec_id").alias("idx"), "embedding")
+    second = e.where("label >= 5").select(F.col("vec_id").alias("idx"), "embedding")
+    idx = IvfIndex.build(first, nlist=4).refresh(second)
+    assert idx.assigned.count() == e.count()
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    hits = idx.search(q, k=5, nprobe=4)  # all cells probed: exact
+    assert recall_at_k(hits, knn_ops.knn(corpus, q, k=5)) == pytest.approx(1.0)
+
+
+def test_pandas_embedder_plugin(spark):
+    from quarry.functions.embedders import PandasEmbedder, trigram_embedder
+    df = spark.createDataFrame([("hello world",), ("",)], "t string")
+    rows = [r[0] for r in df.select(trigram_embedder(16)(F.col("t"))).collect()]
+    assert len(rows[0]) == 16 and sum(x * x for x in rows[0]) == pytest.approx(1.0, 1e-5)
+    bad = PandasEmbedder("bad", 4, lambda: (lambda texts: np.zeros((len(texts), 3))))
+    with pytest.raises(Exception):
+        df.select(bad(F.col("t"))).collect()
