@@ -609,7 +609,7 @@ def q_answers(spark, sf):
     replies become answer rows with their retrieved context."""
     qs = gen.route_models(_user_queries(spark, sf))
     hits = _doc_search(spark, sf, qs.select("query_id", "text"), k=gen.HOSTED_K)
-    kept = hits.join(F.broadcast(qs.select("query_id", "k")), "query_id") \
+    kept = hits.join(qs.select("query_id", "k"), "query_id") \
         .where(F.col("rank") <= F.col("k")).drop("k")
     results = srch.collect_results(kept)
     replies = synth_responses(spark, sf).select(

@@ -45,11 +45,14 @@ def page_range(pages: DataFrame, first: int, last: int, doc_col: str = "doc",
     """(doc, first_page, last_page, text): inclusive range, bounds clamped to 1..n (n = last
     page of the document); a reversed range is read in flipped order bounds."""
     n = pages.groupBy(doc_col).agg(F.max(page_col).alias("_n"))  # partial + final aggregate
+    # every selected page lies in 1..max(first, last): prune the rest before the join (the
+    # bound also reaches the Parquet scan), so a huge document sends only its range
     lo = F.greatest(F.lit(first), F.lit(1))
     hi = F.least(F.lit(last), F.col("_n"))
     bounds = n.select(doc_col, F.least(lo, hi).alias("first_page"),
                       F.greatest(lo, hi).alias("last_page"))
-    sel = (pages.where(F.col(text_col).isNotNull())
+    sel = (pages.where(F.col(text_col).isNotNull() & (F.col(page_col) >= 1) &
+                       (F.col(page_col) <= F.lit(max(first, last))))
                 .join(bounds, doc_col)
                 .where(F.col(page_col).between(F.col("first_page"), F.col("last_page"))))
     return (sel.groupBy(doc_col, "first_page", "last_page")
