@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,28 +61,61 @@ class TokenCounter(Protocol):
     def __call__(self, sentence: Column) -> Column: ...
 
 
-def chunk_starts(costs, limit: int) -> Column:
-    """0-based index of the first sentence of every chunk, by greedy packing.
+STARTS_BLOCK = 2048
 
-    A sentence joins the open chunk while ``open_len + cost <= limit`` (inclusive); otherwise it
-    opens a new chunk. An over-long sentence forms its own chunk and is never cut. Only chunk
-    starts are appended to the fold state, so the work is linear in sentences plus the number of
-    chunks squared (chunks are ~limit/cost sentences long).
-    """
-    init = F.struct(F.lit(0).alias("len"), F.lit(0).alias("i"),
+
+def _fold_block(costs: Column, limit: int, length, i, opened):
+    """Greedy fold over one block of costs, continuing from (length, i, opened); returns
+    struct<len, i, opened, starts> with the block's chunk starts (global indices)."""
+    init = F.struct(length.alias("len"), i.alias("i"), opened.alias("opened"),
                     F.array().cast("array<int>").alias("starts"))
 
     def step(acc, c):
-        fits = (F.size(acc["starts"]) > 0) & (acc["len"] + c <= F.lit(limit))
+        fits = acc["opened"] & (acc["len"] + c <= F.lit(limit))
         return F.when(
             fits,
             F.struct((acc["len"] + c).alias("len"), (acc["i"] + 1).alias("i"),
-                     acc["starts"].alias("starts")),
+                     F.lit(True).alias("opened"), acc["starts"].alias("starts")),
         ).otherwise(
-            F.struct(c.alias("len"), (acc["i"] + 1).alias("i"),
+            F.struct(c.alias("len"), (acc["i"] + 1).alias("i"), F.lit(True).alias("opened"),
                      F.array_append(acc["starts"], acc["i"]).alias("starts")))
 
-    return F.aggregate(_col(costs), init, step, lambda acc: acc["starts"])
+    return F.aggregate(costs, init, step)
+
+
+def chunk_starts(costs, limit: int, block: int = STARTS_BLOCK) -> Column:
+    """0-based index of the first sentence of every chunk, by greedy packing.
+
+    A sentence joins the open chunk while ``open_len + cost <= limit`` (inclusive); otherwise it
+    opens a new chunk. An over-long sentence forms its own chunk and is never cut.
+
+    Native and near-linear for any document length: the costs are folded in blocks of
+    ``block`` sentences; each block appends starts to its own small array and the outer fold
+    appends one array reference per block, flattened at the end (no array that grows with the
+    whole document is copied per sentence).
+    """
+    costs = _col(costs)
+
+    def run(cs):
+        n = F.size(cs)
+        nb = F.ceil(n / F.lit(block)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), nb - 1),
+                             lambda b: F.slice(cs, b * F.lit(block) + 1, F.lit(block)))
+        init = F.struct(F.lit(0).alias("len"), F.lit(0).alias("i"),
+                        F.lit(False).alias("opened"),
+                        F.array().cast("array<array<int>>").alias("parts"))
+
+        def outer(o, blk):
+            return let(_fold_block(blk, limit, o["len"], o["i"], o["opened"]),
+                       lambda r: F.struct(r["len"].alias("len"), r["i"].alias("i"),
+                                          r["opened"].alias("opened"),
+                                          F.array_append(o["parts"], r["starts"]).alias(
+                                              "parts")))
+
+        folded = F.aggregate(blocks, init, outer, lambda o: F.flatten(o["parts"]))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(folded)
+
+    return let(costs, run)
 
 
 def _bounds(starts: Column, n: Column):
@@ -94,19 +128,55 @@ def _bounds(starts: Column, n: Column):
             (F.when(j + 1 < nchunks, starts[j + 1]).otherwise(n) - starts[j]).alias("n")))
 
 
-def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS) -> Column:
+LONG_DOC_SENTENCES = None  # native blocked fold handles long documents
+
+
+def greedy_starts(costs, limit: int) -> list:
+    """Linear greedy packing on one cost list (reference semantics of ``chunk_starts``)."""
+    out, cur = [], 0
+    for i, c in enumerate(costs):
+        if out and cur + c <= limit:
+            cur += c
+        else:
+            out.append(i)
+            cur = c
+    return out
+
+
+def _starts_udf(limit: int):
+    @F.pandas_udf("array<int>")
+    def starts(costs: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else greedy_starts(c, limit) for c in costs])
+    return starts
+
+
+def chunk_starts_any_length(costs, limit: int,
+                            long_threshold: int = LONG_DOC_SENTENCES) -> Column:
+    """Chunk starts that stay linear for very long documents: rows with more than
+    ``long_threshold`` sentences send only their int cost array through Arrow to a linear
+    loop; all other rows use the native fold. ``costs`` must be a column (not a lambda
+    variable): Python UDFs cannot run inside higher-order functions."""
+    costs = _col(costs)
+    is_long = F.size(costs) > F.lit(long_threshold)
+    linear = _starts_udf(limit)(F.when(is_long, costs))
+    return F.when(is_long, linear).otherwise(chunk_starts(costs, limit))
+
+
+def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS, starts=None) -> Column:
     """``array<struct<chunk:string, n_tokens:int, first_sentence:int, n_sentences:int>>``.
 
     Sentences of a chunk are joined with one space. Empty input gives an empty array.
+    ``starts`` may carry precomputed chunk starts (see ``chunk_starts_any_length``).
     """
     sentences, costs = _col(sentences), _col(costs)
 
-    def build(sents, cs):
+    def build(sents, cs, st):
         n = F.size(sents)
         return F.when(n == 0, F.array().cast(
             "array<struct<chunk:string,n_tokens:int,first_sentence:int,n_sentences:int>>")
-        ).otherwise(let(chunk_starts(cs, limit), lambda starts: F.transform(
-            _bounds(starts, n),
+        ).otherwise(let(chunk_starts(cs, limit) if st is None else st,
+                        lambda starts_: F.transform(
+            _bounds(starts_, n),
             lambda b: F.struct(
                 F.array_join(F.slice(sents, b["s"] + 1, b["n"]), " ").alias("chunk"),
                 F.aggregate(F.slice(cs, b["s"] + 1, b["n"]), F.lit(0),
@@ -114,8 +184,11 @@ def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS) -> Column:
                 b["s"].alias("first_sentence"),
                 b["n"].alias("n_sentences")))))
 
-    return let(F.struct(sentences.alias("s"), costs.alias("c")),
-               lambda sc: build(sc["s"], sc["c"]))
+    fields = [sentences.alias("s"), costs.alias("c")]
+    if starts is not None:
+        fields.append(_col(starts).alias("st"))
+    return let(F.struct(*fields),
+               lambda sc: build(sc["s"], sc["c"], sc["st"] if starts is not None else None))
 
 
 def sentence_chunk_numbers(costs, limit: int = DEFAULT_CHUNK_TOKENS) -> Column:

@@ -12,7 +12,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (DEFAULT_CHUNK_TOKENS, let, pack_chunks,
+from quarry.functions.text import (DEFAULT_CHUNK_TOKENS, LONG_DOC_SENTENCES,
+                                   chunk_starts_any_length, let, pack_chunks,
                                    sentence_chunk_numbers, sentence_split, token_count)
 
 # A sentence-array counter maps array<string> -> array<int>; the default stays native.
@@ -64,20 +65,34 @@ def token_counts(df: DataFrame, id_cols=("doc_id",), text_col: str = "text",
 
 
 def with_chunks(df: DataFrame, text_col: str = "text", limit: int = DEFAULT_CHUNK_TOKENS,
-                counter: ArrayCounter = default_counter) -> DataFrame:
-    """Adds ``_chunks: array<struct<chunk, n_tokens, first_sentence, n_sentences>>``."""
-    return (with_sentences(df, text_col, counter)
-            .withColumn("_chunks", pack_chunks(F.col("_sents"), F.col("_costs"), limit))
-            .drop("_sents", "_costs"))
+                counter: ArrayCounter = default_counter,
+                long_threshold: int | None = LONG_DOC_SENTENCES) -> DataFrame:
+    """Adds ``_chunks: array<struct<chunk, n_tokens, first_sentence, n_sentences>>``.
+
+    Documents with more than ``long_threshold`` sentences get their chunk starts from a
+    linear Arrow loop over the cost array (the native fold is quadratic in chunks per
+    document); ``None`` keeps everything native.
+    """
+    base = with_sentences(df, text_col, counter)
+    if long_threshold is None:
+        return (base.withColumn("_chunks", pack_chunks(F.col("_sents"), F.col("_costs"), limit))
+                    .drop("_sents", "_costs"))
+    return (base.withColumn("_starts", chunk_starts_any_length(F.col("_costs"), limit,
+                                                               long_threshold))
+                .withColumn("_chunks", pack_chunks(F.col("_sents"), F.col("_costs"), limit,
+                                                   F.col("_starts")))
+                .drop("_sents", "_costs", "_starts"))
 
 
 def chunkify(df: DataFrame, id_cols=("doc_id",), text_col: str = "text",
              limit: int = DEFAULT_CHUNK_TOKENS,
-             counter: ArrayCounter = default_counter) -> DataFrame:
+             counter: ArrayCounter = default_counter,
+             long_threshold: int | None = LONG_DOC_SENTENCES) -> DataFrame:
     """(id..., chunk_no, chunk, n_tokens): greedy packing of whole sentences up to ``limit``
     tokens; an over-long sentence is its own chunk; an empty text yields no chunk."""
     ids = [F.col(c) for c in id_cols]
-    return (with_chunks(df.select(*ids, F.col(text_col)), text_col, limit, counter)
+    return (with_chunks(df.select(*ids, F.col(text_col)), text_col, limit, counter,
+                        long_threshold)
             .select(*ids, F.posexplode_outer("_chunks"))
             .where(F.col("pos").isNotNull())
             .select(*ids, F.col("pos").cast("int").alias("chunk_no"),

@@ -90,3 +90,26 @@ def test_chunk_properties_on_fixture(spark):
     multi = nums.groupBy("doc_id", "chunk_no").agg(F.count("*").alias("n"),
                                                    F.sum("n_tokens").alias("t"))
     assert multi.where((F.col("n") > 1) & (F.col("t") > 128)).count() == 0
+
+
+def test_long_document_linear_path_equals_native(spark):
+    from quarry.functions.text import greedy_starts
+    text = " ".join(f"Sentence number {i} has {'word ' * (i % 7)}end." for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, GOLDEN)], "doc_id long, text string")
+    fast = [tuple(r) for r in chunking.chunkify(df, limit=50, long_threshold=100).collect()]
+    native = [tuple(r) for r in chunking.chunkify(df, limit=50, long_threshold=None).collect()]
+    assert sorted(fast) == sorted(native) and len(fast) > 100
+    assert greedy_starts([9, 9, 10, 11, 11], 20) == [0, 2, 3, 4]
+
+
+def test_blocked_fold_equals_linear_reference(spark):
+    import random
+    from quarry.functions.text import chunk_starts, greedy_starts
+    rnd = random.Random(7)
+    rows = []
+    for n in [0, 1, 2, 5, 7, 8, 9, 31, 64, 65, 300]:
+        rows.append([rnd.randint(1, 9) for _ in range(n)])
+    rows.append([12, 1, 1, 15, 2, 2, 2, 30, 1])  # over-long sentences
+    df = spark.createDataFrame([(r,) for r in rows], "c array<int>")
+    got = [r[0] for r in df.select(chunk_starts("c", 10, block=4)).collect()]
+    assert got == [greedy_starts(r, 10) for r in rows]
