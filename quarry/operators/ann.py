@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import knn as knn_ops
+from quarry.session import scratch_path
 
 
 class IvfIndex:
@@ -72,22 +73,35 @@ class IvfIndex:
         empty = spark.createDataFrame([], "query_id long, rank int, idx long, distance double")
         if k <= 0:
             return empty
-        outs = []
-        for qpdf in knn_ops._query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
-            qpdf = qpdf[qpdf[qvec_col].notna()]
-            if len(qpdf) == 0:
-                continue
-            Q = knn_ops._as_matrix(qpdf[qvec_col].to_numpy())
-            pr = self.probes(Q, nprobe)
-            cells = sorted({int(c) for c in np.unique(pr)})
-            scan = self.assigned.where(F.col("cell").isin(cells))
-            outs.append(knn_ops.partial_hits(scan, qpdf, k, metric, "idx", "embedding",
-                                             qid_col, qvec_col, cell_col="cell", probes=pr))
-        if not outs:
+        stats = queries.agg(F.count(F.lit(1)).alias("n"),
+                            F.max(F.size(qvec_col)).alias("d")).first()
+        n, d = int(stats["n"]), int(stats["d"] or 0)
+        if n == 0:
             return empty
-        hits = outs[0]
-        for o in outs[1:]:
-            hits = hits.unionByName(o)
+        if n * (max(1, d) * 8 + 64) <= max_broadcast_bytes:
+            return self._search_block(queries.select(qid_col, qvec_col).toPandas(), k,
+                                      nprobe, metric, qid_col, qvec_col) or empty
+        # above the broadcast bound: one query block at a time, hits written to the
+        # checkpoint folder so the driver never holds more than one block
+        path = scratch_path(spark, "ivf-hits")
+        wrote = False
+        for qpdf in knn_ops._query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
+            hits = self._search_block(qpdf, k, nprobe, metric, qid_col, qvec_col)
+            if hits is not None:
+                hits.write.mode("append").parquet(path)
+                wrote = True
+        return spark.read.parquet(path) if wrote else empty
+
+    def _search_block(self, qpdf, k, nprobe, metric, qid_col, qvec_col):
+        qpdf = qpdf[qpdf[qvec_col].notna()]
+        if len(qpdf) == 0:
+            return None
+        Q = knn_ops._as_matrix(qpdf[qvec_col].to_numpy())
+        pr = self.probes(Q, nprobe)
+        cells = sorted({int(c) for c in np.unique(pr)})
+        scan = self.assigned.where(F.col("cell").isin(cells))  # partition pruning when stored
+        hits = knn_ops.partial_hits(scan, qpdf, k, metric, "idx", "embedding", qid_col,
+                                    qvec_col, cell_col="cell", probes=pr)
         return knn_ops.final_topk(hits, k)
 
 

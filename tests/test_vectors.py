@@ -100,3 +100,15 @@ def test_pandas_embedder_plugin(spark):
     bad = PandasEmbedder("bad", 4, lambda: (lambda texts: np.zeros((len(texts), 3))))
     with pytest.raises(Exception):
         df.select(bad(F.col("t"))).collect()
+
+
+def test_ivf_blocked_queries_equal_single_block(spark):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    idx = IvfIndex.build(corpus, nlist=8)
+    one = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3).collect())
+    many = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3,
+                                                max_broadcast_bytes=20_000).collect())
+    assert one == many and len(one) == 500 * 5
