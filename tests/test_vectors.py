@@ -112,3 +112,21 @@ def test_ivf_blocked_queries_equal_single_block(spark):
     many = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3,
                                                 max_broadcast_bytes=20_000).collect())
     assert one == many and len(one) == 500 * 5
+
+
+def test_knn_cosine_metric(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, (rng.normal(size=6) * (i % 3 + 1)).astype(np.float32).tolist())
+            for i in range(120)]
+    corpus = _vecs(spark, data)
+    q = _vecs(spark, data[:10], "query_id")
+    got = sorted(tuple(r) for r in knn_ops.knn(corpus, q, k=4, metric="cosine").collect())
+    pairs = (q.withColumnRenamed("embedding", "qe").crossJoin(corpus)
+             .select("query_id", "idx", (1 - cosine_similarity("qe", "embedding")).alias("d")))
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy("d", "idx")
+    brute = (pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
+             .select("query_id", "rank", "idx", "d").collect())
+    assert [(r[0], r[1], r[2]) for r in got] == sorted((r[0], r[1], r[2]) for r in brute)
+    for a, b in zip(got, sorted(tuple(r) for r in brute)):
+        assert a[3] == pytest.approx(b[3], abs=1e-9)
