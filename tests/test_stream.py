@@ -30,3 +30,31 @@ def test_replayed_batch_is_idempotent(spark, tmpdir_session):
     c.append_documents(d2, batch="s2")  # replay of the same micro-batch
     rows = [(r["idx"], r["doc_name"]) for r in c.chunks().orderBy("idx").collect()]
     assert rows == [(1, "a"), (2, "b")]
+
+
+def test_stream_restart_picks_up_only_new_files(spark, tmp_path):
+    from conftest import SF001
+    from quarry.plans.corpus import Corpus, chunk_rows
+    from quarry.streaming.ingest import ingest_stream
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    src = str(tmp_path / "incoming")
+    docs.where("doc_id % 2 = 0").coalesce(1).write.parquet(f"{src}/part1")
+    corpus = Corpus.create(spark, str(tmp_path / "corpus"))
+    ckpt = str(tmp_path / "ckpt")
+
+    def to_docs(b):
+        return b.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+                        .alias("doc_name"), "text")
+
+    ingest_stream(spark, f"{src}/*", corpus, to_docs, checkpoint=ckpt)
+    n1 = corpus.chunks().count()
+    docs.where("doc_id % 2 = 1").coalesce(1).write.parquet(f"{src}/part2")
+    ingest_stream(spark, f"{src}/*", corpus, to_docs, checkpoint=ckpt)  # restart
+    got = sorted((r["doc_name"], r["chunk_no"], r["chunk"]) for r in corpus.chunks().collect())
+    first = to_docs(docs.where("doc_id % 2 = 0"))
+    second = to_docs(docs.where("doc_id % 2 = 1"))
+    want = sorted((r["doc_name"], r["chunk_no"], r["chunk"]) for r in
+                  chunk_rows(first).unionByName(chunk_rows(second)).collect())
+    assert got == want and 0 < n1 < len(got)
+    ids = sorted(r["idx"] for r in corpus.chunks().collect())
+    assert ids == list(range(1, len(got) + 1))
