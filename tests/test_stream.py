@@ -16,8 +16,17 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.columns == ["query_id", "rank", "idx", "doc_name", "chunk", "distance"]
-    assert df.count() > 0
+    rows = df.collect()
+    assert len(rows) > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+    # property: within a query, distance never decreases with rank; ranks are 1..k
+    by_q = {}
+    for r in rows:
+        by_q.setdefault(r["query_id"], []).append((r["rank"], r["distance"]))
+    for hits in by_q.values():
+        hits.sort()
+        assert [h[0] for h in hits] == list(range(1, len(hits) + 1))
+        assert all(a[1] <= b[1] for a, b in zip(hits, hits[1:]))
 
 
 def test_replayed_batch_is_idempotent(spark, tmpdir_session):
