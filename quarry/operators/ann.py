@@ -34,10 +34,23 @@ class IvfIndex:
                      .drop("_features").withColumn("cell", F.col("cell").cast("int")))
 
     @classmethod
-    def build(cls, corpus: DataFrame, nlist: int = 16, seed: int = 42, max_iter: int = 20,
-              sample_fraction: float | None = None, id_col: str = "idx",
-              vec_col: str = "embedding", path: str | None = None) -> "IvfIndex":
+    def build(cls, corpus: DataFrame, nlist: int | None = 16, seed: int = 42,
+              max_iter: int = 20, sample_fraction: float | None = None,
+              id_col: str = "idx", vec_col: str = "embedding", path: str | None = None,
+              max_train_rows: int | None = 1_000_000) -> "IvfIndex":
+        """Fit ``nlist`` cells (``None``: about sqrt(rows), 16..65536) and assign every row.
+
+        Training uses at most ``max_train_rows`` rows (a seeded sample when the corpus is
+        larger) unless ``sample_fraction`` is given; assignment always covers all rows.
+        """
         rows = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+        n = None
+        if nlist is None or (sample_fraction is None and max_train_rows is not None):
+            n = rows.count()
+        if nlist is None:
+            nlist = int(min(65536, max(16, round(n ** 0.5))))
+        if sample_fraction is None and max_train_rows is not None and n and n > max_train_rows:
+            sample_fraction = max_train_rows / n
         train = rows if sample_fraction is None else rows.sample(fraction=sample_fraction,
                                                                  seed=seed)
         km = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features",

@@ -130,3 +130,12 @@ def test_knn_cosine_metric(spark):
     assert [(r[0], r[1], r[2]) for r in got] == sorted((r[0], r[1], r[2]) for r in brute)
     for a, b in zip(got, sorted(tuple(r) for r in brute)):
         assert a[3] == pytest.approx(b[3], abs=1e-9)
+
+
+def test_ivf_sampled_training_and_auto_nlist(spark):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    idx = IvfIndex.build(corpus, nlist=None, max_train_rows=200)  # trains on a sample
+    assert idx.centroids.shape[0] == 22  # round(sqrt(500))
+    assert idx.assigned.count() == 500  # every vector still gets a cell
