@@ -83,3 +83,21 @@ def test_read_text_docs_missing_file(spark, tmp_path):
     df = read_text_docs(spark, [str(p), str(tmp_path / "missing.txt")], ["a", "m"])
     got = {r["doc_name"]: r["text"] for r in df.collect()}
     assert got == {"a": "line one\nline two\n", "m": ""}
+
+
+def test_list_corpora_from_folder(spark, tmp_path):
+    from quarry.plans.catalog import list_corpora
+    for name in ["greek_data.json", "greek.db", "greek.bin", ".DS_Store", "notes_data_v2.json"]:
+        (tmp_path / name).write_text("x")
+    names = sorted(r[0] for r in list_corpora(spark, str(tmp_path)).collect())
+    assert names == ["greek", "notes_data_v2"]
+
+
+def test_read_models_file(spark, tmp_path):
+    from quarry.sources.models import read_models
+    p = tmp_path / "models.txt"
+    p.write_text("openai:gpt-3.5-turbo\nmistral:7b-instruct\n\ngemma:7b-instruct\n")
+    rows = [(r["model_no"], r["model"]) for r in read_models(spark, str(p)).orderBy("model_no")
+            .collect()]
+    assert rows == [(0, "openai:gpt-3.5-turbo"), (1, "mistral:7b-instruct"),
+                    (2, "gemma:7b-instruct")]
