@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Key formats looked for. ``(group 1)`` is the secret; the surrounding
-# non-alphanumeric guard keeps a match from being part of a longer token.
+# Key formats looked for. Each entry is (kind, candidate, anchored format):
+# the candidate pattern takes a whole alphanumeric run that starts after a non-alphanumeric
+# character (or the text start) and consumes only that leading character, so secrets one
+# separator apart are all found; the anchored format then decides.
 SECRET_PATTERNS = (
-    ("api_key", r"(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20})(?:[^A-Za-z0-9]|$)"),
-    ("hex40", r"(?:^|[^A-Za-z0-9])([0-9a-f]{40})(?:[^A-Za-z0-9]|$)"),
+    ("api_key", r"(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9]*)",
+     r"^sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20}$"),
+    ("hex40", r"(?:^|[^A-Za-z0-9])([0-9a-f]{40}[A-Za-z0-9]*)", r"^[0-9a-f]{40}$"),
 )
 KEY_FORMAT = r"^sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20}$"
 
 
+def _matches(fmt: str):
+    return lambda h: h.rlike(fmt)
+
+
 def is_key_format(col) -> F.Column:
     """Anchored key-format predicate for one value."""
     col = F.col(col) if isinstance(col, str) else col
@@ -25,8 +32,9 @@ def secret_scan(df: DataFrame, id_cols=("doc_id",), text_col: str = "text",
     """(ids..., kind, hit_no, secret): one row per hit, hits numbered in text order."""
     ids = [F.col(c) for c in id_cols]
     found = F.array(*[F.struct(F.lit(kind).alias("kind"),
-                               F.regexp_extract_all(F.col(text_col), F.lit(pat), 1).alias("hits"))
-                      for kind, pat in patterns])
+                               F.filter(F.regexp_extract_all(F.col(text_col), F.lit(cand), 1),
+                                        _matches(fmt)).alias("hits"))
+                      for kind, cand, fmt in patterns])
     per_kind = df.select(*ids, F.explode(found).alias("k"))
     return (per_kind.select(*ids, F.col("k.kind").alias("kind"),
                             F.posexplode_outer("k.hits"))

@@ -478,15 +478,17 @@ SQL["split_parts"] = f"""WITH RECURSIVE
          CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(cost) AS BIGINT) AS n_bytes
   FROM r GROUP BY doc_id, part"""
 
-SQL["secret_scan"] = """WITH k AS (
-    SELECT doc_id, 'api_key' AS kind, regexp_extract_all(text,
-      '(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20})(?:[^A-Za-z0-9]|$)', 1) AS hits
-    FROM documents
-    UNION ALL
-    SELECT doc_id, 'hex40' AS kind, regexp_extract_all(text,
-      '(?:^|[^A-Za-z0-9])([0-9a-f]{40})(?:[^A-Za-z0-9]|$)', 1) AS hits FROM documents)
+def _secret_sql() -> str:
+    from quarry.operators.secrets import SECRET_PATTERNS
+    parts = [f"""SELECT doc_id, '{kind}' AS kind,
+      list_filter(regexp_extract_all(text, '{cand}', 1), lambda h: regexp_matches(h, '{fmt}'))
+      AS hits FROM documents""" for kind, cand, fmt in SECRET_PATTERNS]
+    return ("WITH k AS (" + " UNION ALL ".join(parts) + """)
   SELECT doc_id, kind, CAST(i - 1 AS INTEGER) AS hit_no, hits[i] AS secret
-  FROM (SELECT doc_id, kind, hits, generate_subscripts(hits, 1) AS i FROM k)"""
+  FROM (SELECT doc_id, kind, hits, generate_subscripts(hits, 1) AS i FROM k)""")
+
+
+SQL["secret_scan"] = _secret_sql()
 
 
 def _html_sql(col: str = "html") -> str:

@@ -49,10 +49,13 @@ def test_route_models_k(spark):
 
 def test_secret_scan_and_key_format(spark):
     key = "sk-" + "a" * 20 + "T3BlbkFJ" + "b" * 20
-    df = spark.createDataFrame([(1, f"x {key} y {'f' * 40}."), (2, "no secrets")],
+    df = spark.createDataFrame([(1, f"x {key} y {'f' * 40}."), (2, "no secrets"),
+                                (3, f"{'a' * 40} {'b' * 40},{'c' * 41} x{'d' * 40}")],
                                "doc_id long, text string")
-    hits = sorted((r["kind"], r["secret"]) for r in secret_scan(df).collect())
-    assert hits == [("api_key", key), ("hex40", "f" * 40)]
+    hits = sorted((r["doc_id"], r["kind"], r["secret"]) for r in secret_scan(df).collect())
+    # one separator between two secrets: both found; 41 chars or a glued prefix: none
+    assert hits == [(1, "api_key", key), (1, "hex40", "f" * 40),
+                    (3, "hex40", "a" * 40), (3, "hex40", "b" * 40)]
     assert df.select(is_key_format(F.lit(key))).first()[0] is True
 
 
