@@ -101,3 +101,19 @@ def test_read_models_file(spark, tmp_path):
             .collect()]
     assert rows == [(0, "openai:gpt-3.5-turbo"), (1, "mistral:7b-instruct"),
                     (2, "gemma:7b-instruct")]
+
+
+def test_search_block_pruning_matches_full_scan(spark, tmpdir_session, monkeypatch):
+    from conftest import SF001
+    from quarry.operators import search as srch
+    from quarry.plans import corpus as C
+    from quarry.plans.queries import _named_docs
+    monkeypatch.setattr(C, "IDX_BLOCK", 10)
+    c = C.Corpus.create(spark, f"{tmpdir_session}/blocks")
+    c.append_documents(_named_docs(spark, SF001))
+    assert c.chunks(with_block=True).select("idx_block").distinct().count() > 5
+    q = spark.createDataFrame([(0, "the river"), (1, "a small house"), (2, "wind")],
+                              "query_id long, text string")
+    pruned = sorted(tuple(r) for r in c.search(q, k=4).collect())
+    full = sorted(tuple(r) for r in srch.search(c.chunks(), q, k=4).collect())
+    assert pruned == full and len(full) == 12
