@@ -117,3 +117,16 @@ def test_search_block_pruning_matches_full_scan(spark, tmpdir_session, monkeypat
     pruned = sorted(tuple(r) for r in c.search(q, k=4).collect())
     full = sorted(tuple(r) for r in srch.search(c.chunks(), q, k=4).collect())
     assert pruned == full and len(full) == 12
+
+
+def test_next_idx_reads_only_top_block(spark, tmpdir_session, monkeypatch):
+    from quarry.plans import corpus as C
+    monkeypatch.setattr(C, "IDX_BLOCK", 3)
+    c = C.Corpus.create(spark, f"{tmpdir_session}/topblock")
+    docs = spark.createDataFrame([(i, f"d{i}", "One. Two.") for i in range(7)],
+                                 "doc_id long, doc_name string, text string")
+    c.append_documents(docs)
+    c.append_documents(docs)
+    assert c.next_idx() == 15
+    assert sorted(r["idx"] for r in c.chunks().collect()) == list(range(1, 15))
+    assert max(b for _, b in c._block_dirs()) == 14 // 3
