@@ -37,3 +37,17 @@ def read_text_docs(spark: SparkSession, paths, names=None) -> DataFrame:
     else:
         joined = wanted.withColumn("value", F.lit(None).cast("string"))
     return joined.select("doc_name", "path", F.coalesce("value", F.lit("")).alias("text"))
+
+
+def read_text_dir(spark: SparkSession, location: str, recursive: bool = True) -> DataFrame:
+    """(doc_name, path, text) for every file under a folder or glob: one file = one
+    document, ``doc_name`` = file name without extension. Spark lists and splits the files
+    (no driver loop over paths); use ``read_text_docs`` when an explicit list must keep
+    missing files as empty documents."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    df = reader.text(location, wholetext=True)
+    path = F.col("_metadata.file_path")
+    return df.select(
+        F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"^(.+)\.[^.]+$", "$1")
+         .alias("doc_name"),
+        path.alias("path"), F.col("value").alias("text"))

@@ -130,3 +130,12 @@ def test_next_idx_reads_only_top_block(spark, tmpdir_session, monkeypatch):
     assert c.next_idx() == 15
     assert sorted(r["idx"] for r in c.chunks().collect()) == list(range(1, 15))
     assert max(b for _, b in c._block_dirs()) == 14 // 3
+
+
+def test_read_text_dir(spark, tmp_path):
+    from quarry.sources.text_files import read_text_dir
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("First. Second.\n")
+    (tmp_path / "sub" / "b.txt").write_text("Third.")
+    got = {r["doc_name"]: r["text"] for r in read_text_dir(spark, str(tmp_path)).collect()}
+    assert got == {"a": "First. Second.\n", "b": "Third."}
