@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path, ship_package
 
 HIT_SCHEMA = "query_id long, idx long, distance double"
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20  # query block per broadcast; larger sets go in blocks
 
 
 def _as_matrix(values, dim: int | None = None) -> np.ndarray:
