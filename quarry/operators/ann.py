@@ -62,6 +62,18 @@ class IvfIndex:
             assigned = corpus.sparkSession.read.parquet(path)
         return cls(model, assigned)
 
+    def save(self, path: str) -> "IvfIndex":
+        """Persist the model (``path/model``) and the cell assignment partitioned by cell
+        (``path/cells``); returns the index reading the stored cells."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        return IvfIndex.load(self.assigned.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "IvfIndex":
+        model = KMeansModel.load(f"{path}/model")
+        return cls(model, spark.read.parquet(f"{path}/cells"))
+
     def refresh(self, new_rows: DataFrame, vec_col: str = "embedding",
                 path: str | None = None) -> "IvfIndex":
         """Add appended rows with cells from the saved model (no refit); a full rebuild is

@@ -139,3 +139,19 @@ def test_ivf_sampled_training_and_auto_nlist(spark):
     idx = IvfIndex.build(corpus, nlist=None, max_train_rows=200)  # trains on a sample
     assert idx.centroids.shape[0] == 22  # round(sqrt(500))
     assert idx.assigned.count() == 500  # every vector still gets a cell
+
+
+def test_ivf_save_load_refresh(spark, tmp_path):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    first = e.where("label < 5").select(F.col("vec_id").alias("idx"), "embedding")
+    second = e.where("label >= 5").select(F.col("vec_id").alias("idx"), "embedding")
+    path = str(tmp_path / "ivf")
+    IvfIndex.build(first, nlist=4).save(path)
+    loaded = IvfIndex.load(spark, path)
+    refreshed = loaded.refresh(second, path=f"{path}/cells")
+    assert refreshed.assigned.count() == e.count()
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    hits = refreshed.search(q, k=3, nprobe=4)
+    assert recall_at_k(hits, knn_ops.knn(corpus, q, k=3)) == pytest.approx(1.0)
