@@ -55,22 +55,27 @@ def _r6(c):
 
 # --------------------------------------------------------------------------- text
 def q_sentences(spark, sf):
+    """Every sentence of every document with its position and token count."""
     return chunking.sentences(spread(_docs(spark, sf), "doc_id"))
 
 
 def q_token_counts(spark, sf):
+    """Per document: number of sentences and total token count."""
     return chunking.token_counts(spread(_docs(spark, sf), "doc_id"))
 
 
 def q_chunk_numbers(spark, sf):
+    """Per sentence: the chunk it lands in under greedy packing (limit 512)."""
     return chunking.chunk_numbers(spread(_docs(spark, sf), "doc_id"))
 
 
 def q_chunkify(spark, sf):
+    """Token-bounded chunks (limit 512) of every document."""
     return chunking.chunkify(spread(_docs(spark, sf), "doc_id"))
 
 
 def q_embed_hash(spark, sf):
+    """Hashing-embedder vector of every whole document text."""
     d = spread(_docs(spark, sf), "doc_id")
     return d.select("doc_id", HashEmbedder(64)(F.col("text")).alias("embedding"))
 
@@ -81,6 +86,7 @@ def doc_chunk_rows(spark, sf) -> DataFrame:
 
 
 def q_assign_idx(spark, sf):
+    """Dense idx 1..n over all chunks in (doc_id, chunk_no) order."""
     d = spread(_named_docs(spark, sf), "doc_id")
     chunked = chunking.with_chunks(d, "text").drop("text")
     return (assign_dense_ids(chunked, ["doc_id"], "_chunks", "idx", 0, "chunk_no")
@@ -89,14 +95,18 @@ def q_assign_idx(spark, sf):
 
 
 def q_ingest_documents(spark, sf):
+    """Full corpus rows: chunk, number and embed every document."""
     return doc_chunk_rows(spark, sf)
 
 
 def q_next_idx(spark, sf):
+    """next_idx of the document corpus (max idx + 1)."""
     return next_idx_op(doc_chunk_rows(spark, sf).select("idx"))
 
 
 def q_ingest_entries(spark, sf):
+    """Conversations as lists of entries (one per turn) under one name each;
+    chunks never cross entries."""
     c = _t(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
         .alias("doc_name"), "text")
@@ -121,6 +131,7 @@ def q_upsert_chunks(spark, sf):
 
 
 def q_corpus_roundtrip(spark, sf):
+    """Create a corpus (limit 256), append all documents, load it back."""
     corpus = Corpus.create(spark, max_seq_len=256)
     corpus.append_documents(_named_docs(spark, sf))
     loaded = Corpus.load(spark, corpus.path)
@@ -130,6 +141,8 @@ def q_corpus_roundtrip(spark, sf):
 
 
 def q_ingest_mixed(spark, sf):
+    """Documents and stored web pages (element text) in one corpus, documents
+    first, duplicates kept."""
     docs = _named_docs(spark, sf).select(F.lit(0).alias("src"), F.col("doc_id").alias("key"),
                                          "doc_name", "text")
     pages = html_src.html_text(_t(spark, sf, "pages")).select(
@@ -142,6 +155,7 @@ def q_ingest_mixed(spark, sf):
 
 
 def q_lookup_idx(spark, sf):
+    """Documents whose id is in the set of toxic-labelled ids (semi join)."""
     ids = _t(spark, sf, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("idx"))
     docs = _docs(spark, sf).select(F.col("doc_id").alias("idx"), "n_chars")
     return srch.lookup_idx(docs, ids).select(F.col("idx").alias("doc_id"), "n_chars")
@@ -157,6 +171,7 @@ def _emb_corpus(spark, sf):
 
 
 def q_knn_exact(spark, sf):
+    """Every embedding's 10 nearest embeddings (Euclidean, ties by lower id)."""
     e = _t(spark, sf, "embeddings")
     hits = knn_ops.knn(e.select(F.col("vec_id").alias("idx"), "embedding"),
                        e.select(F.col("vec_id").alias("query_id"), "embedding"), k=K_KNN)
@@ -172,22 +187,26 @@ def _emb_hits(spark, sf, k=K_SEARCH):
 
 
 def q_search_arrays(spark, sf):
+    """Per query vector: top-5 ids, label names and distances as ordered arrays."""
     res = srch.collect_results(_emb_hits(spark, sf), with_chunks=False)
     return res.select("query_id", "idx_list", "doc_names",
                       F.transform("distances", lambda d: F.round(d, 6)).alias("distances"))
 
 
 def q_citations(spark, sf):
+    """Per query vector: distinct label names of its top-5 hits in rank order."""
     return srch.citations(srch.collect_results(_emb_hits(spark, sf), with_chunks=False))
 
 
 def q_vector_norms(spark, sf):
+    """L2 norm and self dot product of every embedding."""
     e = _t(spark, sf, "embeddings")
     return e.select("vec_id", _r6(l2_norm("embedding")).alias("norm"),
                     _r6(dot("embedding", "embedding")).alias("dot_self"))
 
 
 def q_cosine_pairs(spark, sf):
+    """Cosine similarity of every embedding with the next id."""
     e = _t(spark, sf, "embeddings")
     a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
@@ -203,6 +222,7 @@ def _doc_search(spark, sf, queries: DataFrame, k: int = K_SEARCH):
 
 
 def q_search_topk(spark, sf):
+    """Benchmark questions searched over the document corpus: top-5 chunks."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = _doc_search(spark, sf, q)
     return hits.select("query_id", "rank", "idx", "doc_name", "chunk",
@@ -210,6 +230,7 @@ def q_search_topk(spark, sf):
 
 
 def q_rag_prompts(spark, sf):
+    """Prompt per benchmark question with its top-5 chunks as context."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = _doc_search(spark, sf, q)
     ctx = srch.collect_results(hits).select("query_id", F.col("chunks").alias("context"))
@@ -219,22 +240,27 @@ def q_rag_prompts(spark, sf):
 
 # --------------------------------------------------------------------------- sources
 def q_html_text(spark, sf):
+    """Text of the h1/h2/p elements of every stored page."""
     return html_src.html_text(spread(_t(spark, sf, "pages"), "page_id"))
 
 
 def q_page_groups(spark, sf):
+    """Conversation turns as pages; groups of 3 pages concatenated."""
     return pages_src.page_groups(_conv_pages(spark, sf), pages_per_entry=PAGES_PER_GROUP)
 
 
 def q_pages_each(spark, sf):
+    """Conversation turns as pages; one entry per page."""
     return pages_src.pages_each(_conv_pages(spark, sf))
 
 
 def q_page_range(spark, sf):
+    """Conversation turns as pages; pages 2..4 of every conversation, clamped."""
     return pages_src.page_range(_conv_pages(spark, sf), RANGE_FIRST, RANGE_LAST)
 
 
 def q_list_corpora(spark, sf):
+    """Corpus names from the last path segment of every page URL."""
     files = _t(spark, sf, "pages").select(
         F.regexp_extract("url", r"/([^/?#]*)(?:[?#].*)?$", 1).alias("file_name"))
     return corpus_names(files)
@@ -246,11 +272,13 @@ def _user_turns(spark, sf):
 
 
 def q_route_models(spark, sf):
+    """Model, family and k for every user turn."""
     r = gen.route_models(_user_turns(spark, sf).select("conv_id", "turn"))
     return r.select("conv_id", "turn", "model", "family", "k")
 
 
 def q_request_payloads(spark, sf):
+    """JSON request body (no context) for every user turn."""
     r = gen.route_models(_user_turns(spark, sf).select("conv_id", "turn", "text"))
     return r.select("conv_id", "turn", "model",
                     gen.payload("model", "family", gen.build_prompt(F.col("text"))).alias("body"))
@@ -273,15 +301,18 @@ def synth_responses(spark, sf) -> DataFrame:
 
 
 def q_parse_responses(spark, sf):
+    """Parsed reply or error for every synthesised reply row."""
     return gen.parse_responses(synth_responses(spark, sf), id_cols=("conv_id", "turn"))
 
 
 # --------------------------------------------------------------------------- misc
 def q_split_parts(spark, sf):
+    """Byte-balanced 3-way line parts of every document."""
     return split_parts(spread(_docs(spark, sf), "doc_id"), SPLIT_PARTS)
 
 
 def q_secret_scan(spark, sf):
+    """Key-like strings found in every document."""
     return secret_scan(spread(_docs(spark, sf), "doc_id"))
 
 
@@ -557,6 +588,7 @@ def _emb_tables(spark, sf):
 
 
 def q_knn_ivf(spark, sf):
+    """Every embedding's 10 nearest via IVF (16 cells, 8 probed)."""
     from quarry.operators.ann import IvfIndex
     corpus, q = _emb_tables(spark, sf)
     index = IvfIndex.build(corpus, nlist=IVF_NLIST)
@@ -579,6 +611,7 @@ def q_ivf_refresh(spark, sf):
 
 # --------------------------------------------------------------------------- streaming
 def q_stream_ingest(spark, sf):
+    """Documents ingested through Structured Streaming (equals batch ingest)."""
     from quarry.streaming.ingest import ingest_stream
     corpus = Corpus.create(spark)
 
@@ -592,6 +625,7 @@ def q_stream_ingest(spark, sf):
 
 # --------------------------------------------------------------------------- plug-ins
 def q_custom_embedder(spark, sf):
+    """Document chunks embedded with the pandas_udf trigram plug-in."""
     from quarry.functions.embedders import trigram_embedder
     emb = trigram_embedder(64)
     rows = chunk_rows(_named_docs(spark, sf), ["doc_id"], "doc_name", "text", embedder=emb)
