@@ -84,6 +84,19 @@ class IvfIndex:
             return IvfIndex(self.model, self.assigned.sparkSession.read.parquet(path))
         return IvfIndex(self.model, self.assigned.unionByName(added))
 
+    def estimate_recall(self, corpus: DataFrame, queries: DataFrame, k: int = 10,
+                        nprobe: int = 4, fraction: float = 0.01, seed: int = 42,
+                        qid_col: str = "query_id", qvec_col: str = "embedding") -> float:
+        """recall@k of this index against exact search, measured on a seeded sample of the
+        queries (at least one query when any exist). Report it with approximate results."""
+        sample = queries.sample(fraction=min(1.0, fraction), seed=seed)
+        if sample.isEmpty():
+            sample = queries.limit(1)
+        approx = self.search(sample, k=k, nprobe=nprobe, qid_col=qid_col, qvec_col=qvec_col)
+        exact = knn_ops.knn(corpus.select("idx", "embedding"), sample, k=k, qid_col=qid_col,
+                            qvec_col=qvec_col)
+        return recall_at_k(approx, exact)
+
     def probes(self, Q: np.ndarray, nprobe: int) -> np.ndarray:
         c = self.centroids
         d2 = (Q * Q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * Q @ c.T

@@ -155,3 +155,13 @@ def test_ivf_save_load_refresh(spark, tmp_path):
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
     hits = refreshed.search(q, k=3, nprobe=4)
     assert recall_at_k(hits, knn_ops.knn(corpus, q, k=3)) == pytest.approx(1.0)
+
+
+def test_ivf_estimate_recall(spark):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    idx = IvfIndex.build(corpus, nlist=8)
+    assert idx.estimate_recall(corpus, q, k=5, nprobe=8, fraction=0.1) == pytest.approx(1.0)
+    assert 0.0 < idx.estimate_recall(corpus, q, k=5, nprobe=1, fraction=0.2) <= 1.0
