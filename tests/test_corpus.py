@@ -139,3 +139,17 @@ def test_read_text_dir(spark, tmp_path):
     (tmp_path / "sub" / "b.txt").write_text("Third.")
     got = {r["doc_name"]: r["text"] for r in read_text_dir(spark, str(tmp_path)).collect()}
     assert got == {"a": "First. Second.\n", "b": "Third."}
+
+
+def test_corpus_search_with_ivf_index(spark, tmpdir_session):
+    from conftest import SF001
+    from quarry.operators.ann import IvfIndex
+    from quarry.plans.queries import _named_docs
+    c = Corpus.create(spark, f"{tmpdir_session}/ivfcorpus")
+    c.append_documents(_named_docs(spark, SF001))
+    index = IvfIndex.build(c.chunks(), nlist=4)
+    q = spark.createDataFrame([(0, "the river"), (1, "a small house")],
+                              "query_id long, text string")
+    approx = sorted(tuple(r) for r in c.search(q, k=3, index=index, nprobe=4).collect())
+    exact = sorted(tuple(r) for r in c.search(q, k=3).collect())
+    assert approx == exact and len(exact) == 6
