@@ -656,8 +656,45 @@ def q_answers(spark, sf):
                                                "chunks", "served")
 
 
+def q_rag_payloads(spark, sf):
+    """Request body with retrieved context for every user turn (k by the routed family)."""
+    from quarry.plans.rag import rag_payloads
+    from quarry.session import materialize
+    corpus = materialize(doc_chunk_rows(spark, sf))
+    return rag_payloads(corpus, _user_queries(spark, sf))
+
+
 SQL["stream_ingest"] = SQL["ingest_documents"]
 
+SQL["rag_payloads"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
+  uq AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations
+         WHERE role = 'user'),
+""" + O.embed_cte("q", "uq", ["query_id", "conv_id"], "text") + f""",
+  qk AS (SELECT uq.query_id, uq.text, m.model,
+           CASE WHEN instr(m.model, '{gen.HOSTED_MARKER}') > 0 THEN 'hosted' ELSE 'local' END AS family,
+           CASE WHEN instr(m.model, '{gen.HOSTED_MARKER}') > 0
+                THEN {gen.HOSTED_K} ELSE {gen.LOCAL_K} END AS k
+         FROM uq JOIN {_models_values()} ON m.model_no = (uq.conv_id % 3)),
+  hits AS (SELECT q.query_id, c.chunk,
+             row_number() OVER (PARTITION BY q.query_id ORDER BY
+               list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.idx) AS rank
+           FROM q, corpus c),
+  ctx AS (SELECT h.query_id, list(h.chunk ORDER BY h.rank) AS context
+          FROM hits h JOIN qk USING (query_id) WHERE h.rank <= qk.k GROUP BY h.query_id),
+  pr AS (SELECT qk.query_id, qk.model, qk.family, qk.k,
+           {O.prompt_expr("qk.text", "ctx.context")} AS prompt
+         FROM qk LEFT JOIN ctx USING (query_id))
+  SELECT query_id, model, k,
+    CASE WHEN family = 'hosted' THEN
+      to_json({{'model': regexp_replace(model, '^openai:', ''), 'temperature': {gen.TEMPERATURE}::DOUBLE,
+                'messages': [{{'role': 'user', 'content': prompt}}]}})::VARCHAR
+    ELSE
+      to_json({{'model': model, 'stream': false, 'prompt': prompt,
+                'options': {{'temperature': {gen.TEMPERATURE}::DOUBLE,
+                             'repeat_penalty': {gen.REPEAT_PENALTY}::DOUBLE}}}})::VARCHAR
+    END AS body
+  FROM pr"""
+
 SQL["answers"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
   uq AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations
          WHERE role = 'user'),
@@ -688,4 +725,5 @@ QUERIES.update({
     "stream_ingest": q_stream_ingest,
     "custom_embedder": q_custom_embedder,
     "answers": q_answers,
+    "rag_payloads": q_rag_payloads,
 })
