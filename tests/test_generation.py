@@ -90,3 +90,19 @@ def test_answers_join(spark):
     rows = gen.answers(parsed, results).collect()
     assert len(rows) == 1 and rows[0]["idx_list"] == [5, 6]
     assert json.loads(rows[0]["served"]) == {"result": "A", "doc_names": ["d1"]}
+
+
+def test_rag_payloads_context_size_by_family(spark):
+    from conftest import SF001
+    from quarry.plans.queries import doc_chunk_rows
+    from quarry.plans.rag import rag_payloads
+    corpus = doc_chunk_rows(spark, SF001)
+    qs = spark.createDataFrame([(1, 0, "the river"), (2, 1, "a small house")],
+                               "query_id long, conv_id long, text string")
+    rows = {r["query_id"]: r for r in rag_payloads(corpus, qs).collect()}
+    hosted = json.loads(rows[1]["body"])  # conv 0 -> hosted model
+    local = json.loads(rows[2]["body"])   # conv 1 -> local model
+    assert rows[1]["k"] == 10 and rows[2]["k"] == 3
+    ctx_h = hosted["messages"][0]["content"].split(gen.SECTION_CONTEXT + "\n")[1]
+    ctx_l = local["prompt"].split(gen.SECTION_CONTEXT + "\n")[1]
+    assert ctx_h.count("\n- ") + 1 == 10 and ctx_l.count("\n- ") + 1 == 3
