@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import knn as knn_ops
-from quarry.session import scratch_path
+from quarry.session import materialize, scratch_path
 
 
 class IvfIndex:
@@ -122,6 +122,7 @@ class IvfIndex:
         # above the broadcast bound: one query block at a time, hits written to the
         # checkpoint folder so the driver never holds more than one block
         path = scratch_path(spark, "ivf-hits")
+        queries = materialize(queries.select(qid_col, qvec_col))  # filtered once per block
         wrote = False
         for qpdf in knn_ops._query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
             hits = self._search_block(qpdf, k, nprobe, metric, qid_col, qvec_col)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path, ship_package
+from quarry.session import materialize, scratch_path, ship_package
 
 HIT_SCHEMA = "query_id long, idx long, distance double"
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20  # query block per broadcast; larger sets go in blocks
@@ -195,6 +195,8 @@ def knn_blocked(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_c
     """Query sets above the broadcast bound: one block at a time, hits written to the
     checkpoint folder (lineage cut, survives executor loss), then read back as one table."""
     spark = corpus.sparkSession
+    # every block filters the query table: store (id, vector) once instead of recomputing
+    queries = materialize(queries.select(qid_col, qvec_col))
     path = scratch_path(spark, "knn-hits")
     wrote = False
     for qpdf in _query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
