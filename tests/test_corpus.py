@@ -153,3 +153,16 @@ def test_corpus_search_with_ivf_index(spark, tmpdir_session):
     approx = sorted(tuple(r) for r in c.search(q, k=3, index=index, nprobe=4).collect())
     exact = sorted(tuple(r) for r in c.search(q, k=3).collect())
     assert approx == exact and len(exact) == 6
+
+
+def test_search_blocked_queries_equal_single_block(spark):
+    from conftest import SF001
+    from quarry.operators import search as srch
+    from quarry.plans.queries import doc_chunk_rows
+    corpus = doc_chunk_rows(spark, SF001)
+    q = spark.read.parquet(f"{SF001}/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), "text")
+    one = sorted(tuple(r) for r in srch.search(corpus, q, k=3).collect())
+    many = sorted(tuple(r) for r in srch.search(corpus, q, k=3,
+                                                max_broadcast_bytes=6000).collect())
+    assert one == many and len(one) == q.count() * 3
