@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import lattice, mtree, secret_crf, simhash, toxicity, url_filter
 from quarry.llm.shared import table
 
 
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents: counts of the base kinds, their digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_crf.scan(docs, secret_crf.learn(docs))
+    told = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secrets", lambda s: s.kind != "crf")
+    count = lambda k: F.size(F.filter("secrets", lambda s: s.kind == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_crf.KINDS[:3]],
+                        F.sha2(told(base), 256).alias("base_sha256"),
+                        told(F.col("secrets")).alias("spans"))
+
+
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.9 or more, their components and the kept ones."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, at most 4 differing bits."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -16,8 +34,76 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                              "predicted", "passages")
+
+
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
+             ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule",
+                                                       "verdict")
+
+
 QUERIES = {
+    "op4_secret_crf": op4_secret_crf,
+    "op5_lattice": op5_lattice,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_mtree": op9_mtree,
+    "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_mtree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0)
+              AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id
+           ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op10_url_filter": """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3)
+                       ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, row_number() OVER () AS n,
+         translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+hits AS (
+  SELECT n, rh || rp AS rule, rv, row_number() OVER (PARTITION BY n
+           ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM hits WHERE k = 1) h USING (n)
+""",
+}

@@ -99,3 +99,66 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bits[:, lane * 8:lane * 8 + 8] = 2 * total > lens[full][:, None]
     out[full] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
+
+
+def sorted_groups(batches, keys: int):
+    """Cut a stream of batches that is sorted by its first ``keys`` columns into tables of whole
+    groups: yields (table, starts), where ``starts`` has the first row of each group and the
+    row count at its end. A group may go over several batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        starts = group_starts(now, keys)
+        if len(starts) > 1:
+            cut = starts[-1]
+            yield now.slice(0, cut).combine_chunks(), starts
+        else:
+            cut = 0
+        rest = now.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+def group_starts(rows: pa.Table, keys: int) -> np.ndarray:
+    """First row of each run of equal values in the first ``keys`` (integer) columns."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for i in range(keys):
+        col = rows.column(i).to_numpy()
+        new[1:] |= col[1:] != col[:-1]
+    return np.flatnonzero(new)
+
+
+def pairs_within(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (a < b) inside each group, for groups given by their bounds."""
+    size = np.diff(starts)
+    last = np.repeat(starts[1:], size)
+    row = np.arange(starts[0], starts[-1])
+    after = last - row - 1
+    a = np.repeat(row, after)
+    first = np.cumsum(after) - after
+    return a, a + 1 + np.arange(len(a)) - np.repeat(first, after)
+
+
+def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node) that connect exactly what the given links connect, one for each
+    node but the least of every component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
