@@ -8,11 +8,13 @@ the patterns' values as labels.
 
 A token's score is a sum over feature weights of itself and its neighbours, so each distinct
 token is looked at once per task. Lines in which no token's best tag beats "outside", even with
-the best transitions, need no decoding: the path of "outside" alone is optimal there.
+the best transitions that can lead to it and out, need no decoding: the path of "outside" alone
+is optimal there.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: at most so many documents with base spans, and as many without, are used to fit
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1000
 #: tokens on either side of a training window's centre, and rounds of gradient steps
-WINDOW, ROUNDS = 12, 150
+WINDOW, ROUNDS = 12, 60
 FEATURES = 1 << 12
 CACHE = 200_000
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -70,30 +72,58 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FEATURES
 
 
+#: where a token stands for the one that is tagged
+PLACES = ("", "before ", "second before ", "after ")
+#: tokens of at most so many characters count as words, longer ones by their shape alone
+WORD_LENGTH = 12
+_SIZE = [sum(n >= x for x in (4, 6, 8, 12, 16, 20, 24, 32, 40, 64)) for n in range(65)]
+
+
 def _shape(token: str) -> str:
     kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
              for c in token[:64]]
     return "".join(k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k)[:8]
 
 
-def own_features(token: str) -> list[int]:
-    """Shape, length class, character mix and, for short tokens, the word."""
-    n, digits = len(token), sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token[:64], token[1:64]))
-    size = sum(n >= x for x in (4, 6, 8, 12, 16, 20, 24, 32, 40, 64))
-    mixed = digits > 0 and letters > 0
-    names = [f"shape {_shape(token)}", f"size {size}",
-             f"mix {mixed} {changes >= 3} {changes >= 6} {size}",
-             f"hex {n >= 12 and all(c in '0123456789abcdefABCDEF' for c in token)} {mixed}",
-             f"case {token.islower()} {token.isupper()} {digits == n}"]
-    return [_hash(x) for x in names] + ([_hash("word " + token.lower())] if n <= 12 else [])
+def signature(token: str) -> tuple:
+    """What the features know of a token besides the word: shape, size class, character mix,
+    whether it looks like hex, and case. Words of letters take a short way."""
+    size = _SIZE[min(len(token), 64)]
+    long = len(token) > WORD_LENGTH
+    if token.isalpha():
+        shape = "a" if token.islower() else "A" if token.isupper() else "Aa" if (
+            token[1:].islower()) else "aA"
+        return shape, size, False, 0, False, shape, long
+    digits = sum(c.isdigit() for c in token)
+    mixed = digits > 0 and any(c.isalpha() for c in token)
+    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token[:64], token[1:64]))
+    hexed = len(token) >= 12 and all(c in "0123456789abcdefABCDEF" for c in token)
+    case = "digits" if digits == len(token) else "a" if token.islower() else "A" if (
+        token.isupper()) else "-"
+    return _shape(token), size, mixed, (changes >= 3) + (changes >= 6), hexed, case, long
+
+
+@functools.lru_cache(1 << 14)
+def signature_features(sig: tuple, place: int) -> list[int]:
+    """Features of a signature: all of it for the token itself, its shape for a long neighbour."""
+    shape, size, mixed, changes, hexed, case, long = sig
+    if place:
+        return [_hash(f"{PLACES[place]}{shape} {size}")] if long else []
+    return [_hash(x) for x in ("any", f"shape {shape}", f"size {size}",
+                               f"mix {mixed} {changes} {size}", f"hex {hexed} {mixed}",
+                               f"case {case} {size}")]
+
+
+def word_hash(token: str) -> int:
+    """Hash of a token as a word; -1 if it is too long to count as one."""
+    if len(token) > WORD_LENGTH:
+        return -1
+    return zlib.crc32(token.lower().encode("utf-8", "surrogatepass"))
 
 
-def near_features(token: str, where: str) -> list[int]:
-    """What a neighbour says: the word itself if short, else its shape."""
-    says = token.lower() if len(token) <= 12 else _shape(token)
-    return [_hash(f"{where} {says}")]
+def word_feature(hashes: np.ndarray, place: int) -> np.ndarray:
+    mixed = (hashes.astype(np.uint64) + np.uint64(place + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(52)).astype(np.int64) % FEATURES
 
 
 def file_features(text: str) -> list[int]:
@@ -104,30 +134,46 @@ def file_features(text: str) -> list[int]:
 
 
 class Tokens(dict):
-    """token -> row of a table of feature ids, the same for one training run or task."""
-
-    PLACES = ("", "before ", "second before ", "after ")
+    """token -> row of a table of scores by place; new tokens are scored many at a time."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.table, self.used = weights, np.zeros((4, 1024, 3)), 0
+        self.weights, self.table = weights, np.zeros((4, 1024, 3))
+        self.kinds: dict[tuple, int] = {}
+        self.kind_scores = np.zeros((4, 0, 3))
+        self.new_kinds: list[int] = []
+        self.new_words: list[int] = []
 
     def __missing__(self, token: str) -> int:
-        if self.used == self.table.shape[1]:
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)), 1)
-        k = self[token] = self.used
-        self.used += 1
-        self.table[0, k] = self.weights[own_features(token)].sum(0)
-        for p in (1, 2, 3):
-            self.table[p, k] = self.weights[near_features(token, self.PLACES[p])].sum(0)
+        sig = signature(token)
+        kind = self.kinds.get(sig)
+        if kind is None:
+            kind = self.kinds[sig] = len(self.kinds)
+            rows = [self.weights[signature_features(sig, p)].sum(0) for p in range(4)]
+            self.kind_scores = np.concatenate((self.kind_scores, np.array(rows)[:, None]), 1)
+        self.new_kinds.append(kind)
+        self.new_words.append(word_hash(token))
+        k = self[token] = len(self)
         return k
 
+    def _flush(self) -> None:
+        n, new = len(self), len(self.new_kinds)
+        while n > self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)), 1)
+        words = np.array(self.new_words)
+        short = (words >= 0)[:, None]
+        for p in range(4):
+            self.table[p, n - new:n] = self.kind_scores[p, self.new_kinds] + np.where(
+                short, self.weights[word_feature(words, p)], 0)
+        self.new_kinds, self.new_words = [], []
+
     def scores(self, tokens: list[str], text: str) -> np.ndarray:
         """(tokens, 3) scores of the tags."""
         if len(self) >= CACHE:
             self.clear()
-            self.used = 0
         ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new_kinds:
+            self._flush()
         out = self.table[0, ids] + self.weights[file_features(text)].sum(0)
         out[1:] += self.table[1, ids[:-1]]
         out[2:] += self.table[2, ids[:-2]]
@@ -135,6 +181,19 @@ class Tokens(dict):
         return out
 
 
+def token_features(tokens: list[str], at: int, file: list[int]) -> list[int]:
+    """All feature ids of the token at a place of a line, for training."""
+    out = list(file)
+    for place, step in enumerate((0, -1, -2, 1)):
+        if 0 <= at + step < len(tokens):
+            token = tokens[at + step]
+            out += signature_features(signature(token), place)
+            word = word_hash(token)
+            if word >= 0:
+                out += word_feature(np.array([word]), place).tolist()
+    return out
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights by feature and tag, and transitions[from, to]; a line starts after OUTSIDE."""
@@ -169,9 +228,9 @@ class Field:
             return []
         scores = memory.scores(tokens, text)
         stay = self.moves[OUTSIDE, OUTSIDE]
-        lift = max(self.moves[:, :INSIDE + 1].max() - stay, 0) + max(
-            self.moves[:INSIDE + 1, OUTSIDE].max() - stay, 0)
-        gain = scores[:, :INSIDE + 1].max(1) - scores[:, OUTSIDE] + lift
+        enter = self.moves[:, :OUTSIDE].max(0) - stay       # the best way to BEGIN and INSIDE
+        leave = max(self.moves[:OUTSIDE, OUTSIDE].max() - stay, 0)
+        gain = (scores[:, :OUTSIDE] + enter).max(1) - scores[:, OUTSIDE] + leave
         hot = np.flatnonzero(gain > 0)
         if not len(hot):
             return []
@@ -231,18 +290,17 @@ def fit(samples: list[tuple[str, int]]) -> Field:
     n, width = len(rows), max(len(t) for t, _, _ in rows)
     feats, spot_row, spot_col = [], [], []
     gold, real = np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
-    own = {t: own_features(t) for tokens, _, _ in rows for t in tokens}
     for r, (tokens, tags, file) in enumerate(rows):
         gold[r, :len(tags)], real[r, :len(tags)] = tags, True
-        for c, token in enumerate(tokens):
-            here = own[token] + file
-            for place, step in (("before ", -1), ("second before ", -2), ("after ", 1)):
-                if 0 <= c + step < len(tokens):
-                    here = here + near_features(tokens[c + step], place)
+        for c in range(len(tokens)):
+            here = token_features(tokens, c, file)
             feats += here
             spot_row += [r] * len(here)
             spot_col += [c] * len(here)
     feats, cell = np.array(feats), np.array(spot_row) * width + np.array(spot_col)
+    cells, cell_starts = np.unique(cell, return_index=True)
+    by_feat = np.argsort(feats, kind="stable")
+    used, feat_starts = np.unique(feats[by_feat], return_index=True)
     params = [weights, moves.copy()]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     hot = np.eye(3)[gold] * real[:, :, None]
@@ -252,7 +310,7 @@ def fit(samples: list[tuple[str, int]]) -> Field:
     for step in range(1, ROUNDS + 1):
         w, m = params
         score = np.zeros((n * width, 3))
-        np.add.at(score, cell, w[feats])
+        score[cells] = np.add.reduceat(w[feats], cell_starts)
         score = score.reshape(n, width, 3)
         ahead = np.zeros((n, width, 3))
         ahead[:, 0] = score[:, 0] + m[OUTSIDE]
@@ -272,7 +330,7 @@ def fit(samples: list[tuple[str, int]]) -> Field:
                           - total[:, None, None])
             exp_moves += both[real[:, c]].sum(0)
         grad_w = np.zeros_like(w)
-        np.add.at(grad_w, feats, (hot - prob).reshape(-1, 3)[cell])
+        grad_w[used] = np.add.reduceat((hot - prob).reshape(-1, 3)[cell[by_feat]], feat_starts)
         grads = [grad_w / n - 1e-4 * w, (gold_moves - exp_moves) / n - 1e-4 * m]
         for p, g, a, b in zip(params, grads, first, second):
             a += 0.1 * (g - a)

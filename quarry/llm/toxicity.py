@@ -2,7 +2,9 @@
 
 Learning: every token is hashed to one of ``buckets`` ids. Background counts over all documents
 are the Dirichlet prior of the log-odds between the toxic and the clean labelled sample (a
-bounded, documented number of rows, chosen by the hash of the id). Log-odds that are within
+bounded, documented number of rows, chosen by the hash of the id). In the sample a token counts
+once per text and near copies count as one text (they share the least hash of their five-word
+shingles), so a text that is repeated is no evidence about its words. Log-odds that are within
 their standard error's ``z`` are noise and count nothing, and every token pays ``drift``, so a
 score is negative on average and passages are local.
 
@@ -155,22 +157,38 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def _count(buckets: int):
+def _count(buckets: int, once: bool = False):
+    """Token counts by bucket; ``once``: a token counts once per text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, total = Buckets(buckets), np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = memory.ids(text)
-                if len(ids) > buckets:
-                    total += np.bincount(ids, minlength=buckets)
-                else:
-                    np.add.at(total, ids, 1)
+                np.add.at(total, np.unique(ids) if once else ids, 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])],
                                          names=["bucket", "n"])
     return run
 
 
+def _copy_keys(buckets: int):
+    """(id, y, fold, text) with the least hash of the text's five-word shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Buckets(buckets)
+        for batch in batches:
+            keys = []
+            for text in batch.column(3).to_pylist():
+                ids = memory.ids(text).astype(np.uint64)
+                mixed = np.zeros(max(len(ids) - 4, min(len(ids), 1)), np.uint64)
+                for k in range(5 if len(ids) >= 5 else 1):
+                    mixed = (mixed + ids[k:k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(31)
+                keys.append(int(mixed.min() >> np.uint64(1)) if len(mixed) else -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())],
+                                             names=["id", "y", "fold", "text", "key"])
+    return run
+
+
 def _dense(counts: DataFrame, buckets: int) -> np.ndarray:
     """Counts by bucket on the driver: at most ``buckets`` rows."""
     out = np.zeros(buckets)
@@ -191,11 +209,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
               .withColumn("fold", fold("id")).filter("fold != 0")
               .orderBy(F.xxhash64("id"), "id").limit(train_rows))
-    sample = scratch.keep(texts.join(F.broadcast(chosen), "id"), "sample")
+    sample = texts.join(F.broadcast(chosen), "id").select(
+        F.col("id").cast("long"), "y", F.col("fold").cast("int"), "text")
+    sample = scratch.keep(
+        sample.mapInArrow(_copy_keys(buckets), "id long, y int, fold int, text string, key long")
+        .groupBy("key").agg(F.min(F.struct("fold", "id", "y", "text")).alias("r"))
+        .select("r.*"), "sample")
     background = _dense(texts.select("text").mapInArrow(_count(buckets), "bucket long, n long"),
                         buckets)
     seen = {y: _dense(sample.filter(f"fold < 4 AND y = {y}").select("text")
-                      .mapInArrow(_count(buckets), "bucket long, n long"), buckets)
+                      .mapInArrow(_count(buckets, True), "bucket long, n long"), buckets)
             for y in (0, 1)}
     weights = log_odds(seen[1], seen[0], background)
     lam = extreme_value_lambda(weights, background)
