@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, mtree, secret_crf, simhash, toxicity, url_filter
+from quarry.llm import lattice, mtree, pieces, secret_crf, simhash, toxicity, url_filter
 from quarry.llm.shared import table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document and the text they decode to, as digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents: counts of the base kinds, their digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op4_secret_crf": op4_secret_crf,
     "op5_lattice": op5_lattice,
     "op7_simhash": op7_simhash,
