@@ -166,7 +166,9 @@ class Pieces:
             now = np.cumsum(keep)[take] - 1         # where the merged symbols stand afterwards
             sym, word, at, made = (x[keep] for x in (sym, word, at, made))
             if len(sym):                            # only pairs beside a merge have changed
-                near = np.unique(np.concatenate((now, np.maximum(now - 1, 0))))
+                beside = np.zeros(len(sym), bool)
+                beside[now] = beside[np.maximum(now - 1, 0)] = True
+                near = np.flatnonzero(beside)
                 after = np.minimum(near + 1, len(sym) - 1)
                 made[near] = self._pairs(sym[near], sym[after],
                                          (after == near) | (word[after] != word[near]))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lattice, mtree, pieces, secret_crf, simhash, toxicity, url_filter
+from quarry.llm import (lattice, lines, mtree, packing, pieces, secret_crf, simhash, toxicity,
+                        url_filter)
 from quarry.llm.shared import table
 
 
@@ -20,6 +21,11 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into bins of 2,048 tokens without two of one source or cluster."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents: counts of the base kinds, their digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +44,11 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that repeat, exactly or nearly, an earlier line."""
+    return lines.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, at most 4 differing bits."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,8 +87,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_packing": op2_packing,
     "op4_secret_crf": op4_secret_crf,
     "op5_lattice": op5_lattice,
+    "op6_lines": op6_lines,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_mtree": op9_mtree,
