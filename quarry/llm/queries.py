@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (lattice, lines, mtree, packing, pieces, secret_crf, simhash, toxicity,
-                        url_filter)
+from quarry.llm import (lattice, lines, mtree, packing, pieces, secret_crf, simhash,
+                        substrings, toxicity, url_filter)
 from quarry.llm.shared import table
 
 
@@ -26,6 +26,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document once all repeated 200-byte strings are removed."""
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"),
+                          lambda n, s: n + (s.end - s.start).cast("long"))
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents: counts of the base kinds, their digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +98,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_packing": op2_packing,
+    "op3_substrings": op3_substrings,
     "op4_secret_crf": op4_secret_crf,
     "op5_lattice": op5_lattice,
     "op6_lines": op6_lines,
