@@ -204,3 +204,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", "fp"), "marked")
     groups = fingerprint_groups(marked, scratch, "id", radius, block)
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         shingle: int = SHINGLE_WORDS, radius: int = RADIUS,
+                         block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: the one of smallest id, and
+    of rows that repeat that id any one. A null id comes last."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    columns = docs.columns
+    marked = fingerprints(docs, text_col, shingle, "_fp").withColumn(
+        "_row", F.monotonically_increasing_id())
+    stored = scratch.keep(marked, "stored")
+    slim = stored.select(F.col("_fp").alias("fp"), F.col(id_col).alias("id"),
+                         F.col("_row").alias("row"))
+    groups = fingerprint_groups(slim, scratch, "fp", radius, block)
+    first = F.struct(F.col("id").isNull(), "id", "row")
+    kept = slim.join(groups, "fp").groupBy("component_id").agg(F.min(first).alias("first"))
+    return stored.join(kept.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(
+        *columns)
