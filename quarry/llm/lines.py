@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.llm.shared import Scratch, majority_bits, pairs_within, sorted_groups
+from quarry.llm.shared import Scratch, fresh, majority_bits, pairs_within, sorted_groups
 from quarry.llm.simhash import block_pairs
 
 MIN_WORDS = 5
@@ -309,12 +309,13 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
     """``docs`` without the lines that go. A document that loses lines and has no word left is
     left out; all others keep every other column."""
-    gone = repeated_lines(docs, id_col, text_col, **options).groupBy("id", "th").agg(
-        F.collect_list("line").alias("_gone")).select(
-            F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64(F.col(text_col)) == F.col("_th")), "left")
     columns = docs.columns
+    lost, key, name = (fresh(c, columns) for c in ("lost", "key", "name"))
+    gone = repeated_lines(docs, id_col, text_col, **options).groupBy("id", "th").agg(
+        F.collect_list("line").alias(lost)).select(
+            F.col("id").alias(key), F.col("th").alias(name), lost)
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(key))
+                       & (F.xxhash64(F.col(text_col)) == F.col(name)), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = columns.index(text_col)
@@ -331,4 +332,4 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*[docs[c] for c in columns], "_gone").mapInArrow(run, docs.schema)
+    return joined.select(*columns, lost).mapInArrow(run, docs.schema)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.shared import fresh
+
 #: at most so many documents with base spans, and as many without, are used to fit
 TRAIN_ROWS = 1000
 #: tokens on either side of a training window's centre, and rounds of gradient steps
@@ -417,7 +419,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text",
            mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret value in ``text_col`` replaced by ``mark``; values that
     overlap are replaced together. Rows without a secret are unchanged."""
-    found = scan(docs.select("*"), field, text_col, "_secrets")
+    found = scan(docs, field, text_col, fresh("secrets", docs.columns))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.components import connected_components
-from quarry.llm.shared import Scratch, majority_bits
+from quarry.llm.shared import Scratch, fresh, majority_bits
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -213,13 +213,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of rows that repeat that id any one. A null id comes last."""
     scratch = Scratch(docs.sparkSession, "simhash")
     columns = docs.columns
-    marked = fingerprints(docs, text_col, shingle, "_fp").withColumn(
-        "_row", F.monotonically_increasing_id())
-    stored = scratch.keep(marked, "stored")
-    slim = stored.select(F.col("_fp").alias("fp"), F.col(id_col).alias("id"),
-                         F.col("_row").alias("row"))
+    fp, row = fresh("fp", columns), fresh("row", columns)
+    stored = scratch.keep(fingerprints(docs, text_col, shingle, fp).withColumn(
+        row, F.monotonically_increasing_id()), "stored")
+    slim = stored.select(F.col(fp).alias("fp"), F.col(id_col).alias("id"),
+                         F.col(row).alias("row"))
     groups = fingerprint_groups(slim, scratch, "fp", radius, block)
     first = F.struct(F.col("id").isNull(), "id", "row")
     kept = slim.join(groups, "fp").groupBy("component_id").agg(F.min(first).alias("first"))
-    return stored.join(kept.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(
+    return stored.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(
         *columns)
