@@ -6,6 +6,6 @@ approximate nearest-neighbour search, and prompt / request / answer tables are b
 retrieved context. Everything is DataFrame work planned by Catalyst.
 """
 
-from quarry.session import get_spark, checkpoint_dir, materialize
+from quarry.session import checkpoint_dir, discard, get_spark, store
 
-__all__ = ["get_spark", "checkpoint_dir", "materialize"]
+__all__ = ["checkpoint_dir", "discard", "get_spark", "store"]

@@ -3,7 +3,7 @@ per Python worker). Use these for real models; the native ``HashEmbedder`` is th
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from typing import Callable, Iterator
 
 import numpy as np
@@ -47,18 +47,28 @@ class PandasEmbedder:
 
 
 def trigram_encoder(dim: int = 64):
-    """Example model: character-trigram counts hashed (CRC32) into ``dim`` buckets,
-    L2-normalised. Stands in for a neural encoder in tests and demos."""
+    """Example model: character trigrams of the lower-cased text, two blanks in front and one
+    behind, counted by the first 32 bits of their MD5 modulo ``dim``, L2-normalised. Stands in
+    for a neural encoder in tests and demos. Each distinct trigram of a batch is hashed once."""
     def encode(texts):
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            s = f"  {t.lower()} "
-            for i in range(len(s) - 2):
-                out[r, zlib.crc32(s[i:i + 3].encode("utf-8")) % dim] += 1.0
+        padded = [f"  {t.lower()} " for t in texts]
+        codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([len(p) for p in padded])
+        row = np.repeat(np.arange(len(padded)), size)
+        grams = (codes[:-2].astype(np.int64) << 42 | codes[1:-1].astype(np.int64) << 21
+                 | codes[2:].astype(np.int64))
+        whole = row[:-2] == row[2:]
+        distinct, at = np.unique(grams[whole], return_inverse=True)
+        mask = (1 << 21) - 1
+        bucket = np.array([int(hashlib.md5("".join(
+            chr(g >> s & mask) for s in (42, 21, 0)).encode()).hexdigest()[:8], 16) % dim
+            for g in distinct.tolist()], np.int64)
+        out = np.bincount(row[:-2][whole] * dim + bucket[at], minlength=len(padded) * dim)
+        out = out.reshape(len(padded), dim).astype(float)
         norms = np.sqrt((out * out).sum(1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
     return encode
 
 
 def trigram_embedder(dim: int = 64) -> PandasEmbedder:
-    return PandasEmbedder(f"trigram-crc32-{dim}", dim, lambda: trigram_encoder(dim))
+    return PandasEmbedder(f"trigram-md5-{dim}", dim, lambda: trigram_encoder(dim))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,9 +127,6 @@ def _bounds(starts: Column, n: Column):
             (F.when(j + 1 < nchunks, starts[j + 1]).otherwise(n) - starts[j]).alias("n")))
 
 
-LONG_DOC_SENTENCES = None  # native blocked fold handles long documents
-
-
 def greedy_starts(costs, limit: int) -> list:
     """Linear greedy packing on one cost list (reference semantics of ``chunk_starts``)."""
     out, cur = [], 0
@@ -143,38 +139,18 @@ def greedy_starts(costs, limit: int) -> list:
     return out
 
 
-def _starts_udf(limit: int):
-    @F.pandas_udf("array<int>")
-    def starts(costs: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else greedy_starts(c, limit) for c in costs])
-    return starts
-
-
-def chunk_starts_any_length(costs, limit: int,
-                            long_threshold: int = LONG_DOC_SENTENCES) -> Column:
-    """Chunk starts that stay linear for very long documents: rows with more than
-    ``long_threshold`` sentences send only their int cost array through Arrow to a linear
-    loop; all other rows use the native fold. ``costs`` must be a column (not a lambda
-    variable): Python UDFs cannot run inside higher-order functions."""
-    costs = _col(costs)
-    is_long = F.size(costs) > F.lit(long_threshold)
-    linear = _starts_udf(limit)(F.when(is_long, costs))
-    return F.when(is_long, linear).otherwise(chunk_starts(costs, limit))
-
-
-def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS, starts=None) -> Column:
+def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS) -> Column:
     """``array<struct<chunk:string, n_tokens:int, first_sentence:int, n_sentences:int>>``.
 
     Sentences of a chunk are joined with one space. Empty input gives an empty array.
-    ``starts`` may carry precomputed chunk starts (see ``chunk_starts_any_length``).
     """
     sentences, costs = _col(sentences), _col(costs)
 
-    def build(sents, cs, st):
+    def build(sents, cs):
         n = F.size(sents)
         return F.when(n == 0, F.array().cast(
             "array<struct<chunk:string,n_tokens:int,first_sentence:int,n_sentences:int>>")
-        ).otherwise(let(chunk_starts(cs, limit) if st is None else st,
+        ).otherwise(let(chunk_starts(cs, limit),
                         lambda starts_: F.transform(
             _bounds(starts_, n),
             lambda b: F.struct(
@@ -184,11 +160,8 @@ def pack_chunks(sentences, costs, limit: int = DEFAULT_CHUNK_TOKENS, starts=None
                 b["s"].alias("first_sentence"),
                 b["n"].alias("n_sentences")))))
 
-    fields = [sentences.alias("s"), costs.alias("c")]
-    if starts is not None:
-        fields.append(_col(starts).alias("st"))
-    return let(F.struct(*fields),
-               lambda sc: build(sc["s"], sc["c"], sc["st"] if starts is not None else None))
+    return let(F.struct(sentences.alias("s"), costs.alias("c")),
+               lambda sc: build(sc["s"], sc["c"]))
 
 
 def sentence_chunk_numbers(costs, limit: int = DEFAULT_CHUNK_TOKENS) -> Column:

@@ -1,10 +1,12 @@
 """Vector column functions (``array<float>`` / ``array<double>``) as native higher-order
-expressions: dot product, norm, Euclidean distance, cosine similarity, hashing embedder."""
+expressions: dot product, norm, Euclidean distance, cosine similarity; and the hashing embedder."""
 
 from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,18 +51,27 @@ def md5_bucket(token: Column, dim: int) -> Column:
         "int")
 
 
+def _count_buckets(dim: int):
+    @F.pandas_udf("array<double>")
+    def counts(buckets: pd.Series) -> pd.Series:
+        rows = [np.zeros(0, np.int64) if b is None else np.asarray(b, np.int64) for b in buckets]
+        at = np.repeat(np.arange(len(rows)) * dim, [len(r) for r in rows])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        out = np.bincount(at + flat, minlength=len(rows) * dim).astype(float)
+        return pd.Series(list(out.reshape(len(rows), dim)))
+    return counts
+
+
 def hash_embed(text, dim: int = 64) -> Column:
     """Deterministic lexical embedder: counts of lower-cased word tokens per MD5 bucket,
     L2-normalised, as ``array<float>`` of length ``dim``. A text with no token gives the zero
     vector. Lexical, not semantic; real models plug in via ``PandasEmbedder``.
 
-    Each token is hashed once (``let``); bucket counts use the native ``array_remove`` (no
-    per-element lambda), so the cost is one MD5 per token plus ``dim`` native array scans.
+    Tokens are hashed in the JVM, once each; the buckets of an Arrow batch are counted by one
+    ``bincount``, so the cost is tokens + rows x ``dim``.
     """
     buckets = F.transform(word_tokens(_col(text)), lambda t: md5_bucket(t, dim))
-    return let(buckets, lambda bk: normalize(F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda b: (F.size(bk) - F.size(F.array_remove(bk, b))).cast("double"))))
+    return normalize(_count_buckets(dim)(buckets))
 
 
 def normalize(vec) -> Column:

@@ -1,149 +1,193 @@
 """Approximate kNN with an inverted-file (IVF) index.
 
-Build: ``pyspark.ml`` KMeans learns ``nlist`` centroids (optionally on a sample; every vector is
-still assigned), every vector gets its ``cell``. The assigned table can be written partitioned
-by ``cell`` so a search reads only the probed cells (partition pruning).
-Search: each query probes its ``nprobe`` nearest centroids; corpus tasks compute distances
-only for (query, row) pairs whose row lies in a probed cell, keep the top ``k`` per query, and
-the same final ``row_number`` window as exact search picks the result. Report recall against
+Build: ``nlist`` centroids, learnt with ``pyspark.ml`` KMeans from all rows (or from the caller's
+``sample_fraction``) or given; every vector gets the cell of its nearest centroid.
+Search: each query is joined to its ``nprobe`` nearest cells; a cell's rows and the queries that
+probe it meet in one cogrouped block product, large cells and crowds of queries cut into several.
+So the work is the probed share of the full product, and it all happens in the executors; only
+the centroids (nlist x dim) are sent to every task.
+
+An index knows the highest idx that it covers: a search over a corpus that has grown since also
+looks at the newer rows, exactly, so nothing is lost between refreshes. Report recall against
 exact search whenever the approximate path is used.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators import knn as knn_ops
-from quarry.session import materialize, scratch_path
+from quarry.session import ship_package, store
+
+MODEL = "centroids array<array<double>>, last_idx long"
+ASSIGNED = "idx long, v array<double>, cell int"
+
+
+def nearest_cells(centroids: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of every row, nearest first, ties to the lower cell."""
+    d2 = ((vectors * vectors).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :]
+          - 2.0 * vectors @ centroids.T)
+    return np.argsort(d2, axis=1, kind="stable")[:, :min(n, len(centroids))]
 
 
 class IvfIndex:
-    def __init__(self, model: KMeansModel, assigned: DataFrame):
-        self.model = model
-        self.centroids = np.asarray(model.clusterCenters(), dtype=np.float64)  # nlist x dim
-        self.assigned = assigned
+    def __init__(self, centroids: np.ndarray, assigned: DataFrame, last_idx: int):
+        self.centroids = np.asarray(centroids, dtype=np.float64)    # nlist x dim
+        self.assigned = assigned                                    # (idx, v, cell)
+        self.last_idx = last_idx
 
     @staticmethod
-    def assign(model: KMeansModel, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
-        feats = rows.withColumn("_features", array_to_vector(F.col(vec_col)))
-        return (model.setFeaturesCol("_features").setPredictionCol("cell").transform(feats)
-                     .drop("_features").withColumn("cell", F.col("cell").cast("int")))
+    def assign(centroids: np.ndarray, rows: DataFrame, id_col: str = "idx",
+               vec_col: str = "embedding") -> DataFrame:
+        """(idx, v, cell) for every row with a vector."""
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    V = knn_ops._as_matrix(pdf.v, centroids.shape[1])
+                    yield pdf.assign(cell=nearest_cells(centroids, V, 1)[:, 0])
+        ship_package(rows.sparkSession)
+        return rows.where(F.col(vec_col).isNotNull()).select(
+            F.col(id_col).cast("long").alias("idx"),
+            F.col(vec_col).cast("array<double>").alias("v")).mapInPandas(run, ASSIGNED)
 
     @classmethod
-    def build(cls, corpus: DataFrame, nlist: int | None = 16, seed: int = 42,
-              max_iter: int = 20, sample_fraction: float | None = None,
-              id_col: str = "idx", vec_col: str = "embedding", path: str | None = None,
-              max_train_rows: int | None = 1_000_000) -> "IvfIndex":
-        """Fit ``nlist`` cells (``None``: about sqrt(rows), 16..65536) and assign every row.
-
-        Training uses at most ``max_train_rows`` rows (a seeded sample when the corpus is
-        larger) unless ``sample_fraction`` is given; assignment always covers all rows.
-        """
-        rows = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
-        n = None
-        if nlist is None or (sample_fraction is None and max_train_rows is not None):
-            n = rows.count()
-        if nlist is None:
-            nlist = int(min(65536, max(16, round(n ** 0.5))))
-        if sample_fraction is None and max_train_rows is not None and n and n > max_train_rows:
-            sample_fraction = max_train_rows / n
-        train = rows if sample_fraction is None else rows.sample(fraction=sample_fraction,
-                                                                 seed=seed)
+    def train(cls, corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
+              sample_fraction: float | None = None, vec_col: str = "embedding") -> np.ndarray:
+        """``nlist`` KMeans centroids of all rows, or of a seeded sample if a fraction is given."""
+        rows = corpus.select(vec_col).where(F.col(vec_col).isNotNull())
+        if sample_fraction is not None:
+            rows = rows.sample(fraction=sample_fraction, seed=seed)
         km = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_features",
                     predictionCol="cell", initMode="k-means||")
-        model = km.fit(train.withColumn("_features", array_to_vector(F.col(vec_col))))
-        assigned = cls.assign(model, rows, vec_col)
-        if path is not None:
-            assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
-            assigned = corpus.sparkSession.read.parquet(path)
-        return cls(model, assigned)
+        model = km.fit(rows.select(array_to_vector(F.col(vec_col)).alias("_features")))
+        return np.asarray(model.clusterCenters(), dtype=np.float64)
+
+    @classmethod
+    def build(cls, corpus: DataFrame, nlist: int | None = None,
+              centroids: np.ndarray | None = None, id_col: str = "idx",
+              vec_col: str = "embedding", path: str | None = None, **training) -> "IvfIndex":
+        """Index every row, with ``centroids`` if they are given, else with ``nlist`` learnt
+        ones. ``path``: where to keep the index."""
+        if (nlist is None) == (centroids is None):
+            raise ValueError("give either nlist or centroids")
+        if centroids is None:
+            centroids = cls.train(corpus, nlist, vec_col=vec_col, **training)
+        centroids = np.asarray(centroids, dtype=np.float64)
+        index = cls._stored(centroids, cls.assign(centroids, corpus, id_col, vec_col))
+        return index.save(path) if path is not None else index
+
+    @classmethod
+    def _stored(cls, centroids: np.ndarray, assigned: DataFrame) -> "IvfIndex":
+        assigned = store(assigned, "cells")
+        return cls(centroids, assigned, assigned.agg(F.max("idx")).first()[0] or 0)
 
     def save(self, path: str) -> "IvfIndex":
-        """Persist the model (``path/model``) and the cell assignment partitioned by cell
-        (``path/cells``); returns the index reading the stored cells."""
-        self.model.write().overwrite().save(f"{path}/model")
-        self.assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-        return IvfIndex.load(self.assigned.sparkSession, path)
+        """Keep centroids, the highest idx and the cells (partitioned by cell) under ``path``."""
+        spark = self.assigned.sparkSession
+        self.assigned.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(
+            f"{path}/cells")
+        _write_model(spark, path, self.centroids, self.last_idx)
+        return IvfIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> "IvfIndex":
-        model = KMeansModel.load(f"{path}/model")
-        return cls(model, spark.read.parquet(f"{path}/cells"))
+        row = spark.read.schema(MODEL).json(f"{path}/model").first()
+        return cls(np.array(row["centroids"]),
+                   spark.read.schema(ASSIGNED).parquet(f"{path}/cells"), row["last_idx"])
 
-    def refresh(self, new_rows: DataFrame, vec_col: str = "embedding",
+    def refresh(self, new_rows: DataFrame, id_col: str = "idx", vec_col: str = "embedding",
                 path: str | None = None) -> "IvfIndex":
-        """Add appended rows with cells from the saved model (no refit); a full rebuild is
-        only done when the caller asks for it."""
-        added = self.assign(self.model, new_rows.select(*self.assigned.columns[:2]), vec_col)
-        if path is not None:
-            added.write.mode("append").partitionBy("cell").parquet(path)
-            return IvfIndex(self.model, self.assigned.sparkSession.read.parquet(path))
-        return IvfIndex(self.model, self.assigned.unionByName(added))
-
-    def estimate_recall(self, corpus: DataFrame, queries: DataFrame, k: int = 10,
-                        nprobe: int = 4, fraction: float = 0.01, seed: int = 42,
-                        qid_col: str = "query_id", qvec_col: str = "embedding") -> float:
-        """recall@k of this index against exact search, measured on a seeded sample of the
-        queries (at least one query when any exist). Report it with approximate results."""
-        sample = queries.sample(fraction=min(1.0, fraction), seed=seed)
+        """Add rows with the same centroids; training anew is a new ``build``. ``path``: where
+        this index is kept, to which the rows are appended."""
+        added = self._stored(self.centroids,
+                             self.assign(self.centroids, new_rows, id_col, vec_col))
+        last = max(self.last_idx, added.last_idx)
+        if path is None:
+            return IvfIndex(self.centroids, self.assigned.unionByName(added.assigned), last)
+        added.assigned.repartition("cell").write.mode("append").partitionBy("cell").parquet(
+            f"{path}/cells")
+        spark = self.assigned.sparkSession
+        _write_model(spark, path, self.centroids, last)
+        return IvfIndex.load(spark, path)
+
+    def estimate_recall(self, corpus: DataFrame, queries: DataFrame, fraction: float, k: int = 10,
+                        nprobe: int = 4, seed: int = 42, qid_col: str = "query_id",
+                        qvec_col: str = "embedding") -> float | None:
+        """recall@k against exact search on a seeded sample of the queries; None if the sample
+        is empty."""
+        sample = store(queries.sample(fraction=fraction, seed=seed), "sample")
         if sample.isEmpty():
-            sample = queries.limit(1)
+            return None
         approx = self.search(sample, k=k, nprobe=nprobe, qid_col=qid_col, qvec_col=qvec_col)
         exact = knn_ops.knn(corpus.select("idx", "embedding"), sample, k=k, qid_col=qid_col,
                             qvec_col=qvec_col)
         return recall_at_k(approx, exact)
 
-    def probes(self, Q: np.ndarray, nprobe: int) -> np.ndarray:
-        c = self.centroids
-        d2 = (Q * Q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * Q @ c.T
-        p = min(nprobe, c.shape[0])
-        return np.argsort(d2, axis=1, kind="stable")[:, :p].astype(np.int64)
-
-    def search(self, queries: DataFrame, k: int = 5, nprobe: int = 4,
-               metric: str = "euclidean", qid_col: str = "query_id",
-               qvec_col: str = "embedding",
-               max_broadcast_bytes: int = knn_ops.DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-        spark = queries.sparkSession
-        empty = spark.createDataFrame([], "query_id long, rank int, idx long, distance double")
+    def hits(self, queries: DataFrame, k: int, nprobe: int, metric: str = "euclidean",
+             qid_col: str = "query_id", qvec_col: str = "embedding",
+             part_rows: int = knn_ops.PART_ROWS,
+             block_rows: int = knn_ops.BLOCK_ROWS) -> DataFrame:
+        """Partial hits (query_id, idx, distance) of the probed cells."""
+        centroids = self.centroids
+
+        def probe(batches):
+            for pdf in batches:
+                if len(pdf):
+                    Q = knn_ops._as_matrix(pdf.q, centroids.shape[1])
+                    near = nearest_cells(centroids, Q, nprobe)
+                    at = np.repeat(np.arange(len(pdf)), near.shape[1])
+                    yield pd.DataFrame({"query_id": pdf.query_id.to_numpy()[at],
+                                        "q": pdf.q.to_numpy()[at], "cell": near.ravel()})
+
+        asked = queries.select(F.col(qid_col).alias("query_id"),
+                               F.col(qvec_col).cast("array<double>").alias("q")).where(
+                                   F.col("q").isNotNull())
+        schema = T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])
+        probes = store(asked.mapInPandas(probe, schema), "probes")
+        # one row per cell, at most nlist: how often its rows and its queries are cut
+        cut = self.assigned.groupBy("cell").agg(
+            F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts")).join(
+            probes.groupBy("cell").agg(
+                F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")), "cell")
+        cut = F.broadcast(store(cut, "cuts"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = (self.assigned.join(cut, "cell")
+                .withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int"))
+                .withColumn("block", every("blocks")).select("cell", "part", "block", "idx", "v"))
+        right = (probes.join(cut, "cell")
+                 .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+                 .withColumn("part", every("parts"))
+                 .select("cell", "part", "block", "query_id", "q"))
+        keys = ["cell", "part", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            knn_ops.cell_hits(k, metric), knn_ops.hit_schema(asked, "query_id"))
+
+    def search(self, queries: DataFrame, k: int = 5, nprobe: int = 4, metric: str = "euclidean",
+               qid_col: str = "query_id", qvec_col: str = "embedding",
+               newer: DataFrame | None = None, **sizes) -> DataFrame:
+        """Top ``k`` of the probed cells and, exactly, of the rows of ``newer`` (idx, embedding)
+        above the highest indexed idx."""
         if k <= 0:
-            return empty
-        stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                            F.max(F.size(qvec_col)).alias("d")).first()
-        n, d = int(stats["n"]), int(stats["d"] or 0)
-        if n == 0:
-            return empty
-        if n * (max(1, d) * 8 + 64) <= max_broadcast_bytes:
-            return self._search_block(queries.select(qid_col, qvec_col).toPandas(), k,
-                                      nprobe, metric, qid_col, qvec_col) or empty
-        # above the broadcast bound: one query block at a time, hits written to the
-        # checkpoint folder so the driver never holds more than one block
-        path = scratch_path(spark, "ivf-hits")
-        queries = materialize(queries.select(qid_col, qvec_col))  # filtered once per block
-        wrote = False
-        for qpdf in knn_ops._query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
-            hits = self._search_block(qpdf, k, nprobe, metric, qid_col, qvec_col)
-            if hits is not None:
-                hits.write.mode("append").parquet(path)
-                wrote = True
-        return spark.read.parquet(path) if wrote else empty
-
-    def _search_block(self, qpdf, k, nprobe, metric, qid_col, qvec_col):
-        qpdf = qpdf[qpdf[qvec_col].notna()]
-        if len(qpdf) == 0:
-            return None
-        Q = knn_ops._as_matrix(qpdf[qvec_col].to_numpy())
-        pr = self.probes(Q, nprobe)
-        cells = sorted({int(c) for c in np.unique(pr)})
-        scan = self.assigned.where(F.col("cell").isin(cells))  # partition pruning when stored
-        hits = knn_ops.partial_hits(scan, qpdf, k, metric, "idx", "embedding", qid_col,
-                                    qvec_col, cell_col="cell", probes=pr)
+            return knn_ops.empty_hits(queries, qid_col)
+        hits = self.hits(queries, k, nprobe, metric, qid_col, qvec_col, **sizes)
+        if newer is not None:
+            fresh = newer.where(F.col("idx") > self.last_idx)
+            hits = hits.unionByName(knn_ops.knn(
+                fresh, queries, k, metric, qid_col=qid_col, qvec_col=qvec_col).drop("rank"))
         return knn_ops.final_topk(hits, k)
 
 
+def _write_model(spark, path: str, centroids: np.ndarray, last_idx: int) -> None:
+    row = spark.createDataFrame([(centroids.tolist(), last_idx)], MODEL)
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/model")
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
     """Share of exact (query, idx) hits that the approximate result also returns."""
     a = approx.select("query_id", "idx")

@@ -20,11 +20,10 @@ TEMPERATURE = 0.7
 REPEAT_PENALTY = 1.2
 HOSTED_MARKER = "openai"
 
-# Prompt template (own wording). Sections: preferences, request, optional context, answer.
-PREFERENCES = ("Answer briefly and plainly. Rely on the context when one is given. "
-               "Do not add bracketed reference numbers.")
-PROMPT_INTRO = ("The notes below describe how to respond. Follow them without quoting them. "
-                "Then answer the request as well as you can.")
+# Prompt template. Sections: preferences, request, optional context, answer. The defaults are
+# neutral; callers pass their own preferences.
+PREFERENCES = "Be brief."
+PROMPT_INTRO = "Answer the request below."
 SECTION_PREFS = "## Notes"
 SECTION_QUERY = "## Request"
 SECTION_CONTEXT = "## Context"

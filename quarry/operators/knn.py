@@ -1,13 +1,17 @@
 """k-nearest-neighbour join of a query table against a vector table.
 
-Plan: the query block (size checked against ``max_broadcast_bytes``) is broadcast once; every
-task of the corpus scan computes distances for its Arrow batches with numpy (BLAS block
-product for the candidate set, exact float64 differences for the kept rows) and keeps only the
-best ``k`` per query. The shuffle therefore carries at most ``k x queries x tasks`` rows, and a
-final ``row_number`` window (planned as a partial + final ``WindowGroupLimit``) picks the global
-top ``k`` with ties broken by the lower ``idx``. No pair of (query, vector) rows is ever
-materialised. Query sets beyond the bound are processed block by block, each block's hits
-written to the checkpoint folder.
+Two strategies, chosen by the caller:
+
+* ``grid`` (default): corpus rows are dealt by hash to parts and queries to blocks; every
+  (part, block) cell is one cogrouped task that computes the block's distances to the part with
+  numpy (BLAS block product for the candidate set, exact float64 differences for the kept rows)
+  and yields the best ``k`` per query. Both sides stay in the executors, whatever their size.
+* ``broadcast``: for a small batch of queries. The batch is collected behind a check of its
+  bytes (above the bound it is an error), broadcast once, and every task of the corpus scan
+  keeps a running top ``k``, so the corpus is not shuffled.
+
+No pair of (query, vector) rows is ever materialised. A final ``row_number`` window (planned as
+a partial + final ``WindowGroupLimit``) picks the global top ``k``, ties broken by lower ``idx``.
 """
 
 from __future__ import annotations
@@ -16,21 +20,36 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.session import materialize, scratch_path, ship_package
+from quarry.session import ship_package, store
 
-HIT_SCHEMA = "query_id long, idx long, distance double"
-DEFAULT_MAX_BROADCAST_BYTES = 64 << 20  # query block per broadcast; larger sets go in blocks
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+PART_ROWS = 32768       # corpus rows of a grid cell
+BLOCK_ROWS = 4096       # queries of a grid cell
+
+
+def hit_schema(queries: DataFrame, qid_col: str) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema[qid_col].dataType),
+                         T.StructField("idx", T.LongType()),
+                         T.StructField("distance", T.DoubleType())])
+
+
+def empty_hits(queries: DataFrame, qid_col: str) -> DataFrame:
+    fields = hit_schema(queries, qid_col).fields
+    return queries.sparkSession.createDataFrame([], T.StructType(
+        [fields[0], T.StructField("rank", T.IntegerType()), *fields[1:]]))
 
 
 def _as_matrix(values, dim: int | None = None) -> np.ndarray:
-    rows = [np.asarray(v, dtype=np.float64) for v in values]
-    if not rows:
+    """Rows of one length as a matrix, by one flat copy."""
+    values = list(values)
+    if not values:
         return np.zeros((0, dim or 0))
-    lens = {len(r) for r in rows}
+    lens = {len(v) for v in values}
     if len(lens) != 1 or (dim is not None and lens != {dim}):
         raise ValueError(f"vectors of different length: {sorted(lens)} (expected {dim})")
-    return np.vstack(rows)
+    return np.concatenate(values).astype(np.float64).reshape(len(values), -1)
 
 
 def select_topk(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
@@ -46,13 +65,9 @@ def select_topk(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
     return qi[keep], ids[keep], d[keep]
 
 
-def block_candidates(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metric: str,
-                     allowed: np.ndarray | None = None):
-    """Exact top-``k`` rows of one vector block for every query of ``Q``.
-
-    ``allowed`` (bool, queries x rows) restricts the pairs considered (used by IVF probing).
-    Returns (query_row, id, distance) arrays.
-    """
+def block_candidates(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metric: str):
+    """Exact top-``k`` rows of one vector block for every query of ``Q``: (query_row, id,
+    distance) arrays."""
     n = V.shape[0]
     if n == 0 or Q.shape[0] == 0 or k <= 0:
         e = np.zeros(0, dtype=np.int64)
@@ -69,16 +84,11 @@ def block_candidates(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metr
         approx = qn2[:, None] + vn2[None, :] - 2.0 * (Q @ V.T)
         scale = qn2.max(initial=0.0) + vn2.max(initial=0.0)
     approx = np.where(np.isnan(approx), np.inf, approx)
-    if allowed is not None:
-        approx = np.where(allowed, approx, np.inf)
     kk = min(k, n)
     part = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
     thr = np.take_along_axis(approx, part, 1).max(axis=1)
     eps = 1e-9 * scale + 1e-12
-    mask = approx <= (thr + eps)[:, None]
-    if allowed is not None:
-        mask &= allowed
-    qi, vi = np.nonzero(mask)
+    qi, vi = np.nonzero(approx <= (thr + eps)[:, None])
     if metric == "cosine":
         dots = np.einsum("ij,ij->i", Q[qi], V[vi])
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -90,77 +100,30 @@ def block_candidates(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metr
     return select_topk(qi.astype(np.int64), ids[vi].astype(np.int64), dist, k)
 
 
-def _partition_topk(qids: np.ndarray, qmat_bc, k: int, metric: str, id_col: str,
-                    vec_col: str, cell_col: str | None = None, probes_bc=None):
-    """mapInPandas body: running top-k per query over every batch of the task."""
-    def run(batches):
-        Q = qmat_bc.value
-        probes = probes_bc.value if probes_bc is not None else None
-        dim = Q.shape[1]
-        q_block = 512
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) == 0:
-                continue
-            V = _as_matrix(pdf[vec_col].to_numpy(), dim)
-            ids = pdf[id_col].to_numpy(np.int64)
-            cells = pdf[cell_col].to_numpy(np.int64) if cell_col else None
-            parts = [best]
-            for s in range(0, Q.shape[0], q_block):
-                Qb = Q[s:s + q_block]
-                allowed = None
-                if probes is not None:
-                    allowed = (probes[s:s + q_block][:, :, None] == cells[None, None, :]).any(1)
-                    if not allowed.any():
-                        continue
-                qi, ii, dd = block_candidates(Qb, V, ids, k, metric, allowed)
-                parts.append((qi + s, ii, dd))
-            best = select_topk(np.concatenate([p[0] for p in parts]),
-                               np.concatenate([p[1] for p in parts]),
-                               np.concatenate([p[2] for p in parts]), k)
-        if len(best[0]):
-            yield pd.DataFrame({"query_id": qids[best[0]], "idx": best[1],
-                                "distance": best[2]})
+def block_topk(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metric: str,
+               q_block: int = 512):
+    """``block_candidates`` for many queries, some at a time."""
+    parts = []
+    for s in range(0, len(Q), q_block):
+        qi, ii, dd = block_candidates(Q[s:s + q_block], V, ids, k, metric)
+        parts.append((qi + s, ii, dd))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def cell_hits(k: int, metric: str):
+    """cogroup body: corpus rows (idx, v) and queries (query_id, q) of one cell -> hits."""
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": asked.query_id[:0], "idx": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        Q = _as_matrix(asked.q)
+        V = _as_matrix(rows.v, Q.shape[1])
+        qi, ids, dist = block_topk(Q, V, rows.idx.to_numpy(np.int64), k, metric)
+        return pd.DataFrame({"query_id": asked.query_id.to_numpy()[qi], "idx": ids,
+                             "distance": dist})
     return run
 
 
-def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_bytes: int):
-    """Yield bounded pandas blocks of the query table (count and width checked first)."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.max(F.size(qvec_col)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return
-    per_query = max(1, d) * 8 + 64
-    nblocks = max(1, -(-n * per_query // max_bytes))
-    if nblocks == 1:
-        yield queries.select(qid_col, qvec_col).toPandas()
-        return
-    keyed = queries.select(qid_col, qvec_col).withColumn(
-        "_blk", F.pmod(F.xxhash64(qid_col), F.lit(nblocks)))
-    for b in range(nblocks):
-        yield keyed.where(F.col("_blk") == b).drop("_blk").toPandas()
-
-
-def partial_hits(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str = "euclidean",
-                 id_col: str = "idx", vec_col: str = "embedding", qid_col: str = "query_id",
-                 qvec_col: str = "embedding", cell_col: str | None = None,
-                 probes: np.ndarray | None = None) -> DataFrame:
-    """Per-task top-k of one broadcast query block (``qpdf``) over ``corpus``."""
-    spark = corpus.sparkSession
-    ship_package(spark)
-    qpdf = qpdf[qpdf[qvec_col].notna()]
-    qmat = _as_matrix(qpdf[qvec_col].to_numpy())
-    qids = qpdf[qid_col].to_numpy(np.int64)
-    sc = spark.sparkContext
-    qmat_bc = sc.broadcast(qmat)
-    probes_bc = sc.broadcast(probes) if probes is not None else None
-    cols = [id_col, vec_col] + ([cell_col] if cell_col else [])
-    body = _partition_topk(qids, qmat_bc, k, metric, id_col, vec_col, cell_col, probes_bc)
-    return corpus.select(*cols).mapInPandas(body, HIT_SCHEMA)
-
-
 def final_topk(hits: DataFrame, k: int) -> DataFrame:
     """Global top-k per query with ``rank`` 1..k, ties broken by the lower idx."""
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("idx").asc())
@@ -171,38 +134,60 @@ def final_topk(hits: DataFrame, k: int) -> DataFrame:
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "euclidean",
         id_col: str = "idx", vec_col: str = "embedding", qid_col: str = "query_id",
-        qvec_col: str = "embedding",
+        qvec_col: str = "embedding", strategy: str = "grid", part_rows: int = PART_ROWS,
+        block_rows: int = BLOCK_ROWS,
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Exact kNN join: (query_id, rank, idx, distance), ``rank`` 1..min(k, corpus size)."""
-    spark = corpus.sparkSession
+    """Exact kNN join: (query_id, rank, idx, distance), ``rank`` 1..min(k, corpus size). Rows
+    without a vector on either side take no part."""
+    ship_package(corpus.sparkSession)
+    rows = corpus.select(F.col(id_col).alias("idx"), F.col(vec_col).alias("v")).where(
+        F.col("v").isNotNull())
+    asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("q")).where(
+        F.col("q").isNotNull())
     if k <= 0:
-        return spark.createDataFrame([], "query_id long, rank int, idx long, distance double")
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.max(F.size(qvec_col)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return spark.createDataFrame([], "query_id long, rank int, idx long, distance double")
-    if n * (max(1, d) * 8 + 64) > max_broadcast_bytes:
-        return knn_blocked(corpus, queries, k, metric, id_col, vec_col, qid_col, qvec_col,
-                           max_broadcast_bytes)
-    qpdf = queries.select(qid_col, qvec_col).toPandas()
-    return final_topk(partial_hits(corpus, qpdf, k, metric, id_col, vec_col, qid_col,
-                                   qvec_col), k)
-
-
-def knn_blocked(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str,
-                vec_col: str, qid_col: str, qvec_col: str, max_broadcast_bytes: int) -> DataFrame:
-    """Query sets above the broadcast bound: one block at a time, hits written to the
-    checkpoint folder (lineage cut, survives executor loss), then read back as one table."""
-    spark = corpus.sparkSession
-    # every block filters the query table: store (id, vector) once instead of recomputing
-    queries = materialize(queries.select(qid_col, qvec_col))
-    path = scratch_path(spark, "knn-hits")
-    wrote = False
-    for qpdf in _query_blocks(queries, qid_col, qvec_col, max_broadcast_bytes):
-        final_topk(partial_hits(corpus, qpdf, k, metric, id_col, vec_col, qid_col, qvec_col),
-                   k).write.mode("append").parquet(path)
-        wrote = True
-    if not wrote:
-        return spark.createDataFrame([], "query_id long, rank int, idx long, distance double")
-    return spark.read.parquet(path)
+        return empty_hits(queries, qid_col)
+    if strategy == "broadcast":
+        hits = _broadcast_hits(rows, asked, k, metric, max_broadcast_bytes)
+    elif strategy == "grid":
+        hits = _grid_hits(rows, asked, k, metric, part_rows, block_rows)
+    else:
+        raise ValueError(f"unknown strategy: {strategy!r}")
+    return final_topk(hits, k)
+
+
+def _grid_hits(rows: DataFrame, asked: DataFrame, k: int, metric: str, part_rows: int,
+               block_rows: int) -> DataFrame:
+    asked = store(asked, "queries")
+    parts = max(1, -(-rows.count() // part_rows))
+    blocks = max(1, -(-asked.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int")) \
+               .withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")) \
+                 .withColumn("part", every(parts))
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
+        cell_hits(k, metric), hit_schema(asked, "query_id"))
+
+
+def _broadcast_hits(rows: DataFrame, asked: DataFrame, k: int, metric: str,
+                    max_bytes: int) -> DataFrame:
+    stats = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
+    if stats["n"] * ((stats["d"] or 0) * 8 + 64) > max_bytes:
+        raise ValueError(f"{stats['n']} queries exceed {max_bytes} broadcast bytes; "
+                         "use strategy='grid'")
+    batch = asked.toPandas()
+    Q, names = _as_matrix(batch.q), batch.query_id.to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast((Q, names))
+
+    def run(batches):
+        Q, names = sent.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for pdf in batches:
+            if len(pdf) and len(Q):
+                V = _as_matrix(pdf.v, Q.shape[1])
+                found = block_topk(Q, V, pdf.idx.to_numpy(np.int64), k, metric)
+                best = select_topk(*(np.concatenate(x) for x in zip(best, found)), k)
+        if len(best[0]):
+            yield pd.DataFrame({"query_id": names[best[0]], "idx": best[1], "distance": best[2]})
+
+    return rows.mapInPandas(run, hit_schema(asked, "query_id"))

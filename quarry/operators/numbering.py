@@ -1,9 +1,10 @@
 """Dense sequence numbers (``idx`` 1, 2, 3, ...) in an explicit order, without a one-partition
 sort, plus ``next_idx``.
 
-Only narrow (key, count) rows move: they are range-partitioned on the order key, each range
-computes a running sum locally, and the per-range totals (one row per range, so bounded by the
-number of ranges) are prefix-summed and broadcast back.
+The batch is stored once with a unique row key. Narrow (order columns, row key, count) rows are
+range-partitioned and stored once too, so the local running sums and the totals per range are
+read from the same ranges whatever the optimizer does. The numbers join back on the row key
+alone: repeated or null order values neither multiply nor lose rows.
 """
 
 from __future__ import annotations
@@ -11,21 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import store
 
-def _num_ranges(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+ROW = "_row"
 
 
-def start_offsets(df: DataFrame, order_cols, count_col: str, offset=0,
+def keyed(df: DataFrame, name: str = "batch") -> DataFrame:
+    """``df`` stored with a unique row key."""
+    return store(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def start_offsets(stored: DataFrame, order_cols, count_col: str, offset=0,
                   num_ranges: int | None = None) -> DataFrame:
-    """(order_cols..., _start): sum of ``count_col`` over all rows that come before the row in
-    ``order_cols`` order, plus ``offset`` (an int or a one-value Column)."""
-    order_cols = list(order_cols)
-    n = num_ranges or _num_ranges(df)
-    narrow = df.select(*order_cols, F.col(count_col).cast("long").alias("_n"))
-    ranged = narrow.repartitionByRange(n, *order_cols).withColumn("_r", F.spark_partition_id())
-    before = Window.partitionBy("_r").orderBy(*order_cols).rowsBetween(
+    """(_row, _start) for a table with a row key: the sum of ``count_col`` over all rows before
+    the row in ``order_cols`` order, plus ``offset`` (an int or a one-value Column). Nulls come
+    first and ties go by row key, that is by arrival."""
+    spark = stored.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col(ROW).asc()]
+    n = num_ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    narrow = stored.select(*order_cols, ROW, F.col(count_col).cast("long").alias("_n"))
+    ranged = store(narrow.repartitionByRange(n, *order).withColumn(
+        "_r", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_r").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     totals = ranged.groupBy("_r").agg(F.sum("_n").alias("_t"))
@@ -35,31 +43,21 @@ def start_offsets(df: DataFrame, order_cols, count_col: str, offset=0,
     base = totals.select("_r", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_base"))
     off = offset if not isinstance(offset, (int, float)) else F.lit(int(offset))
     return (local.join(F.broadcast(base), "_r")
-                 .select(*order_cols, (F.col("_base") + F.col("_local") + off).alias("_start")))
-
-
-MAX_BROADCAST_OFFSETS = 4_000_000  # (key, start) rows, ~16 bytes each
+                 .select(ROW, (F.col("_base") + F.col("_local") + off).alias("_start")))
 
 
 def assign_dense_ids(df: DataFrame, order_cols, array_col: str, id_name: str = "idx",
-                     offset=0, pos_name: str = "pos", n_rows: int | None = None) -> DataFrame:
+                     offset=0, pos_name: str = "pos") -> DataFrame:
     """Explode ``array_col`` of every row into rows numbered ``offset+1 ...`` densely, in
     ``order_cols`` order then array position. Rows stay whole until after the join, so one
     huge array is one row in the shuffle, not a skewed key of many rows.
 
-    The (key, start) table is broadcast only when ``n_rows`` (the caller's row count) proves
-    it small; otherwise a shuffled hash join builds on it. Either way the document rows are
-    the streamed side, so the explode and everything after it keep the rows' parallelism
-    (left to itself, AQE may broadcast a small document side and stream the one-partition
-    offsets instead).
+    The join builds on the narrow (row key, start) side, so the rows themselves are streamed
+    and the explode keeps their parallelism.
     """
-    counted = df.withColumn("_cnt", F.size(array_col))
-    starts = start_offsets(counted, order_cols, "_cnt", offset)
-    if n_rows is not None and n_rows <= MAX_BROADCAST_OFFSETS:
-        starts = F.broadcast(starts)
-    else:
-        starts = starts.hint("shuffle_hash")
-    joined = counted.join(starts, list(order_cols)).drop("_cnt")
+    stored = keyed(df.withColumn("_cnt", F.size(array_col)))
+    starts = start_offsets(stored, list(order_cols), "_cnt", offset)
+    joined = stored.join(starts.hint("shuffle_hash"), ROW).drop("_cnt", ROW)
     others = [c for c in joined.columns if c not in (array_col, "_start")]
     return (joined.select(*others, "_start",
                           F.posexplode_outer(array_col).alias("_p", "_e"))

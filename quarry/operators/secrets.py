@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 # the candidate pattern takes a whole alphanumeric run that starts after a non-alphanumeric
 # character (or the text start) and consumes only that leading character, so secrets one
 # separator apart are all found; the anchored format then decides.
+KEY_FORMAT = r"^sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20}$"
 SECRET_PATTERNS = (
-    ("api_key", r"(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9]*)",
-     r"^sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20}$"),
+    ("api_key", r"(?:^|[^A-Za-z0-9])(sk-[A-Za-z0-9]*)", KEY_FORMAT),
     ("hex40", r"(?:^|[^A-Za-z0-9])([0-9a-f]{40}[A-Za-z0-9]*)", r"^[0-9a-f]{40}$"),
 )
-KEY_FORMAT = r"^sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20}$"
 
 
 def _matches(fmt: str):

@@ -15,9 +15,9 @@ from quarry.functions.text import let
 
 
 def text_lines(text: Column) -> Column:
-    """Lines as a line reader sees them: no trailing empty line after a final newline, no
-    line at all for an empty text."""
-    parts = F.split(text, "\n", -1)
+    """Lines as a line reader sees them: parted by ``\\n`` or ``\\r\\n``, no trailing empty
+    line after a final newline, no line at all for an empty text."""
+    parts = F.split(text, "\r?\n", -1)
     return (F.when(F.length(text) == 0, F.array().cast("array<string>"))
              .when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1))
              .otherwise(parts))
@@ -44,7 +44,10 @@ def part_spans(text, n_parts: int) -> Column:
     text = F.col(text) if isinstance(text, str) else text
 
     def with_lines(lines):
-        costs = F.transform(lines, lambda l: (F.octet_length(l) + 1).cast("long"))
+        return let(F.transform(lines, lambda l: (F.octet_length(l) + 1).cast("long")),
+                   lambda costs: with_costs(lines, costs))
+
+    def with_costs(lines, costs):
         target = F.floor(F.octet_length(text) / F.lit(n_parts)).cast("long")
         n = F.size(lines)
 
@@ -96,6 +99,22 @@ def part_lines(df: DataFrame, n_parts: int, id_cols=("doc_id",), text_col: str =
          .alias("z")).select(*ids, "part", "z.line_no", "z.line")
 
 
+def write_parts(df: DataFrame, n_parts: int, path: str, id_cols=("doc_id",),
+                text_col: str = "text") -> None:
+    """Write the parts as text, one folder per part number, lines in their order within each
+    text's share of a file."""
+    ids = [F.col(c) for c in id_cols]
+    (part_lines(df, n_parts, id_cols, text_col).repartition("part", *ids)
+     .sortWithinPartitions("part", *ids, "line_no").select("part", F.col("line").alias("value"))
+     .write.mode("errorifexists").partitionBy("part").text(path))
+
+
+def read_parts(spark, path: str) -> DataFrame:
+    """(part, line) of parts written by ``write_parts``."""
+    return spark.read.schema("value string, part int").option("lineSep", "\n").text(path).select(
+        "part", F.col("value").alias("line"))
+
+
 def append_text(df: DataFrame, path: str, value_col: str = "value") -> None:
     """Append the text column verbatim to a text dataset (created when missing)."""
     df.select(F.col(value_col).alias("value")).write.mode("append").text(path)

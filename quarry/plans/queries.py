@@ -18,7 +18,7 @@ from quarry.operators.splitting import split_parts
 from quarry.plans import oracle_sql as O
 from quarry.plans.catalog import corpus_names
 from quarry.plans.corpus import Corpus, chunk_rows
-from quarry.session import checkpoint_dir, ship_package, spread
+from quarry.session import checkpoint_dir, scratch_path, ship_package, spread
 from quarry.sources import html as html_src, pages as pages_src
 
 K_SEARCH = 5
@@ -126,7 +126,7 @@ def q_upsert_chunks(spark, sf):
     corpus = Corpus.create(spark)
     order = ("doc_id", "chunk_no")
     corpus.append_chunks(chunks.where(F.col("lang") == "en"), order_cols=order)
-    corpus.append_chunks(chunks.where(F.col("lang") != "en"), order_cols=order)
+    corpus.append_chunks(chunks.where(~F.col("lang").eqNullSafe("en")), order_cols=order)
     return corpus.chunks().select("idx", "doc_name", "chunk_no", "chunk")
 
 
@@ -181,9 +181,7 @@ def q_knn_exact(spark, sf):
 def _emb_hits(spark, sf, k=K_SEARCH):
     corpus = _emb_corpus(spark, sf)
     q = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = knn_ops.knn(corpus.select("idx", "embedding"), q, k=k)
-    n = q.count()
-    return srch.attach_metadata(hits, corpus, bounded_rows=n * k)
+    return srch.attach_metadata(knn_ops.knn(corpus.select("idx", "embedding"), q, k=k), corpus)
 
 
 def q_search_arrays(spark, sf):
@@ -214,17 +212,21 @@ def q_cosine_pairs(spark, sf):
     return j.select("a_id", "b_id", _r6(cosine_similarity("a", "b")).alias("cosine"))
 
 
-def _doc_search(spark, sf, queries: DataFrame, k: int = K_SEARCH):
-    corpus = doc_chunk_rows(spark, sf)
-    from quarry.session import materialize
-    corpus = materialize(corpus)  # stored once, scanned by kNN and by the metadata join
-    return srch.search(corpus, queries, k=k, qid_col="query_id", text_col="text")
+def doc_corpus(spark, sf) -> Corpus:
+    """The documents as a stored corpus."""
+    corpus = Corpus.create(spark)
+    corpus.append_documents(_named_docs(spark, sf))
+    return corpus
+
+
+def _doc_search(spark, sf, queries: DataFrame, k: int = K_SEARCH, strategy: str = "grid"):
+    return doc_corpus(spark, sf).search(queries, k=k, strategy=strategy)
 
 
 def q_search_topk(spark, sf):
     """Benchmark questions searched over the document corpus: top-5 chunks."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = _doc_search(spark, sf, q)
+    hits = _doc_search(spark, sf, q, strategy="broadcast")
     return hits.select("query_id", "rank", "idx", "doc_name", "chunk",
                        _r6(F.col("distance")).alias("distance"))
 
@@ -232,7 +234,7 @@ def q_search_topk(spark, sf):
 def q_rag_prompts(spark, sf):
     """Prompt per benchmark question with its top-5 chunks as context."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = _doc_search(spark, sf, q)
+    hits = _doc_search(spark, sf, q, strategy="broadcast")
     ctx = srch.collect_results(hits).select("query_id", F.col("chunks").alias("context"))
     j = q.join(ctx, "query_id", "left")
     return j.select("query_id", gen.build_prompt(F.col("text"), F.col("context")).alias("prompt"))
@@ -349,7 +351,7 @@ SQL = {
          CAST(turn AS INTEGER) AS entry_no, chunk_no, chunk FROM chunks""",
     "upsert_chunks": "WITH RECURSIVE " + O.chunk_pipeline(
         "documents", ["doc_id", "lang"]) + """
-  SELECT row_number() OVER (ORDER BY (lang <> 'en'), doc_id, chunk_no) AS idx,
+  SELECT row_number() OVER (ORDER BY (lang IS DISTINCT FROM 'en'), doc_id, chunk_no) AS idx,
          'doc_' || doc_id AS doc_name, chunk_no, chunk FROM chunks""",
     "corpus_roundtrip": "WITH RECURSIVE " + O.chunk_pipeline(
         "documents", ["doc_id"], limit=256) + """
@@ -578,7 +580,7 @@ QUERIES = {
 
 
 # --------------------------------------------------------------------------- approximate
-IVF_NLIST, IVF_NPROBE = 16, 8
+IVF_NPROBE = 4
 
 
 def _emb_tables(spark, sf):
@@ -587,26 +589,71 @@ def _emb_tables(spark, sf):
             e.select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
+def label_centroids(spark, sf):
+    """The vector of lowest id of each label, by label: as many rows as there are labels."""
+    e = _t(spark, sf, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
+    rows = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label")
+    return [list(r["c"]) for r in rows.collect()]
+
+
+def _ivf_hits(index, q):
+    hits = index.search(q, k=K_KNN, nprobe=IVF_NPROBE)
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
 def q_knn_ivf(spark, sf):
-    """Every embedding's 10 nearest via IVF (16 cells, 8 probed)."""
+    """Every embedding's 10 nearest via IVF (a cell per label, 4 probed)."""
     from quarry.operators.ann import IvfIndex
     corpus, q = _emb_tables(spark, sf)
-    index = IvfIndex.build(corpus, nlist=IVF_NLIST)
-    hits = index.search(q, k=K_KNN, nprobe=IVF_NPROBE)
-    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+    return _ivf_hits(IvfIndex.build(corpus, centroids=label_centroids(spark, sf)), q)
 
 
 def q_ivf_refresh(spark, sf):
-    """Index built on the first batch (labels 0-4), the second batch (labels 5-9) added with
-    cells from the saved model, then every vector searched."""
+    """Index built on a first batch (labels 0-4), the rest added to the same cells, then every
+    vector searched."""
     from quarry.operators.ann import IvfIndex
-    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding", "label")
-    first = e.where(F.col("label") < 5).select("idx", "embedding")
-    second = e.where(F.col("label") >= 5).select("idx", "embedding")
-    index = IvfIndex.build(first, nlist=IVF_NLIST).refresh(second)
-    _, q = _emb_tables(spark, sf)
-    hits = index.search(q, k=K_KNN, nprobe=IVF_NPROBE)
-    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+    corpus, q = _emb_tables(spark, sf)
+    e = _t(spark, sf, "embeddings").withColumnRenamed("vec_id", "idx")
+    early = F.coalesce(F.col("label") < 5, F.lit(False))
+    index = IvfIndex.build(e.where(early), centroids=label_centroids(spark, sf))
+    return _ivf_hits(index.refresh(e.where(~early)), q)
+
+
+def _ivf_sql() -> str:
+    d = "list_distance(v.embedding::DOUBLE[], c.e)"
+    return f"""WITH v AS (SELECT vec_id, label, embedding FROM embeddings
+             WHERE embedding IS NOT NULL),
+  c AS (SELECT row_number() OVER (ORDER BY label) AS cell, min_by(embedding, vec_id)::DOUBLE[] AS e
+        FROM v WHERE label IS NOT NULL GROUP BY label),
+  near AS (SELECT vec_id, cell, n FROM (SELECT v.vec_id, c.cell,
+             row_number() OVER (PARTITION BY v.vec_id ORDER BY {d}, c.cell) AS n
+           FROM v, c) WHERE n <= {IVF_NPROBE}),
+  pairs AS (SELECT q.vec_id AS query_id, r.vec_id AS idx FROM near q JOIN near r
+              ON r.cell = q.cell AND r.n = 1),
+  hits AS (SELECT p.query_id, p.idx, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+           FROM pairs p JOIN v a ON a.vec_id = p.query_id JOIN v b ON b.vec_id = p.idx),
+  ranked AS (SELECT query_id, idx, d, row_number() OVER (PARTITION BY query_id ORDER BY d, idx) AS r
+             FROM hits)
+  SELECT query_id, CAST(r AS INTEGER) AS rank, idx, round(d, 6) AS distance FROM ranked
+  WHERE r <= {K_KNN}"""
+
+
+SQL["knn_ivf"] = SQL["ivf_refresh"] = _ivf_sql()
+
+
+def q_l2_pairs(spark, sf):
+    """Euclidean distance of every embedding to the next id."""
+    from quarry.functions.vectors import l2_distance
+    e = _t(spark, sf, "embeddings")
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    j = a.join(b, F.col("b_id") == F.col("a_id") + 1)
+    return j.select("a_id", "b_id", _r6(l2_distance("a", "b")).alias("distance"))
+
+
+SQL["l2_pairs"] = """SELECT a.vec_id AS a_id, b.vec_id AS b_id,
+    round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 
 
 # --------------------------------------------------------------------------- streaming
@@ -632,11 +679,68 @@ def q_custom_embedder(spark, sf):
     return rows.select("idx", "doc_name", "chunk_no", "embedding")
 
 
+def _custom_embedder_sql() -> str:
+    return "WITH RECURSIVE " + O.chunk_pipeline("documents", ["doc_id"]) + """,
+  g AS (SELECT doc_id, chunk_no, '  ' || lower(chunk) || ' ' AS s FROM chunks),
+  b AS (SELECT doc_id, chunk_no, list_transform(range(1, length(s) - 1), lambda i:
+          CAST(('0x' || substr(md5(substr(s, i, 3)), 1, 8))::BIGINT % 64 AS INTEGER)) AS bk FROM g),
+  n AS (SELECT doc_id, chunk_no, list_transform(range(64), lambda k:
+          CAST(len(list_filter(bk, lambda x: x = k)) AS DOUBLE)) AS c FROM b)
+  SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS idx, 'doc_' || doc_id AS doc_name,
+    chunk_no, list_transform(c, lambda x: CAST(x / sqrt(list_sum(list_transform(c,
+      lambda y: y * y))) AS FLOAT)) AS embedding
+  FROM n"""
+
+
+SQL["custom_embedder"] = _custom_embedder_sql()
+
+
+def q_html_elements(spark, sf):
+    """Text of the title and list items of every stored page, by the HTML parser."""
+    return html_src.html_text(spread(_t(spark, sf, "pages"), "page_id"),
+                              elements=HTML_ELEMENTS)
+
+
+HTML_ELEMENTS = ("title", "li")
+
+
+def _html_elements_sql() -> str:
+    names = "|".join(HTML_ELEMENTS)
+    m = "regexp_replace(m, '<[^>]*>', ' ', 'g')"
+    for ent, ch in html_src.ENTITIES:
+        m = "replace({}, '{}', '{}')".format(m, ent, ch.replace("'", "''"))
+    per = f"trim(regexp_replace({m}, '\\s+', ' ', 'g'))"
+    found = f"regexp_extract_all(html, '(?s)<(?:{names})>.*?</(?:{names})>')"
+    return (f"SELECT page_id, array_to_string(list_filter(list_transform({found}, lambda m: {per}),"
+            " lambda t: t <> ''), ' ') AS text FROM pages")
+
+
+SQL["html_elements"] = _html_elements_sql()
+
+
+def q_split_files(spark, sf):
+    """Documents split in parts, written as text by part and read back: lines and bytes."""
+    from quarry.operators.splitting import read_parts, write_parts
+    path = scratch_path(spark, "parts")
+    write_parts(_docs(spark, sf), SPLIT_PARTS, path)
+    return read_parts(spark, path).groupBy("part").agg(
+        F.count("*").alias("n_lines"),
+        F.sum(F.octet_length("line") + 1).cast("long").alias("n_bytes"))
+
+
+SQL["split_files"] = f"""SELECT part, CAST(sum(n_lines) AS BIGINT) AS n_lines,
+    CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM ({SQL["split_parts"]}) GROUP BY part"""
+
+
 # --------------------------------------------------------------------------- answers
+def turn_key(turn):
+    """Text key of a conversation's turn; unlike a sum it cannot collide."""
+    return F.concat_ws(":", "conv_id", turn)
+
+
 def _user_queries(spark, sf):
     u = _user_turns(spark, sf)
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id",
-                    "text")
+    return u.select(turn_key(F.col("turn")).alias("query_id"), "conv_id", "text")
 
 
 def q_answers(spark, sf):
@@ -649,8 +753,7 @@ def q_answers(spark, sf):
         .where(F.col("rank") <= F.col("k")).drop("k")
     results = srch.collect_results(kept)
     replies = synth_responses(spark, sf).select(
-        (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("query_id"), "family", "status",
-        "body")
+        turn_key(F.col("turn") - 1).alias("query_id"), "family", "status", "body")
     parsed = gen.parse_responses(replies.join(qs.select("query_id"), "query_id", "left_semi"))
     return gen.answers(parsed, results).select("query_id", "result", "idx_list", "doc_names",
                                                "chunks", "served")
@@ -659,15 +762,13 @@ def q_answers(spark, sf):
 def q_rag_payloads(spark, sf):
     """Request body with retrieved context for every user turn (k by the routed family)."""
     from quarry.plans.rag import rag_payloads
-    from quarry.session import materialize
-    corpus = materialize(doc_chunk_rows(spark, sf))
-    return rag_payloads(corpus, _user_queries(spark, sf))
+    return rag_payloads(doc_corpus(spark, sf).chunks(with_block=True), _user_queries(spark, sf))
 
 
 SQL["stream_ingest"] = SQL["ingest_documents"]
 
 SQL["rag_payloads"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
-  uq AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations
+  uq AS (SELECT conv_id || ':' || turn AS query_id, conv_id, text FROM conversations
          WHERE role = 'user'),
 """ + O.embed_cte("q", "uq", ["query_id", "conv_id"], "text") + f""",
   qk AS (SELECT uq.query_id, uq.text, m.model,
@@ -696,7 +797,7 @@ SQL["rag_payloads"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
   FROM pr"""
 
 SQL["answers"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
-  uq AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations
+  uq AS (SELECT conv_id || ':' || turn AS query_id, conv_id, text FROM conversations
          WHERE role = 'user'),
 """ + O.embed_cte("q", "uq", ["query_id", "conv_id"], "text") + f""",
   qk AS (SELECT query_id, CASE WHEN instr(m.model, '{gen.HOSTED_MARKER}') > 0
@@ -710,8 +811,8 @@ SQL["answers"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
                list(h.doc_name ORDER BY h.rank) AS doc_names, list(h.chunk ORDER BY h.rank) AS chunks
              FROM hits h JOIN qk USING (query_id) WHERE h.rank <= qk.k GROUP BY h.query_id),
   parsed AS ({SQL["parse_responses"].replace("WITH r AS", "SELECT * FROM (WITH r AS", 1)})),
-  replies AS (SELECT conv_id * 1000 + turn - 1 AS query_id, result, error FROM parsed
-              WHERE conv_id * 1000 + turn - 1 IN (SELECT query_id FROM uq))
+  replies AS (SELECT conv_id || ':' || (turn - 1) AS query_id, result, error FROM parsed
+              WHERE conv_id || ':' || (turn - 1) IN (SELECT query_id FROM uq))
   SELECT r.query_id, r.result, a.idx_list, a.doc_names, a.chunks,
     to_json({{'result': r.result,
              'doc_names': list_reduce(list_transform(a.doc_names, lambda x: [x]),
@@ -720,6 +821,9 @@ SQL["answers"] = "WITH RECURSIVE " + O.doc_corpus_ctes() + f""",
   FROM replies r LEFT JOIN arrays a USING (query_id) WHERE r.error IS NULL"""
 
 QUERIES.update({
+    "l2_pairs": q_l2_pairs,
+    "html_elements": q_html_elements,
+    "split_files": q_split_files,
     "knn_ivf": q_knn_ivf,
     "ivf_refresh": q_ivf_refresh,
     "stream_ingest": q_stream_ingest,

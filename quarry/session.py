@@ -2,12 +2,13 @@
 
 On a cluster the session comes from the caller; nothing here overrides settings that are
 already present. ``spark.checkpoint.dir`` is read from the session; a scratch folder is only
-chosen when the setting is absent (local tests), never on a configured cluster.
+chosen when the setting is absent and the master is local (tests).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+    conf[SPREAD] = cpus
     conf["spark.driver.memory"] = os.environ.get("QUARRY_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
@@ -44,8 +46,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints and intermediate tables.
 
-    Uses the context's checkpoint dir or ``spark.checkpoint.dir``; only when neither is set
-    (local tests) a fresh scratch folder is created.
+    Uses the context's checkpoint dir or ``spark.checkpoint.dir``. Only a ``local`` master gets
+    a fresh scratch folder when neither is set; elsewhere executors would not see it, so the
+    missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -67,10 +72,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss; never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write an intermediate table as Parquet in the shared folder and reread it: lineage is
+    cut, lost executors cost nothing, and later scans read only the columns they need."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy depends on any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._stored_path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
 
 
 _SHIPPED: set = set()
@@ -101,11 +122,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+#: partitions that CPU-heavy queries deal their input to; unset: the scan's own splits
+SPREAD = "spark.quarry.spread"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks. A scan with fewer input partitions than the
-    cluster's parallelism (a small file, one row group) is hash-repartitioned on ``keys``; a
-    large input already has many splits and is left alone (no extra shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    """Deal the rows out to as many partitions as the session's ``spark.quarry.spread`` names,
+    by ``keys``. Unset, as for inputs of many splits, rows stay where they are. The local
+    session sets it, since its test tables are single files."""
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n), *keys) if n else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return store(df)

@@ -2,41 +2,52 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _existing(spark: SparkSession, paths) -> list[str]:
+def _uri(column) -> F.Column:
+    """File URIs with one slash after the scheme, however they were written."""
+    return F.regexp_replace(column, "^([a-z0-9]+):/+(?=[^/])", "$1:/")
+
+
+def _located(spark: SparkSession, paths) -> list[tuple[str, str, bool]]:
+    """(path, URI, whether it exists) of each path; a relative one is resolved."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
         try:
-            if hp.getFileSystem(conf).exists(hp):
-                out.append(p)
-        except Exception:  # unreadable location counts as missing
-            pass
+            hp = jvm.org.apache.hadoop.fs.Path(p)
+            fs = hp.getFileSystem(conf)
+            out.append((p, fs.makeQualified(hp).toUri().toString(), bool(fs.exists(hp))))
+        except Exception:  # an unreadable location counts as missing
+            out.append((p, p, False))
     return out
 
 
 def read_text_docs(spark: SparkSession, paths, names=None) -> DataFrame:
-    """(doc_name, path, text). ``names`` defaults to the paths. Missing files keep their row
-    with ``text = ''`` (left join from the requested list)."""
+    """(doc_name, path, text), one row per entry of ``paths``, a list that the caller holds (use
+    ``read_text_dir`` for folders). ``names`` defaults to the paths. A file that is missing or
+    cannot be read has ``text = ''``; a file that is listed twice has two rows."""
     paths = list(paths)
     names = list(names) if names is not None else paths
-    wanted = spark.createDataFrame(list(zip(names, paths)), "doc_name string, path string")
-    found = _existing(spark, paths)
-    if found:
-        read = (spark.read.text(found, wholetext=True)
-                     .select(F.col("_metadata.file_path").alias("_fp"), F.col("value")))
-        # file_path is a URI; match on the path suffix so plain local paths join too
-        wanted_uri = wanted.withColumn("_key", F.regexp_replace("path", "^file:", ""))
-        read = read.withColumn("_key", F.regexp_replace("_fp", "^file:", ""))
-        joined = wanted_uri.join(read, "_key", "left")
-    else:
-        joined = wanted.withColumn("value", F.lit(None).cast("string"))
-    return joined.select("doc_name", "path", F.coalesce("value", F.lit("")).alias("text"))
+    located = _located(spark, paths)
+    wanted = spark.createDataFrame(
+        [(n, p, u) for n, (p, u, _) in zip(names, located)],
+        "doc_name string, path string, _key string").withColumn("_key", _uri("_key"))
+    # paths are names here, not patterns
+    found = sorted({re.sub(r"([][{}*?\\])", r"\\\1", p) for p, _, ok in located if ok})
+    if not found:
+        return wanted.select("doc_name", "path", F.lit("").alias("text"))
+    read = (spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+            .text(found, wholetext=True)
+            .select(_uri(F.col("_metadata.file_path")).alias("_key"), "value")
+            .groupBy("_key").agg(F.first("value").alias("value")))
+    return wanted.join(read, "_key", "left").select(
+        "doc_name", "path", F.coalesce("value", F.lit("")).alias("text"))
 
 
 def read_text_dir(spark: SparkSession, location: str, recursive: bool = True) -> DataFrame:

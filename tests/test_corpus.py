@@ -119,7 +119,7 @@ def test_search_block_pruning_matches_full_scan(spark, tmpdir_session, monkeypat
     assert pruned == full and len(full) == 12
 
 
-def test_next_idx_reads_only_top_block(spark, tmpdir_session, monkeypatch):
+def test_next_idx_comes_from_the_commits(spark, tmpdir_session, monkeypatch):
     from quarry.plans import corpus as C
     monkeypatch.setattr(C, "IDX_BLOCK", 3)
     c = C.Corpus.create(spark, f"{tmpdir_session}/topblock")
@@ -129,7 +129,9 @@ def test_next_idx_reads_only_top_block(spark, tmpdir_session, monkeypatch):
     c.append_documents(docs)
     assert c.next_idx() == 15
     assert sorted(r["idx"] for r in c.chunks().collect()) == list(range(1, 15))
-    assert max(b for _, b in c._block_dirs()) == 14 // 3
+    assert c.commits().count() == 2
+    blocks = c.chunks(with_block=True).agg(F.max("idx_block")).first()[0]
+    assert blocks == 14 // 3
 
 
 def test_read_text_dir(spark, tmp_path):
@@ -155,7 +157,7 @@ def test_corpus_search_with_ivf_index(spark, tmpdir_session):
     assert approx == exact and len(exact) == 6
 
 
-def test_search_blocked_queries_equal_single_block(spark):
+def test_search_strategies_agree(spark):
     from conftest import SF001
     from quarry.operators import search as srch
     from quarry.plans.queries import doc_chunk_rows
@@ -163,6 +165,127 @@ def test_search_blocked_queries_equal_single_block(spark):
     q = spark.read.parquet(f"{SF001}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), "text")
     one = sorted(tuple(r) for r in srch.search(corpus, q, k=3).collect())
-    many = sorted(tuple(r) for r in srch.search(corpus, q, k=3,
-                                                max_broadcast_bytes=6000).collect())
+    many = sorted(tuple(r) for r in srch.search(corpus, q, k=3, strategy="broadcast").collect())
     assert one == many and len(one) == q.count() * 3
+
+
+def test_numbering_does_not_depend_on_exchange_reuse(spark):
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") * 7919 % 40_009).alias("k"), F.expr(
+        "array_repeat(id, int(id % 4))").alias("a"))
+    want = rows.agg(F.sum(F.size("a"))).first()[0]
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = assign_dense_ids(rows, ["k"], "a").agg(
+                F.count("*"), F.countDistinct("idx"), F.min("idx"), F.max("idx")).first()
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert tuple(got) == (want, want, 1, want)
+
+
+def test_append_chunks_by_name_alone_keeps_every_row(spark, tmpdir_session):
+    c = Corpus.create(spark, f"{tmpdir_session}/named")
+    ch = spark.createDataFrame([("doc1", "a"), ("doc1", "b"), ("doc2", "c"), ("doc2", "d")],
+                               "doc_name string, chunk string")
+    c.append_chunks(ch)
+    rows = c.chunks().orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == [1, 2, 3, 4]
+    assert sorted(r["chunk"] for r in rows) == ["a", "b", "c", "d"]
+    assert [r["doc_name"] for r in rows] == ["doc1", "doc1", "doc2", "doc2"]
+
+
+def test_repeated_and_null_document_ids_keep_every_row(spark, tmpdir_session):
+    c = Corpus.create(spark, f"{tmpdir_session}/nulls")
+    docs = spark.createDataFrame([(1, "a", "One."), (1, "b", "Two."), (None, "n", "Null.")],
+                                 "doc_id long, doc_name string, text string")
+    c.append_documents(docs)
+    rows = c.chunks().orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == [1, 2, 3]
+    assert rows[0]["doc_name"] == "n" and {r["doc_name"] for r in rows} == {"a", "b", "n"}
+
+
+def test_a_rejected_replay_leaves_the_earlier_rows(spark, tmpdir_session):
+    c = Corpus.create(spark, f"{tmpdir_session}/replay")
+    good = spark.createDataFrame([(1, "x", 0, "x", [0.0] * 64)], c.chunks().schema)
+    bad = spark.createDataFrame([(1, "x", 0, "x", [1.0])], c.chunks().schema)
+    c._write(good, "b")
+    with pytest.raises(ValueError):
+        c._write(bad, "b")
+    assert c.chunks().count() == 1 and c.next_idx() == 2
+    c._write(good, "b")
+    assert c.chunks().count() == 1 and c.commits().count() == 1
+
+
+def test_an_append_writes_few_files(spark, tmpdir_session, monkeypatch):
+    import glob
+    from conftest import SF01
+    from quarry.plans import corpus as C
+    from quarry.plans.queries import _named_docs
+    monkeypatch.setattr(C, "IDX_BLOCK", 400)
+    monkeypatch.setattr(C, "FILE_ROWS", 200)
+    c = C.Corpus.create(spark, f"{tmpdir_session}/files")
+    c.append_documents(_named_docs(spark, SF01).limit(600))
+    n = c.chunks().count()
+    files = glob.glob(f"{tmpdir_session}/files/chunks/batch=*/idx_block=*/*.parquet")
+    assert len(files) <= n // 200 + 2
+
+
+def test_appended_chunks_are_found_through_an_old_index(spark, tmpdir_session):
+    from quarry.operators.ann import IvfIndex
+    c = Corpus.create(spark, f"{tmpdir_session}/stale")
+    make = lambda rows: spark.createDataFrame(
+        rows, "doc_id long, doc_name string, text string")
+    c.append_documents(make([(i, f"d{i}", f"Text number {i} about rivers.") for i in range(9)]))
+    index = IvfIndex.build(c.chunks(), nlist=2)
+    c.append_documents(make([(1, "new", "Quite another matter entirely.")]))
+    q = spark.createDataFrame([(0, "Quite another matter entirely.")],
+                              "query_id long, text string")
+    assert c.search(q, k=1, index=index, nprobe=1).first()["doc_name"] == "new"
+
+
+def test_load_checks_the_embedder_by_name(spark, tmpdir_session):
+    from quarry.functions.embedders import trigram_embedder
+    Corpus.create(spark, f"{tmpdir_session}/named_embedder")
+    with pytest.raises(ValueError):
+        Corpus.load(spark, f"{tmpdir_session}/named_embedder", trigram_embedder(64))
+
+
+def test_text_files_by_odd_names(spark, tmp_path):
+    import os
+    for name in ("a b.txt", "c[1].txt", "d.txt"):
+        (tmp_path / name).write_text(name)
+    paths = [str(tmp_path / "a b.txt"), str(tmp_path / "c[1].txt"),
+             os.path.relpath(tmp_path / "d.txt"), str(tmp_path / "d.txt"), f"file:{tmp_path}/d.txt", str(tmp_path / "none.txt")]
+    got = [tuple(r) for r in read_text_docs(spark, paths, list("uvwxyz")).collect()]
+    assert sorted((n, t) for n, _, t in got) == [
+        ("u", "a b.txt"), ("v", "c[1].txt"), ("w", "d.txt"), ("x", "d.txt"), ("y", "d.txt"),
+        ("z", "")]
+
+
+def test_html_elements_in_general():
+    from quarry.sources.html import parsed_texts
+    assert parsed_texts("<div>a<div>b</div>c</div>", ["div"]) == ["a b c", "b"]
+    assert parsed_texts("<ul><li>one<li>two</ul>", ["li"]) == ["one", "two"]
+    assert parsed_texts("<p>caf&eacute; it&#8217;s &mdash;", ["p"]) == ["café it’s —"]
+    assert parsed_texts("<h1>a</h2>b</h1><p>c<p>d<script>p</script>", ["h1", "p"]) == [
+        "a b", "c", "d"]
+    assert parsed_texts(None, ["p"]) == [] and parsed_texts("<td>x<td>y<tr><td>z", ["td"]) == [
+        "x", "y", "z"]
+
+
+def test_checkpoint_folder_is_needed_beyond_local_masters():
+    from quarry.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

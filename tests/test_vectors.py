@@ -109,8 +109,8 @@ def test_ivf_blocked_queries_equal_single_block(spark):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     idx = IvfIndex.build(corpus, nlist=8)
     one = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3).collect())
-    many = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3,
-                                                max_broadcast_bytes=20_000).collect())
+    many = sorted(tuple(r) for r in idx.search(q, k=5, nprobe=3, part_rows=20,
+                                                block_rows=30).collect())
     assert one == many and len(one) == 500 * 5
 
 
@@ -132,13 +132,32 @@ def test_knn_cosine_metric(spark):
         assert a[3] == pytest.approx(b[3], abs=1e-9)
 
 
-def test_ivf_sampled_training_and_auto_nlist(spark):
+def test_ivf_training_uses_every_row(spark, monkeypatch):
     from conftest import SF01
+    from pyspark.ml.clustering import KMeans
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
-    idx = IvfIndex.build(corpus, nlist=None, max_train_rows=200)  # trains on a sample
-    assert idx.centroids.shape[0] == 22  # round(sqrt(500))
-    assert idx.assigned.count() == 500  # every vector still gets a cell
+    seen = []
+    fit = KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: seen.append(rows.count()) or
+                        fit(self, rows))
+    idx = IvfIndex.build(corpus, nlist=22)
+    assert idx.centroids.shape[0] == 22 and idx.assigned.count() == 500
+    IvfIndex.build(corpus, nlist=4, sample_fraction=0.5)    # only if the caller asks for it
+    assert seen[0] == 500 and seen[1] < 500
+    with pytest.raises(ValueError):
+        IvfIndex.build(corpus)
+
+
+def test_knn_strategies_agree_and_the_broadcast_bound_holds(spark):
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
+    q = e.select(F.concat(F.lit("q"), F.col("vec_id")).alias("query_id"), "embedding")
+    rows = lambda **o: sorted(tuple(r) for r in knn_ops.knn(corpus, q, k=3, **o).collect())
+    assert rows() == rows(part_rows=70, block_rows=90) == rows(strategy="broadcast")
+    with pytest.raises(ValueError):
+        knn_ops.knn(corpus, q, k=3, strategy="broadcast", max_broadcast_bytes=10_000)
 
 
 def test_ivf_save_load_refresh(spark, tmp_path):
@@ -149,7 +168,7 @@ def test_ivf_save_load_refresh(spark, tmp_path):
     path = str(tmp_path / "ivf")
     IvfIndex.build(first, nlist=4).save(path)
     loaded = IvfIndex.load(spark, path)
-    refreshed = loaded.refresh(second, path=f"{path}/cells")
+    refreshed = loaded.refresh(second, path=path)
     assert refreshed.assigned.count() == e.count()
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
