@@ -2,11 +2,11 @@
 
 Learning: every token is hashed to one of ``buckets`` ids. Background counts over all documents
 are the Dirichlet prior of the log-odds between the toxic and the clean labelled sample (a
-bounded, documented number of rows, chosen by the hash of the id). In the sample a token counts
-once per text and near copies count as one text (they share the least hash of their five-word
-shingles), so a text that is repeated is no evidence about its words. Log-odds that are within
-their standard error's ``z`` are noise and count nothing, and every token pays ``drift``, so a
-score is negative on average and passages are local.
+bounded, documented number of rows, chosen by the hash of the id). All these count the texts that
+hold a token, not its repeats, and near copies in the sample count as one text (they share the
+least hash of their five-word shingles), so a text that is repeated is no evidence about its
+words. Log-odds that are within their standard error's ``z`` are noise and count nothing, and
+every token pays ``drift``, so a score is negative on average and passages are local.
 
 Scoring: the Ruzzo-Tompa scan finds all maximal scoring segments of a token sequence in linear
 time. Their scores are calibrated as extreme values: lambda solves sum p exp(lambda s) = 1 over
@@ -157,17 +157,19 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def _count(buckets: int, once: bool = False):
-    """Token counts by bucket; ``once``: a token counts once per text."""
+def _count(buckets: int):
+    """Per bucket: tokens, and texts that hold one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, total = Buckets(buckets), np.zeros(buckets, np.int64)
+        memory = Buckets(buckets)
+        tokens, texts = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = memory.ids(text)
-                np.add.at(total, np.unique(ids) if once else ids, 1)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])],
-                                         names=["bucket", "n"])
+                kinds, n = np.unique(memory.ids(text), return_counts=True)
+                tokens[kinds] += n
+                texts[kinds] += 1
+        hit = np.flatnonzero(tokens)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(tokens[hit]),
+                                          pa.array(texts[hit])], names=["bucket", "n", "texts"])
     return run
 
 
@@ -189,12 +191,13 @@ def _copy_keys(buckets: int):
     return run
 
 
-def _dense(counts: DataFrame, buckets: int) -> np.ndarray:
-    """Counts by bucket on the driver: at most ``buckets`` rows."""
-    out = np.zeros(buckets)
-    for bucket, n in counts.groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
-    return out
+def _dense(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, texts) by bucket over a table of texts: at most ``buckets`` rows are collected."""
+    counts = rows.mapInArrow(_count(buckets), "bucket long, n long, texts long")
+    tokens, texts = np.zeros(buckets), np.zeros(buckets)
+    for bucket, n, t in counts.groupBy("bucket").agg(F.sum("n"), F.sum("texts")).collect():
+        tokens[bucket], texts[bucket] = n, t
+    return tokens, texts
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -215,13 +218,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sample.mapInArrow(_copy_keys(buckets), "id long, y int, fold int, text string, key long")
         .groupBy("key").agg(F.min(F.struct("fold", "id", "y", "text")).alias("r"))
         .select("r.*"), "sample")
-    background = _dense(texts.select("text").mapInArrow(_count(buckets), "bucket long, n long"),
-                        buckets)
-    seen = {y: _dense(sample.filter(f"fold < 4 AND y = {y}").select("text")
-                      .mapInArrow(_count(buckets, True), "bucket long, n long"), buckets)
-            for y in (0, 1)}
-    weights = log_odds(seen[1], seen[0], background)
-    lam = extreme_value_lambda(weights, background)
+    tokens, background = _dense(texts.select("text"), buckets)
+    toxic, clean = (_dense(sample.filter(f"fold < 4 AND y = {y}").select("text"), buckets)[1]
+                    for y in (1, 0))
+    weights = log_odds(toxic, clean, background)
+    lam = extreme_value_lambda(weights, tokens)
 
     def best(batches):
         memory = Buckets(buckets)
