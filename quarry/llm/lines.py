@@ -33,6 +33,10 @@ SIMILARITY = 0.8
 RADIUS = 3
 BLOCK = 2048
 CACHE = 400_000
+#: the bitmap that spares moving most lines' words has 2^BITS bits
+BITS = 26
+#: columns that name a group of lines to compare
+GROUP = ["k", "bucket", "i", "j"]
 
 WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d")
@@ -77,8 +81,9 @@ def line_marks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(key + size.astype(np.uint64)), majority_bits(features[order], ends)
 
 
-def _lines(min_words: int):
-    """(id, th, text) -> one row per line of ``min_words`` or more words."""
+def _lines(min_words: int, wanted=None):
+    """(id, th, text) -> one row per line of ``min_words`` or more words. With ``wanted``, a
+    broadcast bitmap of SimHashes, only lines that it may hold, with their words; else all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
         for batch in batches:
@@ -100,17 +105,40 @@ def _lines(min_words: int):
         words = np.array(words, np.int64)
         bounds = np.concatenate(([0], np.cumsum(size)))
         key, sim = line_marks(words, bounds)
-        rows = pa.array(owner)
+        marks = [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))]
+        if wanted is None:
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows),
+                 pa.array(number, pa.int32()), *marks], names=["id", "th", "line", "key", "sim"])
+            return
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
                                          pa.array(words.astype(np.uint32).view(np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows),
-             pa.array(number, pa.int32()), pa.array(key.view(np.int64)),
-             pa.array(sim.view(np.int64)), lists],
-            names=["id", "th", "line", "key", "sim", "words"])
+        rows = pa.RecordBatch.from_arrays([*marks, lists], names=["key", "sim", "words"])
+        place = bit_of(sim)
+        bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
+        yield rows.filter(pa.array(bits.astype(bool)))
     return run
 
 
+def bit_of(sim: np.ndarray) -> np.ndarray:
+    """Place of a SimHash in the bitmap of 2^BITS bits: its low bits, exclusive-or its high ones."""
+    return (sim ^ (sim >> np.uint64(64 - BITS))) & np.uint64((1 << BITS) - 1)
+
+
+def _bitmap(sims: DataFrame):
+    """The bitmap of a column of SimHashes: 2^BITS bits (8 MB) whatever the table's size. It only
+    spares rows that an exact join would drop."""
+    place = F.col("sim").bitwiseXOR(F.shiftrightunsigned("sim", 64 - BITS)).bitwiseAND(
+        F.lit((1 << BITS) - 1))
+    words = sims.select(place.alias("p")).selectExpr(
+        "shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
+    table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[table.w.to_numpy(dtype=np.int64)] = table.bits.to_numpy(dtype=np.int64).view(np.uint64)
+    return sims.sparkSession.sparkContext.broadcast(out)
+
+
 def word_edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Levenshtein distance of two word sequences, bit-parallel over whole integers."""
     a, b = a.tolist(), b.tolist()
@@ -237,28 +265,23 @@ def _find(root: list[int], x: int) -> int:
     return x
 
 
-def line_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS,
-               similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """distinct (key, sim, words) -> edges (a, b) between the keys of similar lines."""
+def near_marks(lines: DataFrame, radius: int, block: int) -> DataFrame:
+    """lines (key, sim), no repeats -> (k, bucket, i, j, sim): the groups in which a SimHash meets
+    another one within the radius, or more than one line."""
     masks = block_masks(radius)
     joint = [_signed(x | y) for x, y in itertools.combinations(masks, 2)]
-    sims = distinct.select("sim").distinct()
-    keyed = sims.select("sim", F.explode(F.array(*[
+    keyed = lines.select("sim").distinct().select("sim", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col("sim").bitwiseAND(F.lit(m)).alias("bucket"))
         for k, m in enumerate(joint)])).alias("e")).select("sim", "e.k", "e.bucket")
     shared = keyed.groupBy("k", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
     dealt = block_pairs(keyed.join(shared, ["k", "bucket"]), "size", "sim", block)
-    order = ["k", "bucket", "i", "j"]
-    near = (dealt.select(*order, "sim").repartition(*order).sortWithinPartitions(*order)
+    near = (dealt.select(*GROUP, "sim").repartition(*GROUP).sortWithinPartitions(*GROUP)
             .mapInArrow(_active(radius), "k int, bucket long, i int, j int, sim long"))
-    # lines of one SimHash are compared with each other under a key of their own
-    equal = (distinct.groupBy("sim").agg(F.count("*").alias("size")).filter("size > 1")
+    # lines of one SimHash are compared with each other in a group of their own
+    equal = (lines.groupBy("sim").agg(F.count("*").alias("size")).filter("size > 1")
              .select(F.lit(0).alias("k"), F.col("sim").alias("bucket"), F.lit(-1).alias("i"),
                      F.lit(-1).alias("j"), "sim"))
-    wanted = scratch.keep(near.unionByName(equal), "near")
-    groups = (wanted.join(distinct, "sim").select(*order, "sim", "key", "words")
-              .repartition(*order).sortWithinPartitions(*order))
-    return groups.mapInArrow(_linked(radius, similarity), "a long, b long")
+    return near.unionByName(equal)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -272,14 +295,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    lines = rows.mapInArrow(
-        _lines(min_words),
-        "id long, th long, line int, key long, sim long, words array<int>")
-    spots = scratch.keep(lines.select("id", "th", "line", "key").distinct(), "spots")
-    distinct = lines.groupBy("key", "sim").agg(F.first("words").alias("words"))
-    distinct = scratch.keep(distinct, "distinct")
-    groups = connected_components(line_links(distinct, scratch, radius, similarity, block),
-                                  scratch)
+    spots = scratch.keep(rows.mapInArrow(
+        _lines(min_words), "id long, th long, line int, key long, sim long").distinct(), "spots")
+    near = scratch.keep(near_marks(spots.select("key", "sim").distinct(), radius, block), "near")
+    active = near.select("sim").distinct()
+    worded = rows.mapInArrow(_lines(min_words, _bitmap(active)),
+                             "key long, sim long, words array<int>")
+    worded = worded.join(active, "sim", "left_semi").groupBy("key", "sim").agg(
+        F.first("words").alias("words"))
+    groups = (near.join(worded, "sim").select(*GROUP, "sim", "key", "words")
+              .repartition(*GROUP).sortWithinPartitions(*GROUP))
+    links = groups.mapInArrow(_linked(radius, similarity), "a long, b long")
+    groups = connected_components(links, scratch)
     place = F.struct("id", "th", "line")
     by_key = spots.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = scratch.keep(by_key.join(groups, F.col("key") == F.col("node"), "left").select(
