@@ -132,7 +132,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     session sets it, since its test tables are single files."""
     n = df.sparkSession.conf.get(SPREAD, None)
     return df.repartition(int(n), *keys) if n else df
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    return store(df)
