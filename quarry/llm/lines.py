@@ -3,9 +3,9 @@
 Lines are normalised (lower case, digits as 0, words only) and hashed; lines that are equal then
 are one row with its first occurrence. A line's SimHash is over its words and neighbouring word
 pairs. Two lines are compared if their SimHashes differ in at most ``radius`` bits, found by
-pigeonhole blocks: of radius + 2 blocks any such pair agrees in two, so each pair of blocks is a
-join key. A pair is examined under its first agreeing key only, and linked if the edit
-similarity of the word sequences is high enough. Of each connected group one occurrence stays,
+pigeonhole blocks: of radius + 3 blocks any such pair agrees in three, so each three blocks are a
+join key (32 of the 64 bits). A pair is examined under its first agreeing key only, and linked if
+the edit similarity of the word sequences is high enough. Of each connected group one occurrence stays,
 the first by document and line.
 
 Word sequences are only moved for lines that have a partner within the radius, and a group
@@ -32,31 +32,41 @@ MIN_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3
 BLOCK = 2048
+#: blocks of a SimHash that make a join key
+AGREE = 3
 CACHE = 400_000
-#: the bitmap that spares moving most lines' words has 2^BITS bits
+#: the bitmap that spares reading most texts again has 2^BITS bits
 BITS = 26
 #: columns that name a group of lines to compare
 GROUP = ["k", "bucket", "i", "j"]
 
 WORD = re.compile(r"[^\W_]+")
+TOKEN = re.compile(r"[^\W_]+|\n")
+#: what a line's end has in place of a word's hash
+NEWLINE = -1
 _DIGITS = re.compile(r"\d")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9),
         np.uint64(0x94D049BB133111EB))
 
 
 class Words(dict):
-    """token -> 32-bit hash of its normal form."""
+    """token -> hash of the word's normal form, or NEWLINE."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        plain = token.lower()
-        if not token.isalpha():
-            plain = _DIGITS.sub("0", plain)
-        h = self[token] = zlib.crc32(plain.encode("utf-8", "surrogatepass"))
+        h = self[token] = NEWLINE if token == "\n" else word_hash(token)
         return h
 
 
+def word_hash(word: str) -> int:
+    """32-bit hash of a word in lower case, digits as 0."""
+    plain = word.lower()
+    if not word.isalpha():
+        plain = _DIGITS.sub("0", plain)
+    return zlib.crc32(plain.encode("utf-8", "surrogatepass"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
@@ -65,45 +75,60 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def line_marks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, simhash) of word sequences given end to end; neither looks past a sequence."""
+    """(key, simhash) of non-empty word sequences given end to end; neither looks past one."""
     size = np.diff(bounds)
-    line = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(words)) - np.repeat(bounds[:-1], size)
+    first = bounds[:-1]
+    place = np.arange(len(words)) - np.repeat(first, size)
     each = mix(words.astype(np.uint64) * _MIX[0])
-    key = np.zeros(len(size), np.uint64)
-    np.add.at(key, line, mix(each + place.astype(np.uint64) * _MIX[0]))
-    pair = mix(each[:-1] * _MIX[0] + each[1:]) if len(words) else each
-    inner = line[:-1] == line[1:] if len(words) else np.zeros(0, bool)
-    features = np.concatenate((each, pair[inner]))
-    owner = np.concatenate((line, line[:-1][inner] if len(words) else line))
-    order = np.argsort(owner, kind="stable")
-    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(size)))))
-    return mix(key + size.astype(np.uint64)), majority_bits(features[order], ends)
+    key = np.add.reduceat(mix(each + place.astype(np.uint64) * _MIX[0]), first)
+    # a line's features: its words, then its pairs of neighbours
+    starts = 2 * first - np.arange(len(size))
+    at = np.repeat(starts, size) + place
+    features = np.empty(2 * len(words) - len(size), np.uint64)
+    features[at] = each
+    inner = np.ones(len(words), bool)
+    inner[bounds[1:] - 1] = False
+    pair = np.flatnonzero(inner)
+    features[(at + np.repeat(size, size))[pair]] = mix(each[pair] * _MIX[0] + each[pair + 1])
+    ends = np.append(starts, len(features))
+    return mix(key + size.astype(np.uint64)), majority_bits(features, ends)
+
+
+def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, line, words, bounds) of the lines of ``min_words`` or more words: the row of each
+    line's text, its number, and the word hashes of all lines end to end with their bounds."""
+    ids = [np.fromiter(map(memory.__getitem__, found), np.int64, len(found))
+           for found in (TOKEN.findall((t or "") + "\n") for t in texts)]
+    text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    ends = np.flatnonzero(ids == NEWLINE)
+    size = np.diff(np.append(-1, ends)) - 1
+    owner = text[ends]
+    number = np.arange(len(ends)) - np.searchsorted(owner, owner)
+    keep = size >= min_words
+    wanted = np.repeat(keep, size + 1)
+    wanted[ends] = False
+    return owner[keep], number[keep], ids[wanted], np.append(0, np.cumsum(size[keep]))
 
 
 def _lines(min_words: int, wanted=None):
     """(id, th, text) -> one row per line of ``min_words`` or more words. With ``wanted``, a
-    broadcast bitmap of SimHashes, only lines that it may hold, with their words; else all."""
+    broadcast bitmap of text hashes, the lines of the texts that it may hold, with their words;
+    else all lines, without."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
         for batch in batches:
+            if wanted is not None:
+                place = bit_of(batch.column(1).to_numpy().view(np.uint64))
+                bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))
+                batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
             for x in range(0, batch.num_rows, 512):
                 yield from emit(batch.slice(x, 512), memory)
 
     def emit(batch, memory):
-        owner, number, size, words = [], [], [], []
-        for r, text in enumerate(batch.column(2).to_pylist()):
-            for n, line in enumerate((text or "").split("\n")):
-                found = WORD.findall(line)
-                if len(found) >= min_words:
-                    owner.append(r)
-                    number.append(n)
-                    size.append(len(found))
-                    words += map(memory.__getitem__, found)
-        if not owner:
+        owner, number, words, bounds = text_lines(batch.column(2).to_pylist(), memory, min_words)
+        if not len(owner):
             return
-        words = np.array(words, np.int64)
-        bounds = np.concatenate(([0], np.cumsum(size)))
         key, sim = line_marks(words, bounds)
         marks = [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))]
         if wanted is None:
@@ -111,32 +136,27 @@ def _lines(min_words: int, wanted=None):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows),
                  pa.array(number, pa.int32()), *marks], names=["id", "th", "line", "key", "sim"])
-            return
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                         pa.array(words.astype(np.uint32).view(np.int32)))
-        rows = pa.RecordBatch.from_arrays([*marks, lists], names=["key", "sim", "words"])
-        place = bit_of(sim)
-        bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
-        yield rows.filter(pa.array(bits.astype(bool)))
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
+                                             pa.array(words.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*marks, lists], names=["key", "sim", "words"])
     return run
 
 
-def bit_of(sim: np.ndarray) -> np.ndarray:
-    """Place of a SimHash in the bitmap of 2^BITS bits: its low bits, exclusive-or its high ones."""
-    return (sim ^ (sim >> np.uint64(64 - BITS))) & np.uint64((1 << BITS) - 1)
+def bit_of(name: np.ndarray) -> np.ndarray:
+    """Place of a 64-bit hash in a bitmap of 2^BITS bits: its low bits."""
+    return name & np.uint64((1 << BITS) - 1)
 
 
-def _bitmap(sims: DataFrame):
-    """The bitmap of a column of SimHashes: 2^BITS bits (8 MB) whatever the table's size. It only
-    spares rows that an exact join would drop."""
-    place = F.col("sim").bitwiseXOR(F.shiftrightunsigned("sim", 64 - BITS)).bitwiseAND(
-        F.lit((1 << BITS) - 1))
-    words = sims.select(place.alias("p")).selectExpr(
-        "shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
-    table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+def _bitmap(names: DataFrame):
+    """The bitmap of a column ``th``: 2^BITS bits (8 MB) whatever the table's size. It only
+    spares texts whose lines an exact join would drop."""
+    table = (names.select(F.col("th").bitwiseAND(F.lit((1 << BITS) - 1)).alias("p"))
+             .selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
+             .groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas())
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[table.w.to_numpy(dtype=np.int64)] = table.bits.to_numpy(dtype=np.int64).view(np.uint64)
-    return sims.sparkSession.sparkContext.broadcast(out)
+    return names.sparkSession.sparkContext.broadcast(out)
 
 
 def word_edit_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -163,8 +183,8 @@ def word_edit_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def block_masks(radius: int) -> list[int]:
-    """Masks of the radius + 2 blocks, almost equal parts of the 64 bits."""
-    n = radius + 2
+    """Masks of the radius + AGREE blocks, almost equal parts of the 64 bits."""
+    n = radius + AGREE
     cut = [64 * k // n for k in range(n + 1)]
     return [(1 << cut[k + 1]) - (1 << cut[k]) for k in range(n)]
 
@@ -183,19 +203,21 @@ def _near_pairs(sims: np.ndarray, key_no: np.ndarray, a: np.ndarray, b: np.ndarr
     for x in range(0, len(found), 1 << 18):
         some = found[x:x + (1 << 18)]
         same = (diff[some][:, None] & masks) == 0
-        one = same.argmax(1)
-        same[np.arange(len(some)), one] = False
-        two = same.argmax(1)
-        ok[some] = key_table(radius)[one, two] == key_no[a[some]]
+        rows, first = np.arange(len(some)), np.zeros(len(some), np.int64)
+        for _ in range(AGREE):                      # the first blocks that agree, as a bit set
+            block = same.argmax(1)
+            same[rows, block] = False
+            first |= 1 << block
+        ok[some] = key_table(radius)[first] == key_no[a[some]]
     return ok
 
 
 def key_table(radius: int) -> np.ndarray:
-    """Number of the join key of each pair of blocks."""
-    n = radius + 2
-    out = np.full((n, n), -1)
-    for k, (x, y) in enumerate(itertools.combinations(range(n), 2)):
-        out[x, y] = k
+    """Number of the join key of each set of AGREE blocks, given as a bit set."""
+    n = radius + AGREE
+    out = np.full(1 << n, -1)
+    for k, blocks in enumerate(itertools.combinations(range(n), AGREE)):
+        out[sum(1 << x for x in blocks)] = k
     return out
 
 
@@ -269,7 +291,7 @@ def near_marks(lines: DataFrame, radius: int, block: int) -> DataFrame:
     """lines (key, sim), no repeats -> (k, bucket, i, j, sim): the groups in which a SimHash meets
     another one within the radius, or more than one line."""
     masks = block_masks(radius)
-    joint = [_signed(x | y) for x, y in itertools.combinations(masks, 2)]
+    joint = [_signed(sum(blocks)) for blocks in itertools.combinations(masks, AGREE)]
     keyed = lines.select("sim").distinct().select("sim", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col("sim").bitwiseAND(F.lit(m)).alias("bucket"))
         for k, m in enumerate(joint)])).alias("e")).select("sim", "e.k", "e.bucket")
@@ -299,7 +321,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _lines(min_words), "id long, th long, line int, key long, sim long").distinct(), "spots")
     near = scratch.keep(near_marks(spots.select("key", "sim").distinct(), radius, block), "near")
     active = near.select("sim").distinct()
-    worded = rows.mapInArrow(_lines(min_words, _bitmap(active)),
+    # the words of each line with a partner are read from one text that holds it
+    holders = (spots.join(active, "sim", "left_semi").groupBy("key", "sim")
+               .agg(F.min("th").alias("th")))
+    worded = rows.mapInArrow(_lines(min_words, _bitmap(holders)),
                              "key long, sim long, words array<int>")
     worded = worded.join(active, "sim", "left_semi").groupBy("key", "sim").agg(
         F.first("words").alias("words"))
