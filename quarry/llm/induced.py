@@ -45,10 +45,13 @@ class BlockQueue:
         """Suffixes in scan order with the block of each."""
         if not len(suffixes):
             return
+        if blocks.max() < 1 << 16:
+            blocks = blocks.astype(np.uint16)       # short keys are sorted by radix
         order = np.argsort(blocks, kind="stable")
-        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
-        for part in np.split(order, cuts):
-            self.rows[int(blocks[part[0]])].append(suffixes[part])
+        blocks, suffixes = blocks[order], suffixes[order]
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for x, y in zip(cuts, cuts[1:]):
+            self.rows[int(blocks[x])].append(suffixes[x:y])
         self.held += len(suffixes)
         if self.held > self.memory_rows:
             self._spill()
@@ -104,15 +107,16 @@ def _scan_block(text: np.ndarray, came: np.ndarray, given: np.ndarray, single: b
     pos = [came, given]
     kind = [np.zeros(len(came), np.int8), np.full(len(given), 2, np.int8)]
     key = [np.arange(len(came)), np.arange(len(given))]
-    deep = np.zeros(len(came) + len(given), bool)
-    now, index, at = np.concatenate(pos), np.arange(len(deep)), len(deep)
+    at = len(came) + len(given)
+    now, index = np.concatenate(pos), np.arange(at)
     strict = np.concatenate((np.zeros(len(came), bool), np.ones(len(given), bool)))
     depth = 0
     while len(now):
         ok = now > 0
         now, index, strict = now[ok], index[ok], strict[ok]
-        step = (text[now - 1].astype(np.int64) - text[now]) * sign
-        ok = ((step > 0) | ((step == 0) & ~strict)) & ((edge - text[now - 1]) * sign > 0)
+        before = text[now - 1].astype(np.int64)
+        step = (before - text[now]) * sign
+        ok = ((step > 0) | ((step == 0) & ~strict)) & ((edge - before) * sign > 0)
         now, parent = now[ok] - 1, index[ok]
         index, strict = np.arange(at, at + len(now)), np.zeros(len(now), bool)
         at += len(now)
@@ -121,15 +125,19 @@ def _scan_block(text: np.ndarray, came: np.ndarray, given: np.ndarray, single: b
         key.append(parent)
         depth += 1
     pos, kind, key = np.concatenate(pos), np.concatenate(kind), np.concatenate(key)
-    char = text[pos].astype(np.int64) * sign
-    base = key.copy()
-    deep = kind == 1
-    order = np.lexsort((key, kind, char))
-    for _ in range(depth if deep.any() else 0):
+    # first character, kind and key as one number: all are different, so any sort will do
+    char = (text[pos].astype(np.int64) - edge) * sign
+    high = (char - char.min(initial=0)) * 3 + kind
+    high *= len(pos) + 1
+    base = key
+    deep = np.flatnonzero(kind == 1)
+    order = np.argsort(high + key)
+    for _ in range(depth if len(deep) else 0):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        key = np.where(deep, rank[base], base)
-        new = np.lexsort((key, kind, char))
+        key = base.copy()
+        key[deep] = rank[base[deep]]
+        new = np.argsort(high + key)
         if (new == order).all():
             break
         order = new
@@ -223,7 +231,7 @@ def _sort_first(text: np.ndarray, rising: np.ndarray, first: np.ndarray, rough:
     names = np.concatenate(([0], np.cumsum(~same)))
     if names[-1] + 1 == len(order):
         return order
-    reduced = np.empty(len(order), np.int64)
+    reduced = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
     reduced[number[order]] = names
     return first[suffix_array(reduced, int(names[-1]) + 1, memory_rows, block_rows)]
 

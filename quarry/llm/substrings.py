@@ -186,7 +186,7 @@ def repeated_windows(contents: list[bytes], length: int, memory_rows: int = MEMO
     size = np.array([len(x) for x in contents])
     flat = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
     bounds = np.concatenate(([0], np.cumsum(size + 1)))
-    text = flat.astype(np.int64) + 1
+    text = flat.astype(np.int16) + 1
     text[bounds[1:] - 1] = 0
     order = suffix_array(text, 257, memory_rows)
     owner = np.repeat(np.arange(len(size)), size + 1)
