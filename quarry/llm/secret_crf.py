@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import fresh
+from quarry.llm.shared import Scratch, fresh
 
 #: at most so many documents with base spans, and as many without, are used to fit
 TRAIN_ROWS = 1000
@@ -342,23 +342,19 @@ def fit(samples: list[tuple[str, int]]) -> Field:
     return Field(*params)
 
 
-def _training(train_rows: int):
-    """(key, has base spans, text) of a task's rows of least key, of either kind."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bool, list] = {True: [], False: []}
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kept[bool(base_spans(text))].append((key, text))
-            for hit, rows in kept.items():
-                if len(rows) > train_rows:
-                    kept[hit] = sorted(rows)[:train_rows]
-        rows = [(key, hit, _excerpt(text)) for hit in kept for key, text in
-                sorted(kept[hit])[:train_rows]]
+def _has_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, whether the text has base spans)."""
+    for batch in batches:
+        hits = [bool(base_spans(text)) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.bool_())],
+                                         names=["key", "hit"])
+
+
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows],
-                                                                  pa.bool_()),
-             pa.array([r[2] for r in rows], pa.string())], names=["key", "hit", "text"])
-    return run
+            [batch.column(0), pa.array([_excerpt(t) for t in batch.column(1).to_pylist()],
+                                       pa.string())], names=["key", "text"])
 
 
 def _excerpt(text: str, room: int = 2000) -> str:
@@ -370,14 +366,18 @@ def _excerpt(text: str, room: int = 2000) -> str:
 
 def learn(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Field:
     """Fit on at most ``train_rows`` documents with base spans and as many without, those of
-    least text hash. Only excerpts around the training windows reach the driver."""
+    least text hash, each text once. Only excerpts around the training windows of these texts reach
+    the driver."""
+    scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    rows = keyed.mapInArrow(_training(train_rows), "key long, hit boolean, text string")
-    samples = []
-    for hit in (True, False):
-        samples += rows.filter(F.col("hit") == hit).orderBy("key", "text").limit(
-            train_rows).collect()
+    kinds = scratch.keep(keyed.mapInArrow(_has_base, "key long, hit boolean").distinct(), "kinds")
+    least = [kinds.filter(F.col("hit") == hit).orderBy("key").limit(train_rows).select("key")
+             for hit in (True, False)]
+    chosen = least[0].unionByName(least[1])             # at most 2 * train_rows keys
+    rows = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"))
+    samples = rows.mapInArrow(_excerpts, "key long, text string").orderBy("key").collect()
+    scratch.drop(kinds)
     return fit([(r.text, r.key & 0x7FFFFFFF) for r in samples])
 
 
