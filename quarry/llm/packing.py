@@ -53,16 +53,18 @@ def _pack_shard(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "cluster", "source", "piece"], kind="stable",
                               ascending=[False, True, True, True, True], na_position="last")
-        twice = pdf.cluster.duplicated(keep=False) & pdf.cluster.notna()
-        sources = pdf.source.where(pdf.source.notna(), None)
-        clusters = pdf.cluster.astype(object).where(twice, None)    # others conflict with none
-        placed = best_fit(list(zip(pdf.length.tolist(), sources, clusters)), capacity)
+        some = pdf[pdf.length > 0]                  # the others take no room and come last
+        twice = some.cluster.duplicated(keep=False) & some.cluster.notna()
+        sources = some.source.where(some.source.notna(), None)
+        clusters = some.cluster.astype(object).where(twice, None)   # others conflict with none
+        placed = best_fit(list(zip(some.length.tolist(), sources, clusters)), capacity)
         shard = int(pdf["shard"].iloc[0])
+        none = [None] * (len(pdf) - len(some))
         return pd.DataFrame({
             "id": pdf.id.to_numpy(), "piece": pdf.piece.to_numpy(),
             "length": pdf.length.to_numpy(),
-            "bin": [shard * SHARD_BINS + b for b, _ in placed],
-            "offset": [o for _, o in placed]}).astype({"id": "Int64"})
+            "bin": pd.array([shard * SHARD_BINS + b for b, _ in placed] + none, "Int64"),
+            "offset": pd.array([o for _, o in placed] + none, "Int64")}).astype({"id": "Int64"})
     return run
 
 
@@ -105,11 +107,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", "source", "cluster", "piece",
         F.least(F.lit(capacity), F.col("n") - start).cast("long").alias("length"),
         F.pmod(F.xxhash64("id", "cluster", "n"), F.lit(shards)).alias("shard"))
-    packed = pieces.filter("length > 0").groupBy("shard").applyInPandas(
+    packed = pieces.groupBy("shard").applyInPandas(
         _pack_shard(capacity), "id long, piece long, length long, bin long, offset long")
-    none = pieces.filter("length <= 0").select(
-        "id", "piece", F.lit(0).cast("long").alias("length"),
-        F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("offset"))
-    return packed.unionByName(none).select(
+    return packed.select(
         F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"),
         (F.col("piece") * capacity).alias("start"), "length", "bin", "offset")
