@@ -11,8 +11,8 @@ every token pays ``drift``, so a score is negative on average and passages are l
 Scoring: the Ruzzo-Tompa scan finds all maximal scoring segments of a token sequence in linear
 time. Their scores are calibrated as extreme values: lambda solves sum p exp(lambda s) = 1 over
 the background, K is fitted on clean calibration rows, and a segment of score S in a text of m
-tokens has the tail probability 1 - exp(-K m exp(-lambda S)). The sum of the text's significant
-normalised scores is turned into a probability by a logistic fit on calibration rows that the
+tokens has the tail probability 1 - exp(-K m exp(-lambda S)). Passages are the segments that this
+makes significant; the sum of all positive normalised scores lambda S - ln(K m) is turned into a probability by a logistic fit on calibration rows that the
 log-odds have not seen.
 """
 
@@ -35,8 +35,10 @@ from quarry.llm.shared import Scratch
 TRAIN_ROWS = 40_000
 #: size of the hashed vocabulary: the bound of what is collected and broadcast
 BUCKETS = 1 << 18
-PRIOR_TOKENS = 20_000.0
-Z = 3.0
+#: weight of the background in the prior, and what it gives every bucket besides
+PRIOR_TOKENS = 2_000.0
+PRIOR_FLOOR = 0.5
+Z = 2.5
 DRIFT = 0.1
 SIGNIFICANT = 0.05
 #: words of a task that are remembered before the memory is emptied
@@ -76,12 +78,13 @@ class Model:
     significant: float = SIGNIFICANT
 
     def segments(self, ids: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """Significant (first token, token after the last, normalised score, p-value)."""
+        """Segments above what chance gives: (first token, token after the last, normalised score,
+        p-value)."""
         found = []
         for a, b, s in maximal_segments(self.weights[ids]):
             normal = self.lam * s - np.log(self.k * len(ids))
             p = -np.expm1(-np.exp(-normal))
-            if p <= self.significant:
+            if normal > 0:
                 found.append((a, b, float(normal), float(p)))
         return found
 
@@ -118,9 +121,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray,
              prior: float = PRIOR_TOKENS, z: float = Z, drift: float = DRIFT) -> np.ndarray:
     """Token scores: log-odds with an informative Dirichlet prior, noise set to 0, less drift."""
-    alpha = prior * (background + 0.01) / (background.sum() + 0.01 * len(background))
+    alpha = prior * background / max(background.sum(), 1) + PRIOR_FLOOR
     a, b = toxic + alpha, clean + alpha
-    delta = (np.log(a / (toxic.sum() + prior - a)) - np.log(b / (clean.sum() + prior - b)))
+    rest = prior + PRIOR_FLOOR * (background > 0).sum()
+    delta = np.log(a / (toxic.sum() + rest)) - np.log(b / (clean.sum() + rest))
     delta[np.abs(delta) < z * np.sqrt(1 / a + 1 / b)] = 0
     return delta - drift
 
@@ -278,6 +282,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "")
             for text in batch.column(columns.index(text_col)).to_pylist():
                 found = m.segments(memory.ids(text))
                 scores.append(m.probability(float(np.log1p(sum(x[2] for x in found)))))
+                found = [x for x in found if x[3] <= m.significant]
                 at = [w.span() for w in WORD.finditer(text)] if found else []
                 spans.append([{"start": at[a][0], "end": at[b - 1][1], "score": s, "p_value": p}
                               for a, b, s, p in found])
