@@ -74,8 +74,8 @@ class MTree:
 
     def search(self, query: np.ndarray, k: int, score, order: np.ndarray) -> list[tuple]:
         """The k best rows as (score, order key, row), best first: highest score, then the
-        smallest key. ``score(rows)`` gives exact scores; the metric only rules rows out, with
-        a slack well above its rounding errors."""
+        smallest key. ``score(rows)`` gives exact scores, -inf for rows that are no candidates;
+        the metric only rules rows out, with a slack well above its rounding errors."""
         slack = 1e-7 * (1 + np.sqrt(max((query ** 2).sum(), (self.points ** 2).sum(1).max())))
         best: list[tuple] = []          # heap, the worst on top
         limit = np.inf
@@ -91,6 +91,8 @@ class MTree:
                     rows = rows[np.abs(parent - to_parent) <= limit + slack]
                 self.distances += len(rows)
                 scores = score(rows)
+                free = scores != -np.inf        # others must not set the limit
+                rows, scores = rows[free], scores[free]
                 if len(best) == k:
                     good = scores >= best[0][0]
                     rows, scores = rows[good], scores[good]
@@ -143,7 +145,7 @@ def _search_group(k: int, top: float, leaf: int, fanout: int):
                 return np.where(own[rows], -np.inf, s)
 
             out += [(qid, r, int(s)) for s, _, r in tree.search(np.append(query, 0.0), k, score,
-                                                                order) if s != -np.inf]
+                                                                order)]
         found = pd.DataFrame(out, columns=["query_id", "r", "score"])
         found["vec_id"] = vectors.id.to_numpy()[found.r.to_numpy(dtype="int64")]
         return found.astype({"vec_id": "Int64"})[["query_id", "vec_id", "score"]]

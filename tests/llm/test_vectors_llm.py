@@ -111,3 +111,21 @@ def test_empty_tables(frame):
     assert L.near_vectors(df).count() == 0 and M.top_k(df, df).count() == 0
     one = frame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert M.top_k(one, one).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 6])
+def test_the_own_row_sets_no_limit(n):
+    """Isolated groups of exactly k and k + 1 vectors of equal norm, the query among them."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(40):
+        near = rng.normal(size=16) + 0.001 * rng.normal(size=(n, 16))
+        rows += (1000 * near / np.linalg.norm(near, axis=1)[:, None]).tolist()
+    points, k = np.array(rows), 5
+    lift = np.sqrt(np.maximum((points ** 2).sum(1).max() - (points ** 2).sum(1), 0))
+    tree = M.MTree(np.column_stack((points, lift)), leaf=n, fanout=16)
+    order = np.arange(len(points))
+    for own in range(0, len(points), 7):
+        scores = np.where(order == own, -np.inf, points @ points[own])
+        found = tree.search(np.append(points[own], 0.0), k, lambda r, s=scores: s[r], order)
+        assert [r for _, _, r in found] == np.lexsort((order, -scores))[:k].tolist()
