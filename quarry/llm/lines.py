@@ -1,15 +1,19 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, digits as 0, words only) and hashed; lines that are equal then
-are one row with its first occurrence. A line's SimHash is over its words and neighbouring word
-pairs. Two lines are compared if their SimHashes differ in at most ``radius`` bits, found by
-pigeonhole blocks: of radius + 3 blocks any such pair agrees in three, so each three blocks are a
-join key (32 of the 64 bits). A pair is examined under its first agreeing key only, and linked if
-the edit similarity of the word sequences is high enough. Of each connected group one occurrence stays,
-the first by document and line.
-
-Word sequences are only moved for lines that have a partner within the radius, and a group
-yields the edges of a spanning forest.
+A line's words in lower case are hashed; lines of equal words are one row with its first
+occurrence. Two lines are linked if the edit similarity of their word sequences is
+high enough, and of each connected group one occurrence stays, the first by document and line.
+
+Candidates are complete. An edit changes at most q of a line's runs of q words, so if two lines
+are within d edits, any of their runs that d edits cannot all change include a shared one. Runs
+are ordered by how often they occur (a fixed table of counts by hash, runs that occur once
+first); each line takes the first ones in that order until d edits cannot change them all, so the
+rarer of two such choices meets the other. Runs that occur once need no row at all. Pairs are
+ruled out by their lengths and by the parity of their words' hashes (an edit changes two bits at
+most) before any words are moved.
+
+Groups of equal runs are compared in two steps: every line with the least line of its group, and
+then, in groups that are not one component after that, the pairs of lines of unlike components.
 """
 
 from __future__ import annotations
@@ -31,14 +35,22 @@ from quarry.llm.simhash import block_pairs
 MIN_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3
+#: options of the whole job: no bound but the edit similarity
+WHOLE = {"radius": None}
 BLOCK = 2048
-#: blocks of a SimHash that make a join key
+#: blocks of a SimHash that name a pair within the radius
 AGREE = 3
 CACHE = 400_000
 #: the bitmap that spares reading most texts again has 2^BITS bits
 BITS = 26
-#: columns that name a group of lines to compare
-GROUP = ["k", "bucket", "i", "j"]
+#: lines of so many words have runs of q words: (q, least, most)
+RUNS = ((2, 4, 10), (3, 9, 1 << 62))
+#: at most 2^SLOTS bits tell which runs occur twice, and 2^COUNTS counters how often they do
+SLOTS, COUNTS = 28, 20
+#: pairs compared at once
+SLICE = 1 << 20
+#: longer lines take their runs by count alone
+LONG = 1 << 14
 
 WORD = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"[^\W_]+|\n")
@@ -50,15 +62,20 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9),
 
 
 class Words(dict):
-    """token -> hash of the word's normal form, or NEWLINE."""
+    """token -> hash of the word in lower case << 32 | hash of its normal form, or NEWLINE."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        h = self[token] = NEWLINE if token == "\n" else word_hash(token)
+        h = self[token] = NEWLINE if token == "\n" else both_hashes(token)
         return h
 
 
+def both_hashes(word: str) -> int:
+    plain = word_hash(word) & 0x7FFFFFFF
+    return plain << 32 | word_hash(word)
+
+
 def word_hash(word: str) -> int:
     """32-bit hash of a word in lower case, digits as 0."""
     plain = word.lower()
@@ -74,13 +91,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def line_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64-bit names of non-empty word sequences given end to end."""
+    size = np.diff(bounds)
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], size)
+    each = mix(words.astype(np.uint64) * _MIX[0])
+    key = np.add.reduceat(mix(each + place.astype(np.uint64) * _MIX[0]), bounds[:-1])
+    return mix(key + size.astype(np.uint64))
+
+
 def line_marks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, simhash) of non-empty word sequences given end to end; neither looks past one."""
     size = np.diff(bounds)
     first = bounds[:-1]
     place = np.arange(len(words)) - np.repeat(first, size)
     each = mix(words.astype(np.uint64) * _MIX[0])
-    key = np.add.reduceat(mix(each + place.astype(np.uint64) * _MIX[0]), first)
     # a line's features: its words, then its pairs of neighbours
     starts = 2 * first - np.arange(len(size))
     at = np.repeat(starts, size) + place
@@ -91,55 +116,322 @@ def line_marks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     pair = np.flatnonzero(inner)
     features[(at + np.repeat(size, size))[pair]] = mix(each[pair] * _MIX[0] + each[pair + 1])
     ends = np.append(starts, len(features))
-    return mix(key + size.astype(np.uint64)), majority_bits(features, ends)
+    return line_keys(words, bounds), majority_bits(features, ends)
+
+
+def tokens(text: str) -> list[str]:
+    return TOKEN.findall(text)
 
 
 def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray, ...]:
     """(text, line, words, bounds) of the lines of ``min_words`` or more words: the row of each
     line's text, its number, and the word hashes of all lines end to end with their bounds."""
+    texts = [(t or "") + "\n" for t in texts]
     ids = [np.fromiter(map(memory.__getitem__, found), np.int64, len(found))
-           for found in (TOKEN.findall((t or "") + "\n") for t in texts)]
+           for found in map(tokens, texts)]
     text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     ends = np.flatnonzero(ids == NEWLINE)
     size = np.diff(np.append(-1, ends)) - 1
     owner = text[ends]
     number = np.arange(len(ends)) - np.searchsorted(owner, owner)
-    keep = size >= min_words
+    keep = size >= max(min_words, 1)
     wanted = np.repeat(keep, size + 1)
     wanted[ends] = False
     return owner[keep], number[keep], ids[wanted], np.append(0, np.cumsum(size[keep]))
 
 
-def _lines(min_words: int, wanted=None):
-    """(id, th, text) -> one row per line of ``min_words`` or more words. With ``wanted``, a
-    broadcast bitmap of text hashes, the lines of the texts that it may hold, with their words;
-    else all lines, without."""
+class Lines:
+    """Distinct lines of a run of texts: the ones that ``seen`` lacks, which it then has."""
+
+    def __init__(self, texts: list, memory: Words, min_words: int, seen: set):
+        _, _, words, bounds = text_lines(texts, memory, min_words)
+        self.key = line_keys(words, bounds) if len(bounds) > 1 else np.zeros(0, np.uint64)
+        new = np.zeros(len(self.key), bool)
+        for x, k in enumerate(self.key.tolist()):
+            if k not in seen:
+                seen.add(k)
+                new[x] = True
+        self.pick(words, bounds, new)
+
+    def pick(self, words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> None:
+        size = np.diff(bounds)
+        self.key, self.words = self.key[rows], words[np.repeat(rows, size)]
+        self.size = size[rows]
+        self.bounds = np.append(0, np.cumsum(self.size))
+
+    def runs(self, q: int, least: int, most: int) -> tuple[np.ndarray, ...]:
+        """(line, place, hash) of the runs of q words, by line, of lines in the given range."""
+        each = mix(self.words.astype(np.uint64) * _MIX[0])
+        line = np.repeat(np.arange(len(self.size)), self.size)
+        place = np.arange(len(each)) - self.bounds[:-1][line]
+        size = self.size[line]
+        at = np.flatnonzero((size >= least) & (size <= most) & (place <= size - q))
+        h = np.full(len(at), q, np.uint64)
+        for x in range(q):
+            h = mix(h * _MIX[0] + each[at + x])
+        return line[at], place[at], h
+
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each line: every word turns one of them over."""
+        h = mix(self.words.astype(np.uint64) * _MIX[1] + _MIX[2])
+        bit = np.uint64(1) << (h & np.uint64(63))
+        high = (h >> np.uint64(6)) & np.uint64(1) == 1
+        zero = np.uint64(0)
+        return tuple(np.bitwise_xor.reduceat(x, self.bounds[:-1]) if len(self.size)
+                     else np.zeros(0, np.uint64)
+                     for x in (np.where(high, zero, bit), np.where(high, bit, zero)))
+
+
+class Seen:
+    """How often runs occur: bits of those seen once and twice, and counters. Both go by hash, so
+    a run may be held to be more frequent than it is, never less."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.once = np.zeros(1 << (slots - 6), np.uint64)
+        self.twice = np.zeros(1 << (slots - 6), np.uint64)
+        self.count = np.zeros(1 << COUNTS, np.int64)
+
+    def add(self, runs: np.ndarray) -> None:
+        if not len(runs):
+            return
+        self.count += np.bincount((runs >> np.uint64(64 - COUNTS)).astype(np.int64),
+                                  minlength=1 << COUNTS)
+        slot, n = np.unique(runs & np.uint64((1 << self.slots) - 1), return_counts=True)
+        word, bit = slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63))
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        at = word[first].astype(np.int64)
+        new = np.bitwise_or.reduceat(bit, first)
+        many = np.bitwise_or.reduceat(np.where(n > 1, bit, np.uint64(0)), first)
+        self.twice[at] |= many | (self.once[at] & new)
+        self.once[at] |= new
+
+    def order(self, runs: np.ndarray) -> np.ndarray:
+        """Order of the runs, the rarest first: 0 for those that occur once."""
+        slot = runs & np.uint64((1 << self.slots) - 1)
+        often = self.twice[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))
+        n = np.minimum(self.count[(runs >> np.uint64(64 - COUNTS)).astype(np.int64)], 1 << 30)
+        out = (n.astype(np.uint64) << np.uint64(32) | (runs >> np.uint64(8)) & np.uint64(
+            0xFFFFFFFF)) + np.uint64(1)
+        return np.where(often & np.uint64(1) == 1, out, np.uint64(0))
+
+
+#: words of a bitmap, or counters, in a row
+PIECE = 1 << 14
+
+
+def _count_runs(min_words: int, slots: int):
+    """(text) -> compressed pieces (kind, piece, a, b) of a task's ``Seen``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, known, seen = Words(), set(), Seen(slots)
+        for batch in batches:
+            for x in range(0, batch.num_rows, 512):
+                lines = Lines(batch.column(0).slice(x, 512).to_pylist(), memory, min_words, known)
+                for q, least, most in RUNS:
+                    seen.add(lines.runs(q, least, most)[2])
+        yield from _pieces(seen)
+    return run
+
+
+def _count_taken(slots: int):
+    """(run) -> pieces of a task's ``Seen`` of the runs that were taken, under other hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen(slots)
+        for batch in batches:
+            seen.add(again(batch.column(0).to_numpy()))
+        yield from _pieces(seen)
+    return run
+
+
+def again(runs: np.ndarray) -> np.ndarray:
+    """Hashes of runs that are apart from those of their first count."""
+    return mix(runs.view(np.uint64) * _MIX[0] + _MIX[2])
+
+
+def _shared_runs(seen):
+    """Rows (run, ...) -> those whose run may have been taken twice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            often = seen.value.order(again(batch.column(0).to_numpy())) > 0
+            yield batch.filter(pa.array(often))
+    return run
+
+
+def _pieces(seen: Seen) -> Iterator[pa.RecordBatch]:
+    for kind, a, b in ((0, seen.once, seen.twice), (1, seen.count, seen.count[:0])):
+        for x in range(0, len(a), PIECE):
+            if a[x:x + PIECE].any():
+                yield _piece(kind, x // PIECE, a[x:x + PIECE], b[x:x + PIECE])
+
+
+def _piece(kind: int, at: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind], pa.int32()), pa.array([at], pa.int32()),
+         *[pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (a, b)]],
+        names=["kind", "piece", "a", "b"])
+
+
+def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, a, b = None, None, None
+    for batch in batches:
+        for kind, at, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            x, y = (np.frombuffer(zlib.decompress(z), np.uint64) for z in (x, y))
+            if name != (kind, at):
+                if name:
+                    yield _piece(*name, a, b)
+                name, a, b = (kind, at), x.copy(), y.copy()
+            elif kind:
+                a += x
+            else:
+                b |= y | (a & x)
+                a |= x
+    if name:
+        yield _piece(*name, a, b)
+
+
+def run_counts(rows: DataFrame, min_words: int) -> Seen:
+    """How often the runs of all lines occur, from one scan. What reaches the driver is of fixed
+    size, 2^SLOTS bits and 2^COUNTS counters at most."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = min(SLOTS, max(18, int(chars // 3).bit_length()))
+    return _counted(rows.select("text"), _count_runs(min_words, slots), slots)
+
+
+def _counted(rows: DataFrame, count, slots: int) -> Seen:
+    schema = "kind int, piece int, a binary, b binary"
+    pieces = (rows.mapInArrow(count, schema)
+              .repartition("kind", "piece").sortWithinPartitions("kind", "piece")
+              .mapInArrow(_merge_pieces, schema).select("kind", "piece", F.when(
+                  F.col("kind") == 1, F.col("a")).otherwise(F.col("b")).alias("bits")))
+    out = Seen(slots)
+    out.once = None
+    for kind, piece, bits in pieces.collect():
+        into = out.count.view(np.uint64) if kind else out.twice
+        bits = np.frombuffer(zlib.decompress(bits), np.uint64)
+        into[piece * PIECE:piece * PIECE + len(bits)] = bits
+    return out
+
+
+def edits(size, similarity: float):
+    """The most edits within which a line of ``size`` words can be similar to another one."""
+    longest = np.floor(size / similarity + 1e-9)
+    return np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
+def _lasting(starts: np.ndarray, ends: np.ndarray, place: np.ndarray, taken: np.ndarray, q: int,
+             need: np.ndarray) -> np.ndarray:
+    """For lines with the runs starts:ends, whether ``need`` edits cannot change all the taken
+    runs: whether there are more of them that do not overlap, each the first one possible."""
+    n = len(place)
+    after = np.where(taken, np.arange(n), n)
+    after = np.append(np.minimum.accumulate(after[::-1])[::-1], n)
+    left, count, live = starts.copy(), np.zeros(len(starts), np.int64), np.arange(len(starts))
+    while len(live):
+        at = after[np.minimum(left[live], n)]
+        ok = at < ends[live]
+        live, at = live[ok], at[ok]
+        count[live] += 1
+        left[live] = at + q
+        live = live[count[live] <= need[live]]
+    return count > need
+
+
+def chosen_runs(line: np.ndarray, place: np.ndarray, order: np.ndarray, q: int,
+                need: np.ndarray) -> np.ndarray:
+    """Which runs each line takes: all up to the least order at which ``need`` (by line) edits
+    cannot change all of them. Those of order 0 are left out: no other line has them."""
+    if not len(line):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    ends = np.append(starts[1:], len(line))
+    need = need[line[starts]]
+    size = ends - starts
+    far = np.zeros(len(starts), np.uint64)             # the greatest order to take
+    rest = np.flatnonzero(~_lasting(starts, ends, place, order == 0, q, need))
+    if len(rest):
+        within = np.repeat(np.arange(len(starts)), size)
+        ranked = order[np.lexsort((order, within))]
+        low, high = np.zeros(len(starts), np.int64), np.minimum(q * need, size - 1)
+        far[rest] = ranked[(starts + high)[rest]]
+        live = rest[size[rest] <= LONG]
+        while len(live):                               # the first rank that is enough
+            mid = (low[live] + high[live]) // 2
+            limit = np.zeros(len(starts), np.uint64)
+            limit[live] = ranked[starts[live] + mid]
+            ok = _lasting(starts[live], ends[live], place, order <= limit[within], q, need[live])
+            high[live[ok]], low[live[~ok]] = mid[ok], mid[~ok] + 1
+            live = live[low[live] < high[live]]
+        short = rest[size[rest] <= LONG]
+        far[short] = ranked[starts[short] + high[short]]
+    return (order > 0) & (order <= np.repeat(far, size))
+
+
+def _take_runs(min_words: int, similarity: float, seen):
+    """(text) -> (run, key, n, p, r): the runs that each line takes, its length and parity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, known = Words(), set()
+        for batch in batches:
+            for x in range(0, batch.num_rows, 2048):
+                lines = Lines(batch.column(0).slice(x, 2048).to_pylist(), memory, min_words, known)
+                need = edits(lines.size, similarity)
+                found = []
+                for q, least, most in RUNS:
+                    line, place, h = lines.runs(q, least, most)
+                    take = chosen_runs(line, place, seen.value.order(h), q, need)
+                    found.append((line[take], h[take]))
+                line, h = (np.concatenate(c) for c in zip(*found))
+                if not len(line):
+                    continue
+                by = np.lexsort((h, line))
+                line, h = line[by], h[by]
+                new = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
+                line, h = line[new], h[new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(lines.key[line].view(np.int64)),
+                     pa.array(lines.size[line], pa.int32()),
+                     *[pa.array(s[line].view(np.int64)) for s in lines.parity()]],
+                    names=["run", "key", "n", "p", "r"])
+    return run
+
+
+def _spots(min_words: int):
+    """(id, th, text) -> one row per line of ``min_words`` or more words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
         for batch in batches:
-            if wanted is not None:
-                place = bit_of(batch.column(1).to_numpy().view(np.uint64))
-                bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))
-                batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
             for x in range(0, batch.num_rows, 512):
-                yield from emit(batch.slice(x, 512), memory)
+                some = batch.slice(x, 512)
+                owner, number, words, bounds = text_lines(some.column(2).to_pylist(), memory,
+                                                          min_words)
+                if len(owner):
+                    rows = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(rows), some.column(1).take(rows),
+                         pa.array(number, pa.int32()),
+                         pa.array(line_keys(words, bounds).view(np.int64))],
+                        names=["id", "th", "line", "key"])
+    return run
 
-    def emit(batch, memory):
-        owner, number, words, bounds = text_lines(batch.column(2).to_pylist(), memory, min_words)
-        if not len(owner):
-            return
-        key, sim = line_marks(words, bounds)
-        marks = [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))]
-        if wanted is None:
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array(number, pa.int32()), *marks], names=["id", "th", "line", "key", "sim"])
-        else:
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                             pa.array(words.astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([*marks, lists], names=["key", "sim", "words"])
+
+def _worded(min_words: int, wanted):
+    """(th, text) -> (key, sim, words) of the lines of texts that ``wanted``, a broadcast bitmap
+    of text hashes, may hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, known = Words(), set()
+        for batch in batches:
+            place = bit_of(batch.column(0).to_numpy().view(np.uint64))
+            bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))
+            batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
+            for x in range(0, batch.num_rows, 512):
+                lines = Lines(batch.column(1).slice(x, 512).to_pylist(), memory, min_words, known)
+                if len(lines.key):
+                    sim = line_marks(lines.words & 0xFFFFFFFF, lines.bounds)[1]
+                    plain = (lines.words >> 32).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(lines.key.view(np.int64)), pa.array(sim.view(np.int64)),
+                         pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()),
+                                                  pa.array(plain))], names=["key", "sim", "words"])
     return run
 
 
@@ -189,29 +481,6 @@ def block_masks(radius: int) -> list[int]:
     return [(1 << cut[k + 1]) - (1 << cut[k]) for k in range(n)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _near_pairs(sims: np.ndarray, key_no: np.ndarray, a: np.ndarray, b: np.ndarray,
-                radius: int) -> np.ndarray:
-    """Which pairs are within the radius and under their first agreeing key."""
-    masks = np.array(block_masks(radius), np.uint64)
-    diff = sims[a] ^ sims[b]
-    ok = np.bitwise_count(diff) <= radius
-    found = np.flatnonzero(ok)
-    for x in range(0, len(found), 1 << 18):
-        some = found[x:x + (1 << 18)]
-        same = (diff[some][:, None] & masks) == 0
-        rows, first = np.arange(len(some)), np.zeros(len(some), np.int64)
-        for _ in range(AGREE):                      # the first blocks that agree, as a bit set
-            block = same.argmax(1)
-            same[rows, block] = False
-            first |= 1 << block
-        ok[some] = key_table(radius)[first] == key_no[a[some]]
-    return ok
-
-
 def key_table(radius: int) -> np.ndarray:
     """Number of the join key of each set of AGREE blocks, given as a bit set."""
     n = radius + AGREE
@@ -221,117 +490,136 @@ def key_table(radius: int) -> np.ndarray:
     return out
 
 
-def _active(radius: int):
-    """Sorted groups (k, bucket, i, j, sim) -> rows that have a partner there."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in sorted_groups(batches, 4):
-            cols = [rows.column(c).to_numpy() for c in range(5)]
-            sims = np.ascontiguousarray(cols[4]).view(np.uint64)
-            hit = np.zeros(len(sims), bool)
-            for a, b in _pieces(starts):
-                ok = _near_pairs(sims, cols[0], a, b, radius)
-                hit[a[ok]] = hit[b[ok]] = True
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in cols],
-                                                 names=["k", "bucket", "i", "j", "sim"])
-    return run
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
 
-def _pieces(starts: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within groups, some groups at a time."""
+def slices(starts: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within groups, about ``most`` at a time, some groups together."""
     size = np.diff(starts)
     pairs = np.concatenate(([0], np.cumsum(size * (size - 1) // 2)))
     g = 0
     while g < len(size):
         h = max(g + 1, int(np.searchsorted(pairs, pairs[g] + most, "right")) - 1)
-        a, b = pairs_within(starts[g:h + 1])
-        if len(a):
-            yield a, b
+        yield pairs_within(starts[g:h + 1])
         g = h
 
 
-def _linked(radius: int, similarity: float):
-    """Sorted groups (k, bucket, i, j, sim, key, words) -> edges (a, b) between line keys."""
+def _across(similarity: float):
+    """Sorted groups (run, i, j, c, key, n, p, r) -> pairs of keys of unlike components c that
+    their lengths and parities do not rule out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in sorted_groups(batches, 4):
-            key_no = rows.column(0).to_numpy()
-            sims = np.ascontiguousarray(rows.column(4).to_numpy()).view(np.uint64)
-            keys = rows.column(5).to_numpy()
-            lists = rows.column(6).combine_chunks()
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            words = lambda r: flat[bounds[r]:bounds[r + 1]]  # noqa: E731, B023
-            root = list(range(len(sims)))
-            out_a, out_b = [], []
-            for a, b in _pieces(starts):
-                ok = _near_pairs(sims, key_no, a, b, radius)
-                for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-                    p, q = _find(root, x), _find(root, y)
-                    if p == q:
-                        continue                    # linked by others already
-                    u, v = words(x), words(y)
-                    most = max(len(u), len(v))
-                    if word_edit_distance(u, v) <= (1 - similarity) * most + 1e-9:
-                        root[max(p, q)] = min(p, q)
-                        out_a.append(keys[x])
-                        out_b.append(keys[y])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()),
-                                                  pa.array(out_b, pa.int64())], names=["a", "b"])
+        for rows, starts in sorted_groups(batches, 3):
+            c, key, n, p, r = (rows.column(x).to_numpy() for x in range(3, 8))
+            for a, b in slices(starts):
+                ok = c[a] != c[b]
+                a, b = a[ok], b[ok]
+                most = np.floor((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
+                odd = np.bitwise_count(p[a].view(np.uint64) ^ p[b].view(np.uint64)).astype(int)
+                odd += np.bitwise_count(r[a].view(np.uint64) ^ r[b].view(np.uint64))
+                ok = (np.abs(n[a] - n[b]) <= most) & (odd <= 2 * most)
+                a, b = key[a[ok]], key[b[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                        names=["a", "b"])
     return run
 
 
-def _find(root: list[int], x: int) -> int:
-    while root[x] != x:
-        root[x] = root[root[x]]
-        x = root[x]
-    return x
+def _similar(similarity: float, radius: int | None):
+    """(a, b, sim, words, other sim, other words) -> the pairs (a, b) that are links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            if radius is not None:
+                s, t = (batch.column(x).to_numpy().view(np.uint64) for x in (2, 4))
+                ok = np.bitwise_count(s ^ t) <= radius
+            (u, x), (v, y) = ((batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy())
+                              for c in (3, 5))
+            for row in np.flatnonzero(ok).tolist():
+                one, two = x[u[row]:u[row + 1]], y[v[row]:v[row + 1]]
+                most = (1 - similarity) * max(len(one), len(two)) + 1e-9
+                ok[row] = word_edit_distance(one, two) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+    return run
 
 
-def near_marks(lines: DataFrame, radius: int, block: int) -> DataFrame:
-    """lines (key, sim), no repeats -> (k, bucket, i, j, sim): the groups in which a SimHash meets
-    another one within the radius, or more than one line."""
-    masks = block_masks(radius)
-    joint = [_signed(sum(blocks)) for blocks in itertools.combinations(masks, AGREE)]
-    keyed = lines.select("sim").distinct().select("sim", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col("sim").bitwiseAND(F.lit(m)).alias("bucket"))
-        for k, m in enumerate(joint)])).alias("e")).select("sim", "e.k", "e.bucket")
-    shared = keyed.groupBy("k", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = block_pairs(keyed.join(shared, ["k", "bucket"]), "size", "sim", block)
-    near = (dealt.select(*GROUP, "sim").repartition(*GROUP).sortWithinPartitions(*GROUP)
-            .mapInArrow(_active(radius), "k int, bucket long, i int, j int, sim long"))
-    # lines of one SimHash are compared with each other in a group of their own
-    equal = (lines.groupBy("sim").agg(F.count("*").alias("size")).filter("size > 1")
-             .select(F.lit(0).alias("k"), F.col("sim").alias("bucket"), F.lit(-1).alias("i"),
-                     F.lit(-1).alias("j"), "sim"))
-    return near.unionByName(equal)
+def _links(pairs: DataFrame, rows: DataFrame, spots: DataFrame, min_words: int,
+           similarity: float, radius: int | None, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of line keys that are links; words are read from one text per line."""
+    pairs = scratch.keep(pairs.distinct(), "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    holders = spots.join(keys, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th"))
+    worded = rows.select("th", "text").mapInArrow(
+        _worded(min_words, _bitmap(holders)), "key long, sim long, words array<int>")
+    worded = scratch.keep(worded.join(keys, "key", "left_semi").dropDuplicates(["key"]), "words")
+    one = worded.select(F.col("key").alias("a"), F.col("sim").alias("s"),
+                        F.col("words").alias("u"))
+    two = worded.select(F.col("key").alias("b"), F.col("sim").alias("t"),
+                        F.col("words").alias("v"))
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "u", "t", "v")
+    return scratch.keep(full.mapInArrow(_similar(similarity, radius), "a long, b long"), "links")
+
+
+def line_groups(rows: DataFrame, spots: DataFrame, min_words: int, similarity: float,
+                radius: int | None, block: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the line keys that are linked to another one."""
+    if similarity < 0.8:
+        raise ValueError("the runs of RUNS are complete for a similarity of 0.8 or more")
+    seen = rows.sparkSession.sparkContext.broadcast(run_counts(rows, min_words))
+    taken = scratch.keep(rows.select("text").mapInArrow(
+        _take_runs(min_words, similarity, seen), "run long, key long, n int, p long, r long"),
+        "runs")
+    # rows whose run no other line took go before any is shuffled
+    slots = min(SLOTS, max(18, (4 * taken.count()).bit_length()))
+    twice = rows.sparkSession.sparkContext.broadcast(
+        _counted(taken.select("run"), _count_taken(slots), slots))
+    taken = scratch.keep(taken.mapInArrow(_shared_runs(twice), taken.schema), "taken")
+    groups = taken.groupBy("run").agg(
+        F.min(F.struct("key", "n", "p", "r")).alias("least"), F.max("key").alias("last"),
+        F.count("*").alias("size")).filter("least.key <> last").drop("last")
+    # the least line of a group is compared with all others here, the others among them below
+    shared = scratch.keep(taken.join(groups, "run").filter("key <> least.key"), "shared")
+    most = F.floor(F.lit(1 - similarity) * F.greatest("n", "least.n") + 1e-9)
+    odd = (F.bit_count(F.col("p").bitwiseXOR(F.col("least.p")))
+           + F.bit_count(F.col("r").bitwiseXOR(F.col("least.r"))))
+    stars = shared.filter((F.abs(F.col("n") - F.col("least.n")) <= most) & (odd <= 2 * most))
+    options = (rows, spots, min_words, similarity, radius, scratch)
+    links = _links(stars.select(F.col("least.key").alias("a"), F.col("key").alias("b")), *options)
+    parts = scratch.keep(connected_components(links, scratch), "parts")
+    placed = scratch.keep(shared.join(parts, F.col("key") == F.col("node"), "left").select(
+        "run", "size", F.coalesce("component", "key").alias("c"), "key", "n", "p", "r"), "placed")
+    parted = placed.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    parted = parted.filter("low <> high").select("run")
+    dealt = block_pairs(placed.join(parted, "run"), "size", "key", block)
+    dealt = (dealt.select("run", "i", "j", "c", "key", "n", "p", "r")
+             .repartition("run", "i", "j").sortWithinPartitions("run", "i", "j"))
+    more = _links(dealt.mapInArrow(_across(similarity), "a long, b long"), *options)
+    if more.isEmpty():
+        return parts
+    return connected_components(more.unionByName(parts.select(
+        F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS, radius: int = RADIUS,
+                   min_words: int = MIN_WORDS, radius: int | None = RADIUS,
                    similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, th, line) of every line that is to go: an occurrence, other than the first by id,
     text hash and line number, of a group of similar lines. ``th`` is xxhash64 of the text, so
     rows that repeat both id and text are one document. Lines are parted by newlines; those of
-    fewer than ``min_words`` words always stay. Null texts have no lines; a null id comes first.
+    fewer than ``min_words`` words always stay, and lines whose SimHashes differ in more than
+    ``radius`` bits are not linked (None: whatever their SimHashes).
+    Null texts have no lines; a null id comes first.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     spots = scratch.keep(rows.mapInArrow(
-        _lines(min_words), "id long, th long, line int, key long, sim long").distinct(), "spots")
-    near = scratch.keep(near_marks(spots.select("key", "sim").distinct(), radius, block), "near")
-    active = near.select("sim").distinct()
-    # the words of each line with a partner are read from one text that holds it
-    holders = (spots.join(active, "sim", "left_semi").groupBy("key", "sim")
-               .agg(F.min("th").alias("th")))
-    worded = rows.mapInArrow(_lines(min_words, _bitmap(holders)),
-                             "key long, sim long, words array<int>")
-    worded = worded.join(active, "sim", "left_semi").groupBy("key", "sim").agg(
-        F.first("words").alias("words"))
-    groups = (near.join(worded, "sim").select(*GROUP, "sim", "key", "words")
-              .repartition(*GROUP).sortWithinPartitions(*GROUP))
-    links = groups.mapInArrow(_linked(radius, similarity), "a long, b long")
-    groups = connected_components(links, scratch)
+        _spots(min_words), "id long, th long, line int, key long").distinct(), "spots")
+    groups = line_groups(rows, spots, min_words, similarity, radius, block, scratch)
     place = F.struct("id", "th", "line")
     by_key = spots.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = scratch.keep(by_key.join(groups, F.col("key") == F.col("node"), "left").select(

@@ -56,7 +56,7 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that repeat, exactly or nearly, an earlier line."""
-    return lines.mark_lines(table(spark, sf_dir, "documents"))
+    return lines.mark_lines(table(spark, sf_dir, "documents"), **lines.WHOLE)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,51 @@ def test_repeated_rows_are_one_document_and_empty_tables_work(frame):
     assert [list(r.removed) for r in L.mark_lines(docs).collect()] == [[], []]
     empty = frame([], "doc_id long, text string")
     assert L.mark_lines(empty).count() == 0 and L.drop_lines(empty).count() == 0
+
+
+def _links(lines):
+    """Component of each line by plain edit similarity of its words, with no other bound."""
+    words = [[w.lower() for w in L.tokens(x)] or [x.strip()] for x in lines]
+    root = list(range(len(lines)))
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if _levenshtein(words[i], words[j]) <= 0.2 * max(len(words[i]), len(words[j])) + 1e-9:
+            a, b = L._find(root, i), L._find(root, j)
+            root[max(a, b)] = min(a, b)
+    return [L._find(root, i) for i in range(len(lines))]
+
+
+def _gone(frame, lines, **options):
+    docs = frame(list(enumerate(lines)), "doc_id long, text string")
+    return {r.doc_id for r in L.mark_lines(docs, min_words=1, **L.WHOLE, **options).collect() if r.removed}
+
+
+def _edited(rng, words, vocabulary, n):
+    words = list(words)
+    for _ in range(n):
+        x = rng.randrange(len(words))
+        kind = rng.randrange(3)
+        if kind == 0:
+            words[x] = rng.choice(vocabulary)
+        elif kind == 1:
+            words.insert(x, rng.choice(vocabulary))
+        elif len(words) > 1:
+            del words[x]
+    return words
+
+
+def test_all_lines_within_the_similarity_are_found(frame):
+    """Edits of up to a fifth of the words and some more, in a vocabulary of common runs too."""
+    for seed, size in ((1, 12), (2, 4000)):
+        rng = random.Random(seed)
+        vocabulary = ["w" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(size)]
+        lines = []
+        for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 19, 20, 31, 50, 77]:
+            base = rng.choices(vocabulary, k=n)
+            lines += [" ".join(_edited(rng, base, vocabulary, rng.randrange(n // 4 + 2)))
+                      for _ in range(9)]
+        rng.shuffle(lines)
+        roots = _links(lines)
+        want = {i for i, r in enumerate(roots) if i != r}
+        assert len(want) > 40
+        for block in (4, 2048):
+            assert _gone(frame, lines, block=block) == want
