@@ -72,7 +72,7 @@ class Words(dict):
 
 
 def both_hashes(word: str) -> int:
-    plain = word_hash(word) & 0x7FFFFFFF
+    plain = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
     return plain << 32 | word_hash(word)
 
 

@@ -157,3 +157,9 @@ def test_all_lines_within_the_similarity_are_found(frame):
         assert len(want) > 40
         for block in (4, 2048):
             assert _gone(frame, lines, block=block) == want
+
+
+def test_lines_that_differ_in_digits_only_are_not_repeats(frame):
+    lines = ["12 45 78 90 33", "99 10 27 64 58", "12 45 78 90 34", "12 45 78 90 33",
+             "on 2024 01 05 it was 31 out of 99", "on 1987 12 24 it was 70 out of 11"]
+    assert _gone(frame, lines) == {2, 3}
