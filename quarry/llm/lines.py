@@ -498,11 +498,23 @@ def _find(root: list[int], x: int) -> int:
 
 
 def slices(starts: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within groups, about ``most`` at a time, some groups together."""
+    """All pairs within groups, about ``most`` at a time: small groups together, large ones in
+    slices of rows."""
     size = np.diff(starts)
     pairs = np.concatenate(([0], np.cumsum(size * (size - 1) // 2)))
     g = 0
     while g < len(size):
+        if pairs[g + 1] - pairs[g] > most:
+            end = starts[g + 1]
+            step = max(1, most // int(size[g]))
+            for x in range(starts[g], end, step):
+                rows = np.arange(x, min(x + step, end))
+                after = end - rows - 1
+                a = np.repeat(rows, after)
+                first = np.cumsum(after) - after
+                yield a, a + 1 + np.arange(len(a)) - np.repeat(first, after)
+            g += 1
+            continue
         h = max(g + 1, int(np.searchsorted(pairs, pairs[g] + most, "right")) - 1)
         yield pairs_within(starts[g:h + 1])
         g = h

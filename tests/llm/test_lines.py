@@ -163,3 +163,24 @@ def test_lines_that_differ_in_digits_only_are_not_repeats(frame):
     lines = ["12 45 78 90 33", "99 10 27 64 58", "12 45 78 90 34", "12 45 78 90 33",
              "on 2024 01 05 it was 31 out of 99", "on 1987 12 24 it was 70 out of 11"]
     assert _gone(frame, lines) == {2, 3}
+
+
+def test_pairs_of_a_large_group_come_in_slices():
+    starts = np.array([0, 3, 3, 4, 60, 62])
+    found = list(L.slices(starts, 100))
+    assert max(len(a) for a, _ in found) <= 100
+    pairs = sorted((x, y) for a, b in found for x, y in zip(a.tolist(), b.tolist()))
+    assert pairs == sorted(p for s, t in itertools.pairwise(starts.tolist())
+                           for p in itertools.combinations(range(s, t), 2))
+
+
+def test_many_lines_of_one_simhash_are_one_group(frame):
+    """Long lines with one word changed: few SimHashes, and no task gets all of their lines."""
+    rng = random.Random(5)
+    base = ["word%d" % rng.randrange(10 ** 6) for _ in range(400)]
+    lines = []
+    for x in range(300):
+        words = list(base)
+        words[rng.randrange(400)] = "other%d" % x
+        lines.append(" ".join(words))
+    assert _gone(frame, lines, block=16) == set(range(1, 300))
