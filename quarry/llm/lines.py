@@ -1,7 +1,8 @@
 """Fuzzy line deduplication.
 
 A line's words in lower case are hashed; lines of equal words are one row with its first
-occurrence. Two lines are linked if the edit similarity of their word sequences is
+occurrence, and a line without words stands for its own characters. In scripts without blanks
+each character is a word. Two lines are linked if the edit similarity of their word sequences is
 high enough, and of each connected group one occurrence stays, the first by document and line.
 
 Candidates are complete. An edit changes at most q of a line's runs of q words, so if two lines
@@ -35,8 +36,8 @@ from quarry.llm.simhash import block_pairs
 MIN_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 3
-#: options of the whole job: no bound but the edit similarity
-WHOLE = {"radius": None}
+#: options of the whole job: every line that is not blank, and no bound but the edit similarity
+WHOLE = {"min_words": 1, "radius": None}
 BLOCK = 2048
 #: blocks of a SimHash that name a pair within the radius
 AGREE = 3
@@ -54,6 +55,11 @@ LONG = 1 << 14
 
 WORD = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"[^\W_]+|\n")
+#: scripts that part words by no blanks: Thai, Lao, Myanmar, Khmer, kana, Han
+_UNPARTED = (r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+             r"\uf900-\ufaff\U00020000-\U0003ffff")
+UNPARTED = re.compile(f"[{_UNPARTED}]")
+FINE_TOKEN = re.compile(rf"(?=[^\W_])[{_UNPARTED}]|[^\W_{_UNPARTED}]+|\n")
 #: what a line's end has in place of a word's hash
 NEWLINE = -1
 _DIGITS = re.compile(r"\d")
@@ -120,15 +126,19 @@ def line_marks(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text)
+    fine = not text.isascii() and UNPARTED.search(text)
+    return (FINE_TOKEN if fine else TOKEN).findall(text)
 
 
 def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray, ...]:
     """(text, line, words, bounds) of the lines of ``min_words`` or more words: the row of each
-    line's text, its number, and the word hashes of all lines end to end with their bounds."""
+    line's text, its number, and the word hashes of all lines end to end with their bounds. For a
+    ``min_words`` of 1, a line that is not blank but has no word has one, its characters."""
     texts = [(t or "") + "\n" for t in texts]
     ids = [np.fromiter(map(memory.__getitem__, found), np.int64, len(found))
            for found in map(tokens, texts)]
+    if min_words <= 1:
+        ids = [_signs(t, i) for t, i in zip(texts, ids)]
     text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     ends = np.flatnonzero(ids == NEWLINE)
@@ -141,6 +151,17 @@ def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray,
     return owner[keep], number[keep], ids[wanted], np.append(0, np.cumsum(size[keep]))
 
 
+def _signs(text: str, ids: np.ndarray) -> np.ndarray:
+    """``ids`` with one word for each line that has none and is not blank."""
+    ends = np.flatnonzero(ids == NEWLINE)
+    bare = np.flatnonzero(np.diff(np.append(-1, ends)) == 1)
+    if len(bare) <= text.endswith("\n\n"):
+        return ids
+    rows = text.split("\n")
+    bare = [n for n in bare.tolist() if rows[n].strip()]
+    return np.insert(ids, ends[bare], [both_hashes(" " + rows[n].strip()) for n in bare])
+
+
 class Lines:
     """Distinct lines of a run of texts: the ones that ``seen`` lacks, which it then has."""
 
@@ -623,7 +644,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text hash and line number, of a group of similar lines. ``th`` is xxhash64 of the text, so
     rows that repeat both id and text are one document. Lines are parted by newlines; those of
     fewer than ``min_words`` words always stay, and lines whose SimHashes differ in more than
-    ``radius`` bits are not linked (None: whatever their SimHashes).
+    ``radius`` bits are not linked (None: whatever their SimHashes). ``WHOLE`` has neither bound.
     Null texts have no lines; a null id comes first.
     """
     scratch = Scratch(docs.sparkSession, "lines")

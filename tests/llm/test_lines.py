@@ -124,7 +124,7 @@ def _links(lines):
 
 def _gone(frame, lines, **options):
     docs = frame(list(enumerate(lines)), "doc_id long, text string")
-    return {r.doc_id for r in L.mark_lines(docs, min_words=1, **L.WHOLE, **options).collect() if r.removed}
+    return {r.doc_id for r in L.mark_lines(docs, **L.WHOLE, **options).collect() if r.removed}
 
 
 def _edited(rng, words, vocabulary, n):
@@ -165,6 +165,15 @@ def test_lines_that_differ_in_digits_only_are_not_repeats(frame):
     assert _gone(frame, lines) == {2, 3}
 
 
+def test_short_lines_and_scripts_without_blanks(frame):
+    lines = ["Share this page", "share  this page!", "-----", " ----- ", "=====", "", " ",
+             "今天天气很好我们去公园散步", "今天天气很好我们去公园跑步", "我不知道他昨天为什么没有来"]
+    assert _gone(frame, lines) == {1, 3, 8}
+    kept = L.drop_lines(frame([(1, "Menu\na b"), (2, "Menu"), (3, "Menu\n\nc d")],
+                              "doc_id long, text string"), **L.WHOLE)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "Menu\na b"), (3, "\nc d")]
+
+
 def test_pairs_of_a_large_group_come_in_slices():
     starts = np.array([0, 3, 3, 4, 60, 62])
     found = list(L.slices(starts, 100))
