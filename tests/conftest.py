@@ -6,17 +6,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
     from quarry import get_spark
     s = get_spark(master="local[*]", shuffle_partitions=8)
     yield s
-
-
-@pytest.fixture(scope="session")
-def tmpdir_session(tmp_path_factory):
-    return str(tmp_path_factory.mktemp("quarry"))

@@ -8,7 +8,7 @@ from quarry.sources.text_files import read_text_docs
 
 
 def test_dense_ids_are_1_to_n(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select(
         "doc_id", F.split("text", " ").alias("w"))
     ids = assign_dense_ids(docs, ["doc_id"], "w", "idx", 0, "pos")
@@ -20,8 +20,8 @@ def test_dense_ids_are_1_to_n(spark):
     assert first["doc_id"] == docs.agg(F.min("doc_id")).first()[0] and first["pos"] == 0
 
 
-def test_corpus_create_append_load(spark, tmpdir_session):
-    path = f"{tmpdir_session}/corpus_data_x"
+def test_corpus_create_append_load(spark, tmp_path):
+    path = f"{tmp_path}/corpus_data_x"
     c = Corpus.create(spark, path)
     assert c.next_idx() == 1  # empty corpus
     docs = spark.createDataFrame([(1, "a", "One. Two."), (2, "b", "Three.")],
@@ -39,8 +39,8 @@ def test_corpus_create_append_load(spark, tmpdir_session):
     assert Corpus.load(spark, path).next_idx() == 1
 
 
-def test_append_chunks_and_rejects_bad_vectors(spark, tmpdir_session):
-    c = Corpus.create(spark, f"{tmpdir_session}/c2")
+def test_append_chunks_and_rejects_bad_vectors(spark, tmp_path):
+    c = Corpus.create(spark, f"{tmp_path}/c2")
     ch = spark.createDataFrame([("d", 0, "hello world"), ("d", 1, "second")],
                                "doc_name string, pos int, chunk string")
     c.append_chunks(ch, order_cols=("doc_name", "pos"))
@@ -50,8 +50,8 @@ def test_append_chunks_and_rejects_bad_vectors(spark, tmpdir_session):
         c._write(bad, "x")
 
 
-def test_search_tiny_corpus_rank1(spark, tmpdir_session):
-    c = Corpus.create(spark, f"{tmpdir_session}/c3")
+def test_search_tiny_corpus_rank1(spark, tmp_path):
+    c = Corpus.create(spark, f"{tmp_path}/c3")
     docs = spark.createDataFrame([
         (1, "doc1", "Hold me closer, tiny dancer."),
         (2, "doc1", "Count the headlights on the highway."),
@@ -103,13 +103,13 @@ def test_read_models_file(spark, tmp_path):
                     (2, "gemma:7b-instruct")]
 
 
-def test_search_block_pruning_matches_full_scan(spark, tmpdir_session, monkeypatch):
-    from conftest import SF001
+def test_search_block_pruning_matches_full_scan(spark, tmp_path, monkeypatch):
+    from testdata_paths import SF001
     from quarry.operators import search as srch
     from quarry.plans import corpus as C
     from quarry.plans.queries import _named_docs
     monkeypatch.setattr(C, "IDX_BLOCK", 10)
-    c = C.Corpus.create(spark, f"{tmpdir_session}/blocks")
+    c = C.Corpus.create(spark, f"{tmp_path}/blocks")
     c.append_documents(_named_docs(spark, SF001))
     assert c.chunks(with_block=True).select("idx_block").distinct().count() > 5
     q = spark.createDataFrame([(0, "the river"), (1, "a small house"), (2, "wind")],
@@ -119,10 +119,10 @@ def test_search_block_pruning_matches_full_scan(spark, tmpdir_session, monkeypat
     assert pruned == full and len(full) == 12
 
 
-def test_next_idx_comes_from_the_commits(spark, tmpdir_session, monkeypatch):
+def test_next_idx_comes_from_the_commits(spark, tmp_path, monkeypatch):
     from quarry.plans import corpus as C
     monkeypatch.setattr(C, "IDX_BLOCK", 3)
-    c = C.Corpus.create(spark, f"{tmpdir_session}/topblock")
+    c = C.Corpus.create(spark, f"{tmp_path}/topblock")
     docs = spark.createDataFrame([(i, f"d{i}", "One. Two.") for i in range(7)],
                                  "doc_id long, doc_name string, text string")
     c.append_documents(docs)
@@ -143,11 +143,11 @@ def test_read_text_dir(spark, tmp_path):
     assert got == {"a": "First. Second.\n", "b": "Third."}
 
 
-def test_corpus_search_with_ivf_index(spark, tmpdir_session):
-    from conftest import SF001
+def test_corpus_search_with_ivf_index(spark, tmp_path):
+    from testdata_paths import SF001
     from quarry.operators.ann import IvfIndex
     from quarry.plans.queries import _named_docs
-    c = Corpus.create(spark, f"{tmpdir_session}/ivfcorpus")
+    c = Corpus.create(spark, f"{tmp_path}/ivfcorpus")
     c.append_documents(_named_docs(spark, SF001))
     index = IvfIndex.build(c.chunks(), nlist=4)
     q = spark.createDataFrame([(0, "the river"), (1, "a small house")],
@@ -158,7 +158,7 @@ def test_corpus_search_with_ivf_index(spark, tmpdir_session):
 
 
 def test_search_strategies_agree(spark):
-    from conftest import SF001
+    from testdata_paths import SF001
     from quarry.operators import search as srch
     from quarry.plans.queries import doc_chunk_rows
     corpus = doc_chunk_rows(spark, SF001)
@@ -183,8 +183,8 @@ def test_numbering_does_not_depend_on_exchange_reuse(spark):
         assert tuple(got) == (want, want, 1, want)
 
 
-def test_append_chunks_by_name_alone_keeps_every_row(spark, tmpdir_session):
-    c = Corpus.create(spark, f"{tmpdir_session}/named")
+def test_append_chunks_by_name_alone_keeps_every_row(spark, tmp_path):
+    c = Corpus.create(spark, f"{tmp_path}/named")
     ch = spark.createDataFrame([("doc1", "a"), ("doc1", "b"), ("doc2", "c"), ("doc2", "d")],
                                "doc_name string, chunk string")
     c.append_chunks(ch)
@@ -194,8 +194,8 @@ def test_append_chunks_by_name_alone_keeps_every_row(spark, tmpdir_session):
     assert [r["doc_name"] for r in rows] == ["doc1", "doc1", "doc2", "doc2"]
 
 
-def test_repeated_and_null_document_ids_keep_every_row(spark, tmpdir_session):
-    c = Corpus.create(spark, f"{tmpdir_session}/nulls")
+def test_repeated_and_null_document_ids_keep_every_row(spark, tmp_path):
+    c = Corpus.create(spark, f"{tmp_path}/nulls")
     docs = spark.createDataFrame([(1, "a", "One."), (1, "b", "Two."), (None, "n", "Null.")],
                                  "doc_id long, doc_name string, text string")
     c.append_documents(docs)
@@ -204,8 +204,8 @@ def test_repeated_and_null_document_ids_keep_every_row(spark, tmpdir_session):
     assert rows[0]["doc_name"] == "n" and {r["doc_name"] for r in rows} == {"a", "b", "n"}
 
 
-def test_a_rejected_replay_leaves_the_earlier_rows(spark, tmpdir_session):
-    c = Corpus.create(spark, f"{tmpdir_session}/replay")
+def test_a_rejected_replay_leaves_the_earlier_rows(spark, tmp_path):
+    c = Corpus.create(spark, f"{tmp_path}/replay")
     good = spark.createDataFrame([(1, "x", 0, "x", [0.0] * 64)], c.chunks().schema)
     bad = spark.createDataFrame([(1, "x", 0, "x", [1.0])], c.chunks().schema)
     c._write(good, "b")
@@ -216,23 +216,23 @@ def test_a_rejected_replay_leaves_the_earlier_rows(spark, tmpdir_session):
     assert c.chunks().count() == 1 and c.commits().count() == 1
 
 
-def test_an_append_writes_few_files(spark, tmpdir_session, monkeypatch):
+def test_an_append_writes_few_files(spark, tmp_path, monkeypatch):
     import glob
-    from conftest import SF01
+    from testdata_paths import SF01
     from quarry.plans import corpus as C
     from quarry.plans.queries import _named_docs
     monkeypatch.setattr(C, "IDX_BLOCK", 400)
     monkeypatch.setattr(C, "FILE_ROWS", 200)
-    c = C.Corpus.create(spark, f"{tmpdir_session}/files")
+    c = C.Corpus.create(spark, f"{tmp_path}/files")
     c.append_documents(_named_docs(spark, SF01).limit(600))
     n = c.chunks().count()
-    files = glob.glob(f"{tmpdir_session}/files/chunks/batch=*/idx_block=*/*.parquet")
+    files = glob.glob(f"{tmp_path}/files/chunks/batch=*/idx_block=*/*.parquet")
     assert len(files) <= n // 200 + 2
 
 
-def test_appended_chunks_are_found_through_an_old_index(spark, tmpdir_session):
+def test_appended_chunks_are_found_through_an_old_index(spark, tmp_path):
     from quarry.operators.ann import IvfIndex
-    c = Corpus.create(spark, f"{tmpdir_session}/stale")
+    c = Corpus.create(spark, f"{tmp_path}/stale")
     make = lambda rows: spark.createDataFrame(
         rows, "doc_id long, doc_name string, text string")
     c.append_documents(make([(i, f"d{i}", f"Text number {i} about rivers.") for i in range(9)]))
@@ -243,11 +243,11 @@ def test_appended_chunks_are_found_through_an_old_index(spark, tmpdir_session):
     assert c.search(q, k=1, index=index, nprobe=1).first()["doc_name"] == "new"
 
 
-def test_load_checks_the_embedder_by_name(spark, tmpdir_session):
+def test_load_checks_the_embedder_by_name(spark, tmp_path):
     from quarry.functions.embedders import trigram_embedder
-    Corpus.create(spark, f"{tmpdir_session}/named_embedder")
+    Corpus.create(spark, f"{tmp_path}/named_embedder")
     with pytest.raises(ValueError):
-        Corpus.load(spark, f"{tmpdir_session}/named_embedder", trigram_embedder(64))
+        Corpus.load(spark, f"{tmp_path}/named_embedder", trigram_embedder(64))
 
 
 def test_text_files_by_odd_names(spark, tmp_path):

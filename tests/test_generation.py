@@ -93,7 +93,7 @@ def test_answers_join(spark):
 
 
 def test_rag_payloads_context_size_by_family(spark):
-    from conftest import SF001
+    from testdata_paths import SF001
     from quarry.plans.queries import doc_chunk_rows
     from quarry.plans.rag import rag_payloads
     corpus = doc_chunk_rows(spark, SF001)

@@ -4,7 +4,7 @@ from quarry.plans import queries as Q
 
 
 def test_stream_ingest_equals_batch(spark):
-    from conftest import SF001
+    from testdata_paths import SF001
     batch = sorted(tuple(r) for r in Q.q_ingest_documents(spark, SF001)
                    .select("idx", "doc_name", "chunk_no", "chunk").collect())
     stream = sorted(tuple(r) for r in Q.q_stream_ingest(spark, SF001)
@@ -29,9 +29,9 @@ def test_entry_smoke(spark):
         assert all(a[1] <= b[1] for a, b in zip(hits, hits[1:]))
 
 
-def test_replayed_batch_is_idempotent(spark, tmpdir_session):
+def test_replayed_batch_is_idempotent(spark, tmp_path):
     from quarry.plans.corpus import Corpus
-    c = Corpus.create(spark, f"{tmpdir_session}/replay")
+    c = Corpus.create(spark, f"{tmp_path}/replay")
     d1 = spark.createDataFrame([(1, "a", "One. Two.")], "doc_id long, doc_name string, text string")
     d2 = spark.createDataFrame([(2, "b", "Three.")], "doc_id long, doc_name string, text string")
     c.append_documents(d1, batch="s1")
@@ -42,7 +42,7 @@ def test_replayed_batch_is_idempotent(spark, tmpdir_session):
 
 
 def test_stream_restart_picks_up_only_new_files(spark, tmp_path):
-    from conftest import SF001
+    from testdata_paths import SF001
     from quarry.plans.corpus import Corpus, chunk_rows
     from quarry.streaming.ingest import ingest_stream
     docs = spark.read.parquet(f"{SF001}/documents.parquet")

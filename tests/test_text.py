@@ -76,7 +76,7 @@ def test_empty_document_has_no_chunk(spark):
 
 
 def test_chunk_properties_on_fixture(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(200)
     sents = chunking.sentences(docs)
     chunks = chunking.chunkify(docs, limit=128)

@@ -69,7 +69,7 @@ def test_knn_rejects_mixed_lengths(spark):
 
 
 def test_ivf_recall_floor(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
@@ -80,7 +80,7 @@ def test_ivf_recall_floor(spark):
 
 
 def test_ivf_refresh_assigns_new_rows(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     first = e.where("label < 5").select(F.col("vec_id").alias("idx"), "embedding")
     second = e.where("label >= 5").select(F.col("vec_id").alias("idx"), "embedding")
@@ -103,7 +103,7 @@ def test_pandas_embedder_plugin(spark):
 
 
 def test_ivf_blocked_queries_equal_single_block(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
@@ -133,7 +133,7 @@ def test_knn_cosine_metric(spark):
 
 
 def test_ivf_training_uses_every_row(spark, monkeypatch):
-    from conftest import SF01
+    from testdata_paths import SF01
     from pyspark.ml.clustering import KMeans
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
@@ -150,7 +150,7 @@ def test_ivf_training_uses_every_row(spark, monkeypatch):
 
 
 def test_knn_strategies_agree_and_the_broadcast_bound_holds(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
     q = e.select(F.concat(F.lit("q"), F.col("vec_id")).alias("query_id"), "embedding")
@@ -161,7 +161,7 @@ def test_knn_strategies_agree_and_the_broadcast_bound_holds(spark):
 
 
 def test_ivf_save_load_refresh(spark, tmp_path):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     first = e.where("label < 5").select(F.col("vec_id").alias("idx"), "embedding")
     second = e.where("label >= 5").select(F.col("vec_id").alias("idx"), "embedding")
@@ -177,7 +177,7 @@ def test_ivf_save_load_refresh(spark, tmp_path):
 
 
 def test_ivf_estimate_recall(spark):
-    from conftest import SF01
+    from testdata_paths import SF01
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("idx"), "embedding")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
