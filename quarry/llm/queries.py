@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (lattice, lines, mtree, packing, pieces, secret_crf, simhash,
+from quarry.llm import (lattice, lines, mtree, packing, pieces, resampling, secret_crf, simhash,
                         substrings, toxicity, url_filter)
 from quarry.llm.shared import table
 
@@ -95,6 +95,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                        "verdict")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark texts, and the tenth that is drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_packing": op2_packing,
@@ -106,8 +112,22 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mtree": op9_mtree,
     "op10_url_filter": op10_url_filter,
+    "op13_resampling": op13_resampling,
 }
 
+#: CRC-32 of the text ``w`` in SQL: the register over its bytes, by a table made on the spot
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM range(256) r(b))"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_transform(range(octet_length(encode({text}))),
+    lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1]), 4294967295))"""
+
+
 SQL: dict[str, str] = {
     "op9_mtree": """
 WITH v AS (
@@ -141,5 +161,38 @@ hits AS (
   FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
 FROM p LEFT JOIN (SELECT * FROM hits WHERE k = 1) h USING (n)
+""",
+    "op13_resampling": f"""
+WITH {CRC_TABLE},
+texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS n, doc_id, coalesce(text, '') AS text
+  FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+lists AS (
+  SELECT kind, n, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts),
+words AS (SELECT kind, n, unnest(words) AS w FROM lists),
+named AS (SELECT w, {crc_sql('w')} % 10000 AS bucket
+          FROM (SELECT DISTINCT w FROM words), crc_table),
+hits AS (SELECT kind, n, bucket FROM words JOIN named USING (w)),
+counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t
+           FROM hits GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+weights AS (SELECT n, CAST(sum(gain) AS BIGINT) AS weight
+            FROM hits JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY n),
+scored AS (
+  SELECT n, doc_id, CAST(len(words) AS BIGINT) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM lists LEFT JOIN weights USING (n) WHERE kind = 'd'),
+placed AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+    10 * count(*) OVER () // 100 AS m FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= m THEN place END AS rank
+FROM scored LEFT JOIN placed USING (n)
 """,
 }
