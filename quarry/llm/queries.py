@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (lattice, lines, mtree, packing, pieces, resampling, secret_crf, simhash,
-                        substrings, toxicity, url_filter)
-from quarry.llm.shared import table
+from quarry.llm import (lattice, lines, mtree, packing, pieces, prefix_trie, resampling, secret_crf,
+                        simhash, substrings, toxicity, url_filter)
+from quarry.llm.shared import Scratch, table
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                        "verdict")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, their first turns taken from their group's first one."""
+    scratch = Scratch(spark, "trie")
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"), scratch)
+    return prefix_trie.prefix_trie(*prefix_trie.graft(turns, scratch), scratch)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark texts, and the tenth that is drawn."""
     return resampling.resample(table(spark, sf_dir, "documents"),
@@ -112,6 +119,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mtree": op9_mtree,
     "op10_url_filter": op10_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_resampling": op13_resampling,
 }
 
@@ -194,5 +202,35 @@ placed AS (
     10 * count(*) OVER () // 100 AS m FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= m THEN place END AS rank
 FROM scored LEFT JOIN placed USING (n)
+""",
+    "op12_prefix_trie": f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+                            ORDER BY turn NULLS FIRST) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+given AS (
+  SELECT o.c, o.ts, CAST({crc_sql('CAST(o.c AS VARCHAR)')} % 6 AS INTEGER) AS h,
+    coalesce(b.ts, []) AS base
+  FROM crc_table, own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+conv AS (SELECT c, list_concat(base[1:h], ts[h + 1:]) AS s FROM given),
+prefixes AS (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM conv),
+nodes AS (
+  SELECT s[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '')) AS e,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(first(s)[d].t) END AS cost
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS q, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY q, p[1:d-1], d),
+tops AS (SELECT n.p, n.d, n.cost, k.n IS NULL AS leaf
+         FROM nodes n LEFT JOIN kids k ON k.q = n.p AND k.d = n.d),
+sums AS (
+  SELECT p[1:a] AS q, a AS d, count(*) FILTER (leaf) AS n_leaves, sum(cost) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM tops) GROUP BY q, a)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(k.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  n.e AS ends_sha256
+FROM nodes n JOIN sums s ON s.q = n.p AND s.d = n.d
+LEFT JOIN kids k ON k.q = n.p AND k.d = n.d
+LEFT JOIN nodes u ON u.p = n.p[1:n.d - 1] AND u.d = n.d - 1
 """,
 }
