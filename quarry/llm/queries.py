@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (lattice, lines, mtree, packing, pieces, prefix_trie, resampling, secret_crf,
-                        simhash, substrings, toxicity, url_filter)
+from quarry.llm import (lattice, licenses, lines, mtree, packing, pieces, prefix_trie,
+                        resampling, secret_crf, simhash, substrings, toxicity, url_filter)
 from quarry.llm.shared import Scratch, table
 
 
@@ -95,6 +95,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                        "verdict")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of all documents: base phrases, their places, and all labels."""
+    found = licenses.license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    starts = F.transform(base, lambda s: s.start)
+    told = lambda spans: F.array_join(F.array_sort(F.array_distinct(
+        F.transform(spans, lambda s: s.label))), ",")
+    best = F.array_max(F.transform("spans", lambda s: s.similarity))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                        F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), told(base).alias("base_labels"),
+                        told(F.col("spans")).alias("labels"),
+                        F.coalesce(best, F.lit(0.0)).alias("score"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trie of all conversations, their first turns taken from their group's first one."""
     scratch = Scratch(spark, "trie")
@@ -119,6 +134,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mtree": op9_mtree,
     "op10_url_filter": op10_url_filter,
+    "op11_licenses": op11_licenses,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_resampling": op13_resampling,
 }
