@@ -1,6 +1,6 @@
 """k-nearest-neighbour join of a query table against a vector table.
 
-Two strategies, chosen by the caller:
+Three strategies, chosen by the caller:
 
 * ``grid`` (default): corpus rows are dealt by hash to parts and queries to blocks; every
   (part, block) cell is one cogrouped task that computes the block's distances to the part with
@@ -9,6 +9,8 @@ Two strategies, chosen by the caller:
 * ``broadcast``: for a small batch of queries. The batch is collected behind a check of its
   bytes (above the bound it is an error), broadcast once, and every task of the corpus scan
   keeps a running top ``k``, so the corpus is not shuffled.
+* ``pivot``: Euclidean only. Rows in pivot cells are stored once and queries go to the cells that
+  distance bounds cannot exclude (``operators.pivots``).
 
 No pair of (query, vector) rows is ever materialised. A final ``row_number`` window (planned as
 a partial + final ``WindowGroupLimit``) picks the global top ``k``, ties broken by lower ``idx``.
@@ -82,7 +84,7 @@ def block_candidates(Q: np.ndarray, V: np.ndarray, ids: np.ndarray, k: int, metr
         qn2 = (Q * Q).sum(1)
         vn2 = (V * V).sum(1)
         approx = qn2[:, None] + vn2[None, :] - 2.0 * (Q @ V.T)
-        scale = qn2.max(initial=0.0) + vn2.max(initial=0.0)
+        scale = sum(x[np.isfinite(x)].max(initial=0.0) for x in (qn2, vn2))
     approx = np.where(np.isnan(approx), np.inf, approx)
     kk = min(k, n)
     part = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
@@ -148,6 +150,12 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "euclid
         return empty_hits(queries, qid_col)
     if strategy == "broadcast":
         hits = _broadcast_hits(rows, asked, k, metric, max_broadcast_bytes)
+    elif strategy == "pivot":
+        if metric != "euclidean":
+            raise ValueError("pivot bounds hold for Euclidean distances only")
+        from quarry.operators.pivots import PivotIndex
+        return PivotIndex.build(rows, vec_col="v", part_rows=part_rows).search(
+            asked, k, qvec_col="q")
     elif strategy == "grid":
         hits = _grid_hits(rows, asked, k, metric, part_rows, block_rows)
     else:

@@ -178,6 +178,13 @@ def q_knn_exact(spark, sf):
     return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
 
 
+def q_knn_pivot(spark, sf):
+    """As ``knn_exact``, by pivot cells: queries go to the cells that bounds cannot exclude."""
+    rows, asked = _emb_tables(spark, sf)
+    hits = knn_ops.knn(rows, asked, k=K_KNN, strategy="pivot")
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
 def _emb_hits(spark, sf, k=K_SEARCH):
     corpus = _emb_corpus(spark, sf)
     q = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -226,7 +233,7 @@ def _doc_search(spark, sf, queries: DataFrame, k: int = K_SEARCH, strategy: str
 def q_search_topk(spark, sf):
     """Benchmark questions searched over the document corpus: top-5 chunks."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = _doc_search(spark, sf, q, strategy="broadcast")
+    hits = _doc_search(spark, sf, q, strategy="pivot")
     return hits.select("query_id", "rank", "idx", "doc_name", "chunk",
                        _r6(F.col("distance")).alias("distance"))
 
@@ -234,7 +241,7 @@ def q_search_topk(spark, sf):
 def q_rag_prompts(spark, sf):
     """Prompt per benchmark question with its top-5 chunks as context."""
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = _doc_search(spark, sf, q, strategy="broadcast")
+    hits = _doc_search(spark, sf, q, strategy="pivot")
     ctx = srch.collect_results(hits).select("query_id", F.col("chunks").alias("context"))
     j = q.join(ctx, "query_id", "left")
     return j.select("query_id", gen.build_prompt(F.col("text"), F.col("context")).alias("prompt"))
@@ -560,6 +567,7 @@ QUERIES = {
     "ingest_mixed": q_ingest_mixed,
     "lookup_idx": q_lookup_idx,
     "knn_exact": q_knn_exact,
+    "knn_pivot": q_knn_pivot,
     "search_arrays": q_search_arrays,
     "citations": q_citations,
     "vector_norms": q_vector_norms,
@@ -581,6 +589,8 @@ QUERIES = {
 
 # --------------------------------------------------------------------------- approximate
 IVF_NPROBE = 4
+#: cells at most: the centroids are held by the driver and every task
+IVF_NLIST = 256
 
 
 def _emb_tables(spark, sf):
@@ -590,9 +600,10 @@ def _emb_tables(spark, sf):
 
 
 def label_centroids(spark, sf):
-    """The vector of lowest id of each label, by label: as many rows as there are labels."""
+    """The vector of lowest id of each label, for the ``IVF_NLIST`` lowest labels."""
     e = _t(spark, sf, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
-    rows = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label")
+    rows = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").limit(
+        IVF_NLIST)
     return [list(r["c"]) for r in rows.collect()]
 
 
@@ -624,7 +635,7 @@ def _ivf_sql() -> str:
     return f"""WITH v AS (SELECT vec_id, label, embedding FROM embeddings
              WHERE embedding IS NOT NULL),
   c AS (SELECT row_number() OVER (ORDER BY label) AS cell, min_by(embedding, vec_id)::DOUBLE[] AS e
-        FROM v WHERE label IS NOT NULL GROUP BY label),
+        FROM v WHERE label IS NOT NULL GROUP BY label ORDER BY label LIMIT {IVF_NLIST}),
   near AS (SELECT vec_id, cell, n FROM (SELECT v.vec_id, c.cell,
              row_number() OVER (PARTITION BY v.vec_id ORDER BY {d}, c.cell) AS n
            FROM v, c) WHERE n <= {IVF_NPROBE}),
@@ -639,6 +650,7 @@ def _ivf_sql() -> str:
 
 
 SQL["knn_ivf"] = SQL["ivf_refresh"] = _ivf_sql()
+SQL["knn_pivot"] = SQL["knn_exact"]
 
 
 def q_l2_pairs(spark, sf):
