@@ -3,9 +3,9 @@
 Learning: every token is hashed to one of ``buckets`` ids. Background counts over all documents
 are the Dirichlet prior of the log-odds between the toxic and the clean labelled sample (a
 bounded, documented number of rows, chosen by the hash of the id). All these count the texts that
-hold a token, not its repeats, and near copies in the sample count as one text (they share the
-least hash of their five-word shingles), so a text that is repeated is no evidence about its
-words. Log-odds that are within their standard error's ``z`` are noise and count nothing, and
+hold a token, not its repeats, and near copies of one label in the sample count as one text (several
+least hashes of their five-word shingles agree; shorter texts must be equal), so a text that is
+repeated is no evidence about its words. Log-odds that are within their standard error's ``z`` are noise and count nothing, and
 every token pays ``drift``, so a score is negative on average and passages are local.
 
 Scoring: the Ruzzo-Tompa scan finds all maximal scoring segments of a token sequence in linear
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.shared import Scratch
+from quarry.llm.wordscan import slices
 
 #: at most so many labelled rows are used to fit
 TRAIN_ROWS = 40_000
@@ -41,8 +42,10 @@ PRIOR_FLOOR = 0.5
 Z = 2.5
 DRIFT = 0.1
 SIGNIFICANT = 0.05
+#: min-hashes that copies in the sample have in common
+AGREE = 3
 #: words of a task that are remembered before the memory is emptied
-CACHE = 400_000
+CACHE = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 PASSAGES = "array<struct<start:int,end:int,score:double,p_value:double>>"
@@ -177,19 +180,31 @@ def _count(buckets: int):
     return run
 
 
+def copy_key(ids: np.ndarray) -> int:
+    """Name of a text in the sample: one hash of the ``AGREE`` min-hashes of its five-word
+    shingles, or of all its tokens in order if it has fewer than five; -1 without tokens."""
+    if not len(ids):
+        return -1
+    ids = ids.astype(np.uint64)
+    width = 5 if len(ids) >= 5 else len(ids)
+    mixed = np.full(len(ids) - width + 1, len(ids) if width < 5 else 5, np.uint64)
+    for k in range(width):
+        mixed = (mixed + ids[k:k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    key, full = 0, (1 << 64) - 1
+    for salt in range(AGREE):
+        h = (mixed ^ np.uint64(salt * 0x632BE59BD9B4E019 & full)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        key = (key ^ int(h.min())) * 0x9E3779B97F4A7C15 & full
+    return key >> 1
+
+
 def _copy_keys(buckets: int):
-    """(id, y, fold, text) with the least hash of the text's five-word shingles."""
+    """(id, y, fold, text) with the text's ``copy_key``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Buckets(buckets)
         for batch in batches:
-            keys = []
-            for text in batch.column(3).to_pylist():
-                ids = memory.ids(text).astype(np.uint64)
-                mixed = np.zeros(max(len(ids) - 4, min(len(ids), 1)), np.uint64)
-                for k in range(5 if len(ids) >= 5 else 1):
-                    mixed = (mixed + ids[k:k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
-                    mixed ^= mixed >> np.uint64(31)
-                keys.append(int(mixed.min() >> np.uint64(1)) if len(mixed) else -1)
+            keys = [copy_key(memory.ids(t)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())],
                                              names=["id", "y", "fold", "text", "key"])
     return run
@@ -220,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col("id").cast("long"), "y", F.col("fold").cast("int"), "text")
     sample = scratch.keep(
         sample.mapInArrow(_copy_keys(buckets), "id long, y int, fold int, text string, key long")
-        .groupBy("key").agg(F.min(F.struct("fold", "id", "y", "text")).alias("r"))
+        .groupBy("key", "y").agg(F.min(F.struct("fold", "id", "y", "text")).alias("r"))
         .select("r.*"), "sample")
     tokens, background = _dense(texts.select("text"), buckets)
     toxic, clean = (_dense(sample.filter(f"fold < 4 AND y = {y}").select("text"), buckets)[1]
@@ -259,12 +274,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(weights, lam, k, slope, bias)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are predicted as toxic. Texts are scored a few MB at a time
+    and rows go in the same task, so a task holds little beside its batch; passages are not
+    worked out."""
+    columns, place = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Buckets(len(model.weights))
+        for batch in batches:
+            for i, j in slices(batch.column(place)):
+                some = batch.slice(i, j - i)
+                clean = [model.probability(model.evidence(memory.ids(t.as_py()))) < 0.5
+                         for t in some.column(place)]
+                yield some.filter(pa.array(clean, pa.bool_()))
+
+    return docs.select(*columns).mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "") -> DataFrame:
     """``docs`` with ``{out}score`` (0 to 1), ``{out}predicted`` (1 from 0.5 on) and
     ``{out}passages``: the significant passages as code-point spans with the normalised score
     and p-value. Null and empty texts have no passage and the score of a text without one.
     Columns that already bear these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"{out}score", f"{out}predicted", f"{out}passages"]
     kept = docs.drop(*[n for n in names if n in docs.columns and n != text_col])
     buckets = len(model.weights)
@@ -276,7 +308,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "")
     columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memory = sent.value, Buckets(buckets)
+        m, memory = model, Buckets(buckets)
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(columns.index(text_col)).to_pylist():

@@ -72,3 +72,37 @@ def test_without_labels_nothing_is_toxic(frame):
         model = X.learn(docs, frame(labels, "doc_id long, toxic int"))
         assert [r.predicted for r in X.score(docs, model).collect()] == [0, 0]
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_short_texts_are_told_apart(frame):
+    words = {"rock": 0, "win": 0, "are": 0, "can": 0, "vile": 1, "nasty": 1}
+    docs = [(i, f"you {w}") for i, w in enumerate(list(words) * 60)]
+    labels = [(i, words[t.split()[1]]) for i, t in docs]
+    table = frame(docs, "doc_id long, text string")
+    model = X.learn(table, frame(labels, "doc_id long, toxic int"))
+    keys = {X.copy_key(X.Buckets(X.BUCKETS).ids(t)) for _, t in docs}
+    assert len(keys) == len(words)
+    told = {r.text: r.score for r in X.score(table, model).collect()}
+    assert min(told["you vile"], told["you nasty"]) >= max(
+        s for t, s in told.items() if not words[t.split()[1]])
+
+
+def test_copies_of_unlike_labels_both_count(frame):
+    ids = X.Buckets(X.BUCKETS)
+    long = " ".join(f"w{i}" for i in range(60))
+    assert X.copy_key(ids.ids(long)) == X.copy_key(ids.ids(long.upper()))
+    assert X.copy_key(ids.ids(long)) != X.copy_key(ids.ids(long[:-4]) [::-1])
+    assert X.copy_key(ids.ids("a b")) != X.copy_key(ids.ids("a b c d e f"))
+    assert X.copy_key(ids.ids(None)) == X.copy_key(ids.ids("...")) == -1
+
+
+def test_dropping_equals_scoring(frame):
+    docs, labels, _ = _corpus(300, seed=4)
+    docs += [(None, "nasty vile awful nasty vile"), (9000, None), (9001, "")]
+    table = frame(docs, "doc_id long, text string", clash=("score", "predicted"))
+    model = X.learn(table, frame(labels, "doc_id long, toxic int"))
+    kept = X.drop_toxic(table, model)
+    assert kept.schema == table.schema
+    told = X.score(table.select("doc_id", "text"), model).filter("predicted = 0")
+    assert sorted(map(repr, kept.select("doc_id", "text").collect())) == sorted(
+        map(repr, told.select("doc_id", "text").collect()))
