@@ -28,9 +28,7 @@ def _count_chars(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    told = toxicity.score(docs, model, out="_toxic_")
-    return told.filter("_toxic_predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
