@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +69,25 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9),
 
 
 class Words(dict):
-    """token -> hash of the word in lower case << 32 | hash of its normal form, or NEWLINE."""
+    """token -> 63-bit hash of the word in lower case, or NEWLINE."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        h = self[token] = NEWLINE if token == "\n" else both_hashes(token)
+        h = self[token] = NEWLINE if token == "\n" else self.named(token)
         return h
 
+    @staticmethod
+    def named(word: str) -> int:
+        return xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) >> 1
 
-def both_hashes(word: str) -> int:
-    plain = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
-    return plain << 32 | word_hash(word)
+
+class NormalWords(Words):
+    """token -> 32-bit hash of the word's normal form, or NEWLINE: for SimHashes alone."""
+
+    @staticmethod
+    def named(word: str) -> int:
+        return word_hash(word)
 
 
 def word_hash(word: str) -> int:
@@ -97,11 +105,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def line_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit names of non-empty word sequences given end to end."""
+def line_keys(words: np.ndarray, bounds: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit names of non-empty word sequences given end to end, or other, ``second`` ones."""
     size = np.diff(bounds)
     place = np.arange(len(words)) - np.repeat(bounds[:-1], size)
     each = mix(words.astype(np.uint64) * _MIX[0])
+    if second:
+        each = mix(each + _MIX[2])
     key = np.add.reduceat(mix(each + place.astype(np.uint64) * _MIX[0]), bounds[:-1])
     return mix(key + size.astype(np.uint64))
 
@@ -138,7 +148,7 @@ def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray,
     ids = [np.fromiter(map(memory.__getitem__, found), np.int64, len(found))
            for found in map(tokens, texts)]
     if min_words <= 1:
-        ids = [_signs(t, i) for t, i in zip(texts, ids)]
+        ids = [_signs(t, i, memory.named) for t, i in zip(texts, ids)]
     text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     ends = np.flatnonzero(ids == NEWLINE)
@@ -151,7 +161,7 @@ def text_lines(texts: list, memory: Words, min_words: int) -> tuple[np.ndarray,
     return owner[keep], number[keep], ids[wanted], np.append(0, np.cumsum(size[keep]))
 
 
-def _signs(text: str, ids: np.ndarray) -> np.ndarray:
+def _signs(text: str, ids: np.ndarray, named) -> np.ndarray:
     """``ids`` with one word for each line that has none and is not blank."""
     ends = np.flatnonzero(ids == NEWLINE)
     bare = np.flatnonzero(np.diff(np.append(-1, ends)) == 1)
@@ -159,7 +169,7 @@ def _signs(text: str, ids: np.ndarray) -> np.ndarray:
         return ids
     rows = text.split("\n")
     bare = [n for n in bare.tolist() if rows[n].strip()]
-    return np.insert(ids, ends[bare], [both_hashes(" " + rows[n].strip()) for n in bare])
+    return np.insert(ids, ends[bare], [named(" " + rows[n].strip()) for n in bare])
 
 
 class Lines:
@@ -173,6 +183,7 @@ class Lines:
             if k not in seen:
                 seen.add(k)
                 new[x] = True
+        self.new = new
         self.pick(words, bounds, new)
 
     def pick(self, words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> None:
@@ -430,29 +441,35 @@ def _spots(min_words: int):
                     yield pa.RecordBatch.from_arrays(
                         [some.column(0).take(rows), some.column(1).take(rows),
                          pa.array(number, pa.int32()),
-                         pa.array(line_keys(words, bounds).view(np.int64))],
-                        names=["id", "th", "line", "key"])
+                         *[pa.array(line_keys(words, bounds, k).view(np.int64))
+                           for k in (False, True)]],
+                        names=["id", "th", "line", "key", "key2"])
     return run
 
 
-def _worded(min_words: int, wanted):
+def _worded(min_words: int, wanted, with_sim: bool):
     """(th, text) -> (key, sim, words) of the lines of texts that ``wanted``, a broadcast bitmap
-    of text hashes, may hold."""
+    of text hashes, may hold. SimHashes (else 0) are those of the words' normal forms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, known = Words(), set()
+        memory, normal, known = Words(), NormalWords(), set()
         for batch in batches:
             place = bit_of(batch.column(0).to_numpy().view(np.uint64))
             bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))
             batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
             for x in range(0, batch.num_rows, 512):
-                lines = Lines(batch.column(1).slice(x, 512).to_pylist(), memory, min_words, known)
+                texts = batch.column(1).slice(x, 512).to_pylist()
+                lines = Lines(texts, memory, min_words, known)
                 if len(lines.key):
-                    sim = line_marks(lines.words & 0xFFFFFFFF, lines.bounds)[1]
-                    plain = (lines.words >> 32).astype(np.int32)
+                    sim = np.zeros(len(lines.key), np.uint64)
+                    if with_sim:                # the same lines by other names of their words
+                        _, _, words, bounds = text_lines(texts, normal, min_words)
+                        picked = words[np.repeat(lines.new, np.diff(bounds))]
+                        sim = line_marks(picked, lines.bounds)[1]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(lines.key.view(np.int64)), pa.array(sim.view(np.int64)),
                          pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()),
-                                                  pa.array(plain))], names=["key", "sim", "words"])
+                                                  pa.array(lines.words))],
+                        names=["key", "sim", "words"])
     return run
 
 
@@ -586,15 +603,19 @@ def _links(pairs: DataFrame, rows: DataFrame, spots: DataFrame, min_words: int,
     pairs = scratch.keep(pairs.distinct(), "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     holders = spots.join(keys, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th"))
+    wanted = _bitmap(holders)
     worded = rows.select("th", "text").mapInArrow(
-        _worded(min_words, _bitmap(holders)), "key long, sim long, words array<int>")
+        _worded(min_words, wanted, radius is not None), "key long, sim long, words array<long>")
     worded = scratch.keep(worded.join(keys, "key", "left_semi").dropDuplicates(["key"]), "words")
     one = worded.select(F.col("key").alias("a"), F.col("sim").alias("s"),
                         F.col("words").alias("u"))
     two = worded.select(F.col("key").alias("b"), F.col("sim").alias("t"),
                         F.col("words").alias("v"))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "u", "t", "v")
-    return scratch.keep(full.mapInArrow(_similar(similarity, radius), "a long, b long"), "links")
+    links = scratch.keep(full.mapInArrow(_similar(similarity, radius), "a long, b long"), "links")
+    scratch.drop(pairs, worded)
+    wanted.destroy()
+    return links
 
 
 def line_groups(rows: DataFrame, spots: DataFrame, min_words: int, similarity: float,
@@ -610,12 +631,17 @@ def line_groups(rows: DataFrame, spots: DataFrame, min_words: int, similarity: f
     slots = min(SLOTS, max(18, (4 * taken.count()).bit_length()))
     twice = rows.sparkSession.sparkContext.broadcast(
         _counted(taken.select("run"), _count_taken(slots), slots))
-    taken = scratch.keep(taken.mapInArrow(_shared_runs(twice), taken.schema), "taken")
+    all_runs = taken
+    taken = scratch.keep(all_runs.mapInArrow(_shared_runs(twice), all_runs.schema), "taken")
+    scratch.drop(all_runs)
+    for sent in (seen, twice):
+        sent.destroy()
     groups = taken.groupBy("run").agg(
         F.min(F.struct("key", "n", "p", "r")).alias("least"), F.max("key").alias("last"),
         F.count("*").alias("size")).filter("least.key <> last").drop("last")
     # the least line of a group is compared with all others here, the others among them below
     shared = scratch.keep(taken.join(groups, "run").filter("key <> least.key"), "shared")
+    scratch.drop(taken)
     most = F.floor(F.lit(1 - similarity) * F.greatest("n", "least.n") + 1e-9)
     odd = (F.bit_count(F.col("p").bitwiseXOR(F.col("least.p")))
            + F.bit_count(F.col("r").bitwiseXOR(F.col("least.r"))))
@@ -625,6 +651,7 @@ def line_groups(rows: DataFrame, spots: DataFrame, min_words: int, similarity: f
     parts = scratch.keep(connected_components(links, scratch), "parts")
     placed = scratch.keep(shared.join(parts, F.col("key") == F.col("node"), "left").select(
         "run", "size", F.coalesce("component", "key").alias("c"), "key", "n", "p", "r"), "placed")
+    scratch.drop(shared, links)
     parted = placed.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     parted = parted.filter("low <> high").select("run")
     dealt = block_pairs(placed.join(parted, "run"), "size", "key", block)
@@ -651,15 +678,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     spots = scratch.keep(rows.mapInArrow(
-        _spots(min_words), "id long, th long, line int, key long").distinct(), "spots")
+        _spots(min_words), "id long, th long, line int, key long, key2 long")
+        .distinct(), "spots")
     groups = line_groups(rows, spots, min_words, similarity, radius, block, scratch)
     place = F.struct("id", "th", "line")
-    by_key = spots.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # equal lines agree in both keys; a linked line goes by its group, any other by itself
+    by_key = spots.groupBy("key", "key2").agg(F.min(place).alias("first"),
+                                              F.count("*").alias("n"))
+    alone = F.col("node").isNull()
+    root = F.struct(F.coalesce("component", "key").alias("a"),
+                    F.when(alone, F.col("key2")).otherwise(0).alias("b"))
     rooted = scratch.keep(by_key.join(groups, F.col("key") == F.col("node"), "left").select(
-        "key", "first", "n", F.coalesce("component", "key").alias("root")), "rooted")
+        "key", "key2", "first", "n", root.alias("root")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    told = rooted.join(kept.filter(F.col("all") > 1), "root").select("key", "kept")
-    return (spots.join(told, "key").filter(~place.eqNullSafe(F.col("kept")))
+    told = rooted.join(kept.filter(F.col("all") > 1), "root").select("key", "key2", "kept")
+    return (spots.join(told, ["key", "key2"]).filter(~place.eqNullSafe(F.col("kept")))
             .select("id", "th", "line"))
 
 

@@ -193,3 +193,32 @@ def test_many_lines_of_one_simhash_are_one_group(frame):
         words[rng.randrange(400)] = "other%d" % x
         lines.append(" ".join(words))
     assert _gone(frame, lines, block=16) == set(range(1, 300))
+
+
+def test_words_whose_short_hashes_are_equal_are_no_repeats(frame):
+    """Pairs of words that share 31 bits of CRC-32."""
+    pairs = [("2115267360", "9869345094"), ("2177247658", "9817825902"),
+             ("gxyrfedqvk", "yttaivkgvx"), ("abflknzllu", "hlsnjhddhy")]
+    rows = [(i, w) for i, w in enumerate(w for p in pairs for w in p)]
+    docs = frame(rows, "doc_id long, text string")
+    assert L.drop_lines(docs, **L.WHOLE).count() == len(rows)
+    assert all(not r.removed for r in L.mark_lines(docs, **L.WHOLE).collect())
+
+
+def test_words_and_lines_have_names_of_their_own():
+    memory = L.Words()
+    words = [str(10**9 + 7 * i) for i in range(200_000)] + [f"w{i}" for i in range(100_000)]
+    names = {memory[w] for w in words}
+    assert len(names) == len(words) and min(names) >= 0
+    one = np.array(sorted(names)[:50_000])
+    bounds = np.arange(0, len(one) + 1, 5)
+    assert len(set(L.line_keys(one, bounds)) & set(L.line_keys(one, bounds, True))) == 0
+
+
+def test_whole_lines_with_extra_columns(frame):
+    docs = frame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (None, None)],
+                 "doc_id long, text string",
+                 clash=("key", "key2", "run", "n", "p", "r", "th", "id", "line"))
+    kept = L.drop_lines(docs, **L.WHOLE)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1]
