@@ -315,6 +315,43 @@ def q_parse_responses(spark, sf):
 
 
 # --------------------------------------------------------------------------- misc
+def q_paged_files(spark, sf):
+    """Conversations written as paged text files and read back, in groups of pages."""
+    from quarry.sources.paged_files import read_paged, write_paged
+    path = scratch_path(spark, "paged")
+    write_paged(_conv_pages(spark, sf), path)
+    return pages_src.page_groups(read_paged(spark, path, "long"),
+                                 pages_per_entry=PAGES_PER_GROUP)
+
+
+def q_text_files(spark, sf):
+    """Whole files as documents: every benchmark text is a file; of the names asked for, one
+    per text has no file and is empty."""
+    from quarry.sources.text_files import read_listed
+    root = scratch_path(spark, "files")
+    item = F.col("item_id").cast("string")
+    texts = _t(spark, sf, "benchmark").select(item.alias("item"), F.coalesce(
+        "text", F.lit("")).alias("value"))
+    texts.repartition("item").write.partitionBy("item").text(root)
+    # Spark names the files; the list takes them from a look at the folder
+    names = (spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(root)
+             .select(F.regexp_extract("path", "(item=[^/]+/[^/]+)$", 1).alias("path")))
+    there = names.select(F.regexp_extract("path", "item=([^/]+)", 1).alias("doc_name"), "path")
+    gone = there.select(F.concat(F.lit("no_"), F.col("doc_name")).alias("doc_name"),
+                        F.concat("path", F.lit(".gone")).alias("path"))
+    return read_listed(there.unionByName(gone), root).select("doc_name", "text")
+
+
+def q_append_text(spark, sf):
+    """Texts of two tables appended to one text dataset: its lines, with how often they occur."""
+    from quarry.operators.splitting import append_text
+    path = scratch_path(spark, "appended")
+    for name in ("documents", "benchmark"):
+        append_text(_t(spark, sf, name).select(F.coalesce("text", F.lit("")).alias("value")), path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def q_split_parts(spark, sf):
     """Byte-balanced 3-way line parts of every document."""
     return split_parts(spread(_docs(spark, sf), "doc_id"), SPLIT_PARTS)
@@ -584,6 +621,9 @@ QUERIES = {
     "parse_responses": q_parse_responses,
     "split_parts": q_split_parts,
     "secret_scan": q_secret_scan,
+    "paged_files": q_paged_files,
+    "text_files": q_text_files,
+    "append_text": q_append_text,
 }
 
 
@@ -651,6 +691,14 @@ def _ivf_sql() -> str:
 
 SQL["knn_ivf"] = SQL["ivf_refresh"] = _ivf_sql()
 SQL["knn_pivot"] = SQL["knn_exact"]
+SQL["paged_files"] = SQL["page_groups"]
+SQL["text_files"] = """SELECT CAST(item_id AS VARCHAR) AS doc_name,
+    coalesce(text, '') || chr(10) AS text FROM benchmark
+  UNION ALL SELECT 'no_' || item_id, '' FROM benchmark"""
+SQL["append_text"] = """SELECT line, count(*) AS n FROM (
+    SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+    UNION ALL SELECT unnest(string_split(coalesce(text, ''), chr(10))) FROM benchmark)
+  GROUP BY line"""
 
 
 def q_l2_pairs(spark, sf):

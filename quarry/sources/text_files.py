@@ -50,6 +50,25 @@ def read_text_docs(spark: SparkSession, paths, names=None) -> DataFrame:
         "doc_name", "path", F.coalesce("value", F.lit("")).alias("text"))
 
 
+def read_listed(listed: DataFrame, root: str, name_col: str = "doc_name",
+                path_col: str = "path") -> DataFrame:
+    """(doc_name, path, text), one row per row of ``listed``, whose paths are relative to
+    ``root``: a list of any length, joined to the files that Spark finds there. A path where no
+    file is, or a null one, has ``text = ''``."""
+    spark = listed.sparkSession
+    base = _located(spark, [root])[0][1].rstrip("/")
+    head = F.length(_uri(F.lit(base))) + 2
+    files = (spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", True)
+             .option("ignoreMissingFiles", True).text(root, wholetext=True)
+             .select(_uri(F.col("_metadata.file_path")).alias("_uri"), "value")
+             .select(F.col("_uri").substr(head, F.length("_uri")).alias("_at"), "value")
+             # URIs are encoded, listed paths are not
+             .withColumn("_at", F.url_decode(F.regexp_replace("_at", r"\+", "%2B"))))
+    return listed.select(F.col(name_col).alias("doc_name"), F.col(path_col).alias("path")).join(
+        files, F.col("path") == F.col("_at"), "left").select(
+        "doc_name", "path", F.coalesce("value", F.lit("")).alias("text"))
+
+
 def read_text_dir(spark: SparkSession, location: str, recursive: bool = True) -> DataFrame:
     """(doc_name, path, text) for every file under a folder or glob: one file = one
     document, ``doc_name`` = file name without extension. Spark lists and splits the files
