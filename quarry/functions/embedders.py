@@ -4,6 +4,7 @@ per Python worker). Use these for real models; the native ``HashEmbedder`` is th
 from __future__ import annotations
 
 import hashlib
+import re
 from typing import Callable, Iterator
 
 import numpy as np
@@ -15,16 +16,46 @@ from pyspark.sql.types import ArrayType, FloatType
 _MODELS: dict = {}
 
 
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def token_length(text: str) -> int:
+    """Words and signs of a text, and its two end marks."""
+    return len(_TOKEN.findall(text)) + 2
+
+
+def length_batches(lengths: list[int], budget: int) -> list[np.ndarray]:
+    """Rows in batches of like length, shortest first: in each, the longest length times the
+    number of rows is at most ``budget``, or it is one row."""
+    order = np.argsort(lengths, kind="stable")
+    out, start = [], 0
+    for at, row in enumerate(order):
+        if at > start and lengths[row] * (at - start + 1) > budget:
+            out.append(order[start:at])
+            start = at
+    return [*out, order[start:]] if len(order) else out
+
+
 class PandasEmbedder:
     """Wrap ``loader() -> encode(list[str]) -> ndarray[n, dim]`` as a column function.
 
     The loader runs once per worker process (cached by ``name``); vectors of any other length
-    than ``dim`` raise an error.
+    than ``dim`` raise an error. A model that pads the texts of a call to one length gets texts
+    of like length together, at most ``batch_tokens`` padded tokens a call (by ``length`` of a
+    text; None: a call per Arrow batch); vectors come back in the order of the rows.
     """
 
-    def __init__(self, name: str, dim: int, loader: Callable[[], Callable]):
+    def __init__(self, name: str, dim: int, loader: Callable[[], Callable],
+                 batch_tokens: int | None = None, length: Callable[[str], int] = token_length):
         self.name, self.dim, self._loader = name, dim, loader
-        name_, dim_, loader_ = name, dim, loader
+        name_, dim_, loader_, budget, length_ = name, dim, loader, batch_tokens, length
+
+        def encoded(enc, texts: list[str]) -> np.ndarray:
+            out = np.asarray(enc(texts), dtype=np.float32)
+            if out.ndim != 2 or out.shape[1] != dim_ or out.shape[0] != len(texts):
+                raise ValueError(f"embedder {name_} returned shape {out.shape}, "
+                                 f"expected ({len(texts)}, {dim_})")
+            return out
 
         @F.pandas_udf(ArrayType(FloatType()))
         def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -33,10 +64,12 @@ class PandasEmbedder:
                 enc = _MODELS.setdefault(name_, loader_())
             for texts in batches:
                 filled = texts.fillna("").tolist()
-                out = np.asarray(enc(filled), dtype=np.float32)
-                if out.ndim != 2 or out.shape[1] != dim_ or out.shape[0] != len(filled):
-                    raise ValueError(f"embedder {name_} returned shape {out.shape}, "
-                                     f"expected ({len(filled)}, {dim_})")
+                if budget is None:
+                    yield pd.Series(list(encoded(enc, filled)))
+                    continue
+                out = np.empty((len(filled), dim_), np.float32)
+                for rows in length_batches([length_(t) for t in filled], budget):
+                    out[rows] = encoded(enc, [filled[r] for r in rows])
                 yield pd.Series(list(out))
 
         self._udf = _embed
@@ -70,5 +103,5 @@ def trigram_encoder(dim: int = 64):
     return encode
 
 
-def trigram_embedder(dim: int = 64) -> PandasEmbedder:
-    return PandasEmbedder(f"trigram-md5-{dim}", dim, lambda: trigram_encoder(dim))
+def trigram_embedder(dim: int = 64, batch_tokens: int | None = 1 << 16) -> PandasEmbedder:
+    return PandasEmbedder(f"trigram-md5-{dim}", dim, lambda: trigram_encoder(dim), batch_tokens)

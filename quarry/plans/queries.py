@@ -731,6 +731,27 @@ def q_stream_ingest(spark, sf):
 
 
 # --------------------------------------------------------------------------- plug-ins
+STREAM_CELLS = 8
+
+
+def q_index_stream(spark, sf):
+    """Cells of all chunks in an index that followed its corpus' commits as a stream: built on
+    the documents of even id, which come first, around the first chunks' vectors."""
+    from quarry.operators.ann import IvfIndex
+    from quarry.streaming.index import follow
+    corpus, docs = Corpus.create(spark), _named_docs(spark, sf)
+    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    corpus.append_documents(docs.where(even), batch="first")
+    rows = corpus.chunks().select("idx", "embedding")
+    centres = [list(r[0]) for r in rows.where(F.col("idx") <= STREAM_CELLS).orderBy("idx").select(
+        "embedding").collect()]
+    path = scratch_path(spark, "followed")
+    IvfIndex.build(rows, centroids=centres).save(path)
+    corpus.append_documents(docs.where(~even), batch="second")
+    follow(corpus, path)
+    return IvfIndex.load(spark, path).assigned.select("idx", "cell")
+
+
 def q_custom_embedder(spark, sf):
     """Document chunks embedded with the pandas_udf trigram plug-in."""
     from quarry.functions.embedders import trigram_embedder
@@ -753,6 +774,12 @@ def _custom_embedder_sql() -> str:
 
 
 SQL["custom_embedder"] = _custom_embedder_sql()
+SQL["index_stream"] = "WITH RECURSIVE " + O.doc_corpus_ctes().replace(
+    "ORDER BY c.doc_id, c.chunk_no", "ORDER BY c.doc_id % 2, c.doc_id, c.chunk_no") + f""",
+  d AS (SELECT r.idx, c.idx - 1 AS cell,
+          list_distance(r.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d
+        FROM corpus r JOIN corpus c ON c.idx <= {STREAM_CELLS})
+  SELECT idx, CAST(arg_min(cell, (d, cell)) AS INTEGER) AS cell FROM d GROUP BY idx"""
 
 
 def q_html_elements(spark, sf):
@@ -888,6 +915,7 @@ QUERIES.update({
     "ivf_refresh": q_ivf_refresh,
     "stream_ingest": q_stream_ingest,
     "custom_embedder": q_custom_embedder,
+    "index_stream": q_index_stream,
     "answers": q_answers,
     "rag_payloads": q_rag_payloads,
 })

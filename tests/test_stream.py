@@ -67,3 +67,31 @@ def test_stream_restart_picks_up_only_new_files(spark, tmp_path):
     assert got == want and 0 < n1 < len(got)
     ids = sorted(r["idx"] for r in corpus.chunks().collect())
     assert ids == list(range(1, len(got) + 1))
+
+
+def test_an_index_follows_the_commits_of_its_corpus(spark, tmp_path):
+    from quarry.operators.ann import IvfIndex
+    from quarry.plans.corpus import Corpus
+    from quarry.streaming.index import catch_up, follow
+    make = lambda lo, hi: spark.createDataFrame(
+        [(i, f"d{i}", f"Text {i} of rivers and stones, number {i * 7}.") for i in range(lo, hi)],
+        "doc_id long, doc_name string, text string")
+    corpus, path = Corpus.create(spark, str(tmp_path / "c")), str(tmp_path / "index")
+    corpus.append_documents(make(0, 20), batch="a")
+    IvfIndex.build(corpus.chunks(), nlist=2).save(path)
+    corpus.append_documents(make(20, 30), batch="b")
+    corpus.append_documents(make(30, 60), batch="c")
+    ckpt = str(tmp_path / "ckpt")
+    follow(corpus, path, ckpt, commits_per_trigger=1)
+    held = lambda: sorted(r[0] for r in IvfIndex.load(spark, path).assigned.select(
+        "idx").collect())
+    assert held() == list(range(1, 61))
+    version = IvfIndex.load(spark, path).version
+    catch_up(corpus, path)                                 # run again: nothing is left to add
+    corpus.append_documents(make(20, 30), batch="b")       # a replay adds no id
+    follow(corpus, path, ckpt)
+    assert held() == list(range(1, 61)) and IvfIndex.load(spark, path).version == version
+    corpus.append_documents(make(60, 70), batch="d")
+    follow(corpus, path, ckpt, target_rows=20)
+    index = IvfIndex.load(spark, path)
+    assert held() == list(range(1, 71)) and max(index.cell_sizes().values()) <= 40

@@ -184,3 +184,26 @@ def test_ivf_estimate_recall(spark):
     idx = IvfIndex.build(corpus, nlist=8)
     assert idx.estimate_recall(corpus, q, k=5, nprobe=8, fraction=0.1) == pytest.approx(1.0)
     assert 0.0 < idx.estimate_recall(corpus, q, k=5, nprobe=1, fraction=0.2) <= 1.0
+
+
+def test_batches_of_like_length_stay_within_the_budget_and_keep_the_order(spark):
+    from quarry.functions.embedders import PandasEmbedder, length_batches, token_length
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 60, 500).tolist() + [900]
+    batches = length_batches(lengths, 256)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(501))
+    assert all(max(lengths[r] for r in b) * len(b) <= 256 or len(b) == 1 for b in batches)
+    assert length_batches([], 10) == []
+    texts = ["w " * int(n) for n in rng.integers(0, 40, 300)] + [None, ""]
+
+    def load():
+        def encode(batch):
+            cost = max(token_length(t) for t in batch) * len(batch)
+            assert cost <= 128 or len(batch) == 1
+            return [[float(len(t)), float(len(batch))] for t in batch]
+        return encode
+    emb = PandasEmbedder("lengths", 2, load, batch_tokens=128)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = {r["i"]: r["e"] for r in df.select("i", emb("t").alias("e")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [len(t or "") for t in texts]
+    assert max(e[1] for e in got.values()) > 1
