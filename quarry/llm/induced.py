@@ -100,7 +100,7 @@ def _scan_block(text: np.ndarray, came: np.ndarray, given: np.ndarray, single: b
         rounds, now = [came], came
         while len(now):
             left = now[now > 0] - 1
-            now = left[text[left] == text[left + 1]]
+            now = left[text.take(left) == text.take(left + 1)]
             rounds.append(now)
         induced = np.concatenate(rounds)
         return induced, np.concatenate((induced, given))
@@ -114,8 +114,9 @@ def _scan_block(text: np.ndarray, came: np.ndarray, given: np.ndarray, single: b
     while len(now):
         ok = now > 0
         now, index, strict = now[ok], index[ok], strict[ok]
-        before = text[now - 1].astype(np.int64)
-        step = (before - text[now]) * sign
+        before = text.take(now - 1)
+        step = before - text.take(now)
+        step *= sign
         ok = ((step > 0) | ((step == 0) & ~strict)) & ((edge - before) * sign > 0)
         now, parent = now[ok] - 1, index[ok]
         index, strict = np.arange(at, at + len(now)), np.zeros(len(now), bool)
@@ -126,21 +127,22 @@ def _scan_block(text: np.ndarray, came: np.ndarray, given: np.ndarray, single: b
         depth += 1
     pos, kind, key = np.concatenate(pos), np.concatenate(kind), np.concatenate(key)
     # first character, kind and key as one number: all are different, so any sort will do
-    char = (text[pos].astype(np.int64) - edge) * sign
+    char = (text.take(pos).astype(np.int64) - edge) * sign
     high = (char - char.min(initial=0)) * 3 + kind
     high *= len(pos) + 1
     base = key
     deep = np.flatnonzero(kind == 1)
+    base_deep = base[deep]
     order = np.argsort(high + key)
     for _ in range(depth if len(deep) else 0):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         key = base.copy()
-        key[deep] = rank[base[deep]]
-        new = np.argsort(high + key)
-        if (new == order).all():
+        key[deep] = rank.take(base_deep)
+        fine = (high + key).take(order)         # sorted but for suffixes of equal first parts
+        if (fine[1:] > fine[:-1]).all():
             break
-        order = new
+        order = order.take(np.argsort(fine, kind="stable"))
     return pos[order[kind[order] != 2]], pos[order]
 
 
@@ -165,9 +167,9 @@ def _scan(text: np.ndarray, given: np.ndarray, blocks: tuple, up: bool,
                                           first[b + 1] - first[b] == 1, edge, up)
         out.append(induced)
         left = everything[everything > 0] - 1
-        c = text[left].astype(np.int64)
+        c = text.take(left)
         left = left[(c - edge) * sign >= 0]
-        queue.push(of_char[text[left]], left)
+        queue.push(of_char.take(text.take(left)), left)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
