@@ -5,24 +5,27 @@ all vectors, x' = (x, sqrt(L - |x|^2)) and q' = (q, 0) give |q' - x'|^2 = |q|^2
 so the nearest in the metric have the highest scores.
 
 Rows are dealt by hash to parts of about ``part_rows`` vectors; every part is one M-tree whose
-pages keep the pivots, covering radii and distances to the parent's pivot. Queries are cut into
-blocks, and every (part, block) pair is one group: each query runs a best-first search in each
-part's tree and yields at most k rows, which one window per query merges. Distances are
-computed only for entries that the stored parent distances cannot rule out.
+pages keep the pivots, covering radii and distances to the parent's pivot. Rows move once: the
+task that has a part builds its tree once and streams all queries past it. Each query runs a
+best-first search in each part's tree and yields at most k rows, which one window per query
+merges. Distances are computed only for entries that the stored parent distances cannot rule
+out.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import Scratch
 
 PART_ROWS = 16384
+#: queries whose results are sent on together
 QUERY_BLOCK = 2048
 LEAF = 256
 FANOUT = 16
@@ -44,6 +47,7 @@ class MTree:
     def __init__(self, points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
         self.points, self.leaf, self.fanout = points, leaf, fanout
         self.distances = 0
+        self.reach = float((points ** 2).sum(1).max(initial=0.0))       # greatest squared norm
         self.root = self._page(np.arange(len(points)), np.zeros(len(points)))
 
     def _to(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ class MTree:
         """The k best rows as (score, order key, row), best first: highest score, then the
         smallest key. ``score(rows)`` gives exact scores, -inf for rows that are no candidates;
         the metric only rules rows out, with a slack well above its rounding errors."""
-        slack = 1e-7 * (1 + np.sqrt(max((query ** 2).sum(), (self.points ** 2).sum(1).max())))
+        slack = 1e-7 * (1 + np.sqrt(max((query ** 2).sum(), self.reach)))
         best: list[tuple] = []          # heap, the worst on top
         limit = np.inf
         queue = [(0.0, 0, np.nan, self.root)]
@@ -122,33 +126,75 @@ class MTree:
         return sorted(best, reverse=True)
 
 
-def _search_group(k: int, top: float, leaf: int, fanout: int):
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"),
-                          "score": pd.Series(dtype="int64")})
-
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return empty
-        dim = max(vectors.v.map(len).max(), queries.v.map(len).max())
-        pad = lambda col: np.array([np.pad(x, (0, dim - len(x))) for x in col], float)
-        x, q = pad(vectors.v), pad(queries.v)
-        ids = vectors.id.to_numpy(dtype="float64", na_value=np.inf)
-        order = np.argsort(np.argsort(ids, kind="stable"), kind="stable")   # nulls last
-        lift = np.sqrt(np.maximum(top - (x ** 2).sum(1), 0))
-        tree = MTree(np.column_stack((x, lift)), leaf, fanout)
+def _rows(column, dim: int | None = None) -> np.ndarray:
+    """Vectors of an Arrow list column as rows of ``dim`` (or the greatest) length: shorter ones
+    end in zeros, of longer ones the rest is left out."""
+    size = np.diff(column.offsets.to_numpy())
+    dim = int(size.max(initial=0)) if dim is None else dim
+    out = np.zeros((len(column), dim))
+    flat, row = column.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    inside = place < dim
+    out[row[inside], place[inside]] = flat[inside]
+    return out
+
+
+class Part:
+    """The tree of one part, its vectors and ids."""
+
+    def __init__(self, batches: list[pa.RecordBatch], top: float, leaf: int, fanout: int):
+        dim = max(int(np.diff(b.column(3).offsets.to_numpy()).max(initial=0)) for b in batches)
+        self.x = np.concatenate([_rows(b.column(3), dim) for b in batches])
+        self.ids = pa.concat_arrays([b.column(2) for b in batches])
+        keys = self.ids.to_numpy(zero_copy_only=False).astype(float)    # nulls are NaN and last
+        self.by_id = np.argsort(keys, kind="stable")
+        self.order = np.empty(len(keys), np.int64)
+        self.order[self.by_id] = np.arange(len(keys))
+        self.sorted = keys[self.by_id]
+        lift = np.sqrt(np.maximum(top - (self.x ** 2).sum(1), 0))
+        self.tree = MTree(np.column_stack((self.x, lift)), leaf, fanout)
+
+    def search(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
         out = []
-        for qid, query in zip(queries.id.tolist(), q):
-            own = ids == qid
-
-            def score(rows, query=query, own=own):
-                s = x[rows] @ query
-                return np.where(own[rows], -np.inf, s)
-
-            out += [(qid, r, int(s)) for s, _, r in tree.search(np.append(query, 0.0), k, score,
-                                                                order)]
-        found = pd.DataFrame(out, columns=["query_id", "r", "score"])
-        found["vec_id"] = vectors.id.to_numpy()[found.r.to_numpy(dtype="int64")]
-        return found.astype({"vec_id": "Int64"})[["query_id", "vec_id", "score"]]
+        for qid, query in zip(asked.column(2).to_pylist(),
+                              _rows(asked.column(3), self.x.shape[1])):
+            mine = self.by_id[slice(*(np.searchsorted(self.sorted, qid, side)
+                                      for side in ("left", "right")))]
+
+            def score(rows, query=query, mine=mine):
+                s = self.x[rows] @ query
+                if len(mine):
+                    s[np.isin(rows, mine)] = -np.inf
+                return s
+
+            out += [(qid, r, int(s)) for s, _, r in self.tree.search(
+                np.append(query, 0.0), k, score, self.order)]
+        qid, row, s = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(qid, pa.int64()), self.ids.take(pa.array(row, pa.int64())),
+             pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+def _searched(k: int, top: float, query_block: int, leaf: int, fanout: int):
+    """Sorted (part, asks, id, v): the rows of a part (asks 0), then its queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, pieces, part = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1)])
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(key))):
+                if key[a, 0] != number:
+                    number, pieces, part = key[a, 0], [], None
+                some = batch.slice(a, b - a)
+                if not key[a, 1]:
+                    pieces.append(some)
+                    continue
+                if part is None and pieces:
+                    part, pieces = Part(pieces, top, leaf, fanout), []
+                for i in range(0, some.num_rows if part is not None else 0, query_block):
+                    yield part.search(some.slice(i, query_block), k)
     return run
 
 
@@ -175,15 +221,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     asked = scratch.keep(cells(queries).filter("id IS NOT NULL").groupBy("id")
                          .agg(F.min("v").alias("v")), "queries")
     parts = max(1, -(-n // part_rows))
-    blocks = max(1, -(-asked.count() // query_block))
-    dealt = (items.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts)))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    sent = (asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                     F.lit(parts - 1).cast("long")))))
-    found = dealt.groupBy("part", "block").cogroup(sent.groupBy("part", "block")).applyInPandas(
-        _search_group(k, float(top or 0.0), leaf, fanout),
-        "query_id long, vec_id long, score long")
+    dealt = items.select(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias("part"),
+                         F.lit(0).alias("asks"), "id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+                        .alias("part"), F.lit(1).alias("asks"), "id", "v")
+    found = (dealt.unionByName(sent).repartition("part").sortWithinPartitions("part", "asks")
+             .mapInArrow(_searched(k, float(top or 0.0), query_block, leaf, fanout),
+                         "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
