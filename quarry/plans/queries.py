@@ -701,6 +701,56 @@ SQL["append_text"] = """SELECT line, count(*) AS n FROM (
   GROUP BY line"""
 
 
+#: tables, bits, bucket width and probed buckets of ``knn_lsh``
+LSH = {"tables": 16, "bits": 6, "width": 2.0}
+LSH_PROBES = 9
+
+
+def q_knn_lsh(spark, sf):
+    """Every embedding's 10 nearest among the rows of its probed buckets."""
+    from quarry.operators.lsh import LshIndex
+    rows, asked = _emb_tables(spark, sf)
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    hits = LshIndex.build(rows, dim, **LSH).search(asked, K_KNN, LSH_PROBES)
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
+def _lsh_sql() -> str:
+    byte = lambda i: f"('0x' || substr(h, {2 * i + 1}, 2))::INTEGER"
+    component = f"({' + '.join(byte(i) for i in range(4))} - 510)"
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+             WHERE embedding IS NOT NULL),
+  c AS (SELECT t, m, d, {component} AS c FROM (
+          SELECT t, m, d, md5(t || ':' || m || ':' || d) AS h
+          FROM range({LSH['tables']}) a(t), range({LSH['bits']}) b(m),
+               range(-1, (SELECT max(len(e)) FROM v)) f(d))),
+  p AS (SELECT t, m, list(c::DOUBLE ORDER BY d) FILTER (d >= 0) AS a,
+          max(((c % 1000) + 1000) % 1000) FILTER (d < 0) / 1000.0::DOUBLE * {LSH['width']} AS b
+        FROM c GROUP BY t, m),
+  y AS (SELECT vec_id, t, m, (list_dot_product(e, a) / 147.8::DOUBLE + b)
+          / {LSH['width']}::DOUBLE AS y FROM v, p),
+  own AS (SELECT vec_id, t, list(floor(y)::BIGINT ORDER BY m) AS cell FROM y GROUP BY vec_id, t),
+  gaps AS (SELECT vec_id, t, m, 1 AS up, 1 - (y - floor(y)) AS gap FROM y
+           UNION ALL SELECT vec_id, t, m, 0, y - floor(y) FROM y),
+  moves AS (SELECT vec_id, t, m, up FROM (SELECT *, row_number() OVER (
+              PARTITION BY vec_id, t ORDER BY gap, 2 * m + up) AS n FROM gaps)
+            WHERE n < {LSH_PROBES}),
+  probes AS (SELECT vec_id, t, cell FROM own UNION ALL
+             SELECT vec_id, t, list_transform(cell, lambda x, i:
+               CASE WHEN i = m + 1 THEN x + 2 * up - 1 ELSE x END) FROM moves JOIN own
+               USING (vec_id, t)),
+  pairs AS (SELECT DISTINCT q.vec_id AS query_id, r.vec_id AS idx
+            FROM probes q JOIN own r ON r.t = q.t AND r.cell = q.cell),
+  hits AS (SELECT query_id, idx, list_distance(a.e, b.e) AS d FROM pairs
+           JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = idx),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, idx) AS r FROM hits)
+  SELECT query_id, CAST(r AS INTEGER) AS rank, idx, round(d, 6) AS distance FROM ranked
+  WHERE r <= {K_KNN}"""
+
+
+SQL["knn_lsh"] = _lsh_sql()
+
+
 def q_l2_pairs(spark, sf):
     """Euclidean distance of every embedding to the next id."""
     from quarry.functions.vectors import l2_distance
@@ -916,6 +966,7 @@ QUERIES.update({
     "stream_ingest": q_stream_ingest,
     "custom_embedder": q_custom_embedder,
     "index_stream": q_index_stream,
+    "knn_lsh": q_knn_lsh,
     "answers": q_answers,
     "rag_payloads": q_rag_payloads,
 })
