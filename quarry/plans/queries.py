@@ -751,6 +751,49 @@ def _lsh_sql() -> str:
 SQL["knn_lsh"] = _lsh_sql()
 
 
+#: stretches, code vectors and re-ranked rows of ``knn_pq``
+PQ_STRETCHES, PQ_CODES, PQ_RERANK = 16, 16, 100
+
+
+def q_knn_pq(spark, sf):
+    """Every embedding's 10 nearest by product quantisation; the code vectors are those of the
+    vectors of lowest id."""
+    import numpy as np
+
+    from quarry.operators.pq import PqIndex
+    rows, asked = _emb_tables(spark, sf)
+    first = rows.where("embedding IS NOT NULL").orderBy("idx").limit(PQ_CODES).collect()
+    books = np.array([r["embedding"] for r in first], float)
+    books = books.reshape(len(first), PQ_STRETCHES, -1).transpose(1, 0, 2)
+    hits = PqIndex.build(rows, books).search(asked, K_KNN, PQ_RERANK)
+    return hits.select("query_id", "rank", "idx", _r6(F.col("distance")).alias("distance"))
+
+
+def _pq_sql() -> str:
+    cut = lambda e: f"{e}[j * w + 1:j * w + w]"
+    square = lambda a, b: (f"list_sum(list_transform(list_zip({a}, {b}), "
+                           "lambda p: (p[1] - p[2]) * (p[1] - p[2])))")
+    return f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) // {PQ_STRETCHES} AS w
+             FROM embeddings WHERE embedding IS NOT NULL),
+  book AS (SELECT row_number() OVER (ORDER BY vec_id) AS c, e FROM v
+           ORDER BY vec_id LIMIT {PQ_CODES}),
+  near AS (SELECT vec_id, j, c, {square(cut('v.e'), cut('book.e'))} AS d
+           FROM v, book, range({PQ_STRETCHES}) r(j)),
+  code AS (SELECT vec_id AS idx, j, arg_min(c, (d, c)) AS c FROM near GROUP BY vec_id, j),
+  told AS (SELECT n.vec_id AS query_id, idx, sum(d) AS d FROM near n JOIN code USING (j, c)
+           GROUP BY query_id, idx),
+  best AS (SELECT query_id, idx FROM (SELECT *, row_number() OVER (
+             PARTITION BY query_id ORDER BY d, idx) AS n FROM told) WHERE n <= {PQ_RERANK}),
+  hits AS (SELECT query_id, idx, list_distance(a.e, b.e) AS d FROM best
+           JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = idx),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, idx) AS r FROM hits)
+  SELECT query_id, CAST(r AS INTEGER) AS rank, idx, round(d, 6) AS distance FROM ranked
+  WHERE r <= {K_KNN}"""
+
+
+SQL["knn_pq"] = _pq_sql()
+
+
 def q_l2_pairs(spark, sf):
     """Euclidean distance of every embedding to the next id."""
     from quarry.functions.vectors import l2_distance
@@ -967,6 +1010,7 @@ QUERIES.update({
     "custom_embedder": q_custom_embedder,
     "index_stream": q_index_stream,
     "knn_lsh": q_knn_lsh,
+    "knn_pq": q_knn_pq,
     "answers": q_answers,
     "rag_payloads": q_rag_payloads,
 })
