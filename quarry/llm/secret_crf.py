@@ -279,10 +279,15 @@ def _windows(text: str, key: int) -> tuple[list[str], list[int]]:
 
 
 def fit(samples: list[tuple[str, int]]) -> Field:
+    """``fit_windows`` of the windows of (text, key)."""
+    return fit_windows([(*_windows(text, key), file_features(text)) for text, key in samples])
+
+
+def fit_windows(windows: list[tuple[list, list, list]]) -> Field:
     """Maximum conditional likelihood with an L2 penalty, by Adam steps on all windows at once;
-    ``samples`` are (text, key). Without a window nothing is ever tagged."""
-    rows = [(tokens, tags, file_features(text)) for text, key in samples
-            for tokens, tags in [_windows(text, key)] if tokens]
+    ``windows`` are (tokens, tags, features of the whole file). Without one nothing is ever
+    tagged."""
+    rows = [w for w in windows if w[0]]
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = -20.0
     weights = np.zeros((FEATURES, 3))
@@ -350,24 +355,23 @@ def _has_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["key", "hit"])
 
 
-def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, tokens, tags, file): one window from anywhere in the whole text, and
+    the features of the whole text, as a scan sees them."""
     for batch in batches:
+        keys, texts = (c.to_pylist() for c in batch.columns)
+        found = [_windows(t, k & 0x7FFFFFFF) for k, t in zip(keys, texts)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_excerpt(t) for t in batch.column(1).to_pylist()],
-                                       pa.string())], names=["key", "text"])
-
-
-def _excerpt(text: str, room: int = 2000) -> str:
-    """What training needs of a text: the part around its first base value, or its start."""
-    spans = base_spans(text)
-    a = max(0, spans[0][3] - room) if spans else 0
-    return text[a:a + 2 * room]
+            [batch.column(0), pa.array([w for w, _ in found], pa.list_(pa.string())),
+             pa.array([t for _, t in found], pa.list_(pa.int32())),
+             pa.array([file_features(t) for t in texts], pa.list_(pa.int32()))],
+            names=["key", "tokens", "tags", "file"])
 
 
 def learn(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Field:
     """Fit on at most ``train_rows`` documents with base spans and as many without, those of
-    least text hash, each text once. Only excerpts around the training windows of these texts reach
-    the driver."""
+    least text hash, each text once. Only their training windows, at most 2 x ``WINDOW`` tokens
+    each, reach the driver."""
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
@@ -376,9 +380,10 @@ def learn(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS)
              for hit in (True, False)]
     chosen = least[0].unionByName(least[1])             # at most 2 * train_rows keys
     rows = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"))
-    samples = rows.mapInArrow(_excerpts, "key long, text string").orderBy("key").collect()
+    windows = rows.mapInArrow(_train_windows, "key long, tokens array<string>, tags array<int>, "
+                              "file array<int>").orderBy("key").collect()
     scratch.drop(kinds)
-    return fit([(r.text, r.key & 0x7FFFFFFF) for r in samples])
+    return fit_windows([(r.tokens, r.tags, r.file) for r in windows])
 
 
 SPANS = "array<struct<start:int,kind:string,end:int,value_start:int,value_end:int>>"
