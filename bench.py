@@ -47,7 +47,7 @@ def main() -> None:
     for name in HEADLINE:
         timed(times, name, runs, lambda: run(Q.QUERIES[name](spark, sf)))
     # corpus: build and search apart
-    timed(times, "corpus_build", 1, lambda: Q.doc_corpus(spark, sf))
+    timed(times, "corpus_build", runs, lambda: Q.doc_corpus(spark, sf))
     corpus = Q.doc_corpus(spark, sf)
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), "text")
@@ -55,7 +55,7 @@ def main() -> None:
           lambda: run(corpus.search(asked, k=Q.K_SEARCH, strategy="broadcast")))
     # approximate search: build and search apart, plus recall against exact
     rows, q = Q._emb_tables(spark, sf)
-    timed(times, "ivf_build", 1, lambda: ann.IvfIndex.build(rows, nlist=16))
+    timed(times, "ivf_build", runs, lambda: ann.IvfIndex.build(rows, nlist=16))
     index = ann.IvfIndex.build(rows, nlist=16)
     timed(times, "knn_ivf", runs, lambda: run(index.search(q, k=10, nprobe=8)))
     recall = ann.recall_at_k(index.search(q, k=10, nprobe=8), knn_ops.knn(rows, q, k=10))
