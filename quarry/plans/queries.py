@@ -794,6 +794,32 @@ def _pq_sql() -> str:
 SQL["knn_pq"] = _pq_sql()
 
 
+def q_split_long(spark, sf):
+    """As ``split_parts``, with the lines of all documents dealt over the tasks."""
+    from quarry.operators.long_text import split_lines
+    from quarry.operators.splitting import text_lines
+    lines = _docs(spark, sf).select(
+        "doc_id", F.octet_length("text").alias("size"),
+        F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    parts = split_lines(lines.select(F.col("doc_id").alias("doc"), "pos", "size", (
+        F.octet_length("line") + 1).alias("cost")), SPLIT_PARTS)
+    return parts.withColumnRenamed("doc", "doc_id")
+
+
+def q_chunk_long(spark, sf):
+    """Tokens of every chunk, with the sentences of all documents dealt over the tasks."""
+    from quarry.operators.long_text import pack_sentences
+    rows = chunking.sentences(spread(_docs(spark, sf), "doc_id"))
+    packed = pack_sentences(rows.select(F.col("doc_id").alias("doc"), F.col("sent_no").alias(
+        "pos"), F.col("n_tokens").alias("cost")), O.LIMIT)
+    return packed.select(F.col("doc").alias("doc_id"), "chunk_no", "n_tokens")
+
+
+SQL["split_long"] = SQL["split_parts"]
+SQL["chunk_long"] = "WITH RECURSIVE " + O.chunk_pipeline("documents", ["doc_id"]) + """
+  SELECT doc_id, chunk_no, n_tokens FROM chunks"""
+
+
 def q_l2_pairs(spark, sf):
     """Euclidean distance of every embedding to the next id."""
     from quarry.functions.vectors import l2_distance
@@ -1011,6 +1037,8 @@ QUERIES.update({
     "index_stream": q_index_stream,
     "knn_lsh": q_knn_lsh,
     "knn_pq": q_knn_pq,
+    "split_long": q_split_long,
+    "chunk_long": q_chunk_long,
     "answers": q_answers,
     "rag_payloads": q_rag_payloads,
 })
