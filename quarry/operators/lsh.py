@@ -5,11 +5,12 @@ close to normal. The projections are fixed: their components come from MD5, so a
 compute them anew. A query looks in its own bucket of every table and in the ``probes`` - 1
 neighbouring buckets across the nearest boundaries.
 
-Rows are stored once with their buckets and dealt to parts. A task that has a part keeps each
-table's buckets as a sorted array, streams the queries past it, takes the union of a query's
-buckets over all tables, and compares only those rows, each once. It yields the best ``k`` of a
-query; no pair is ever a row. How much that spares is up to the data (``work``): neighbours must
-stand out from the rest.
+Rows are stored once with their buckets and dealt to parts, queries to blocks. A task that has a
+part keeps each table's buckets as a sorted array and streams a block of queries past it: each
+bucket is compared with all queries that probe it by one block product, and the candidates of a
+query over all tables, each once, are compared exactly. It yields the best ``k`` of a query; no
+pair is ever a row. How much that spares is up to the data (``work``): neighbours must stand out
+from the rest.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.knn import PART_ROWS, empty_hits, final_topk, hit_schema, select_topk
-from quarry.operators.pivots import matrix
+from quarry.operators.knn import (GRID_ROWS, PART_ROWS, TILE_QUERIES, TILE_ROWS, Block, Nearest,
+                                  cell_runs, dealt_cells, empty_hits, exact_distances,
+                                  final_topk, grid_shape, hit_schema, matrix, select_topk)
 from quarry.session import ship_package, store
 
 #: standard deviation of the sum of four bytes
@@ -87,8 +89,10 @@ def _lists(codes: np.ndarray) -> pa.Array:
 
 
 class LshIndex:
-    def __init__(self, rows: DataFrame, projections: Projections, parts: int):
-        self.rows, self.projections, self.parts = rows, projections, parts   # (idx, v, codes)
+    def __init__(self, rows: DataFrame, projections: Projections, n: int, part_rows: int):
+        self.rows, self.projections = rows, projections                      # (idx, v, codes)
+        self.n, self.part_rows = n, part_rows
+        self.parts = max(1, -(-n // part_rows))
 
     @classmethod
     def build(cls, corpus: DataFrame, dim: int, tables: int = 12, bits: int = 4,
@@ -107,12 +111,12 @@ class LshIndex:
                                                  names=["idx", "v", "codes"])
         kind = dict(rows.dtypes)["v"]
         stored = store(rows.mapInArrow(run, f"idx long, v {kind}, codes array<long>"), "hashed")
-        return cls(stored, made, max(1, -(-stored.count() // part_rows)))
+        return cls(stored, made, stored.count(), part_rows)
 
     def hits(self, queries: DataFrame, k: int, probes: int = 4, qid_col: str = "query_id",
-             qvec_col: str = "embedding") -> DataFrame:
-        """(query_id, idx, distance, compared): each part's best rows of a query; ``compared``,
-        on the first of them, is how many of its rows the query was compared with."""
+             qvec_col: str = "embedding", counted: bool = False) -> DataFrame:
+        """(query_id, idx, distance): each part's best rows of a query. ``counted``: with
+        ``compared``, on the first of them, how many of its rows are in the query's buckets."""
         made, dim = self.projections, self.projections.dim
         asked = queries.select(F.col(qid_col).alias("query_id"),
                                F.col(qvec_col).alias("v")).filter(F.col("v").isNotNull())
@@ -124,20 +128,12 @@ class LshIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, _lists(codes)],
                                                  names=["query_id", "v", "codes"])
         sent = asked.mapInArrow(probe, f"query_id {id_kind}, v {kind}, codes array<long>")
-        row_kind = dict(self.rows.dtypes)["v"]
-        vector = kind if kind == row_kind else "array<double>"
-        rows = self.rows.select(
-            F.pmod(F.xxhash64("idx"), F.lit(self.parts)).cast("int").alias("part"),
-            F.lit(0).alias("asks"), "idx", F.lit(None).cast(id_kind).alias("query_id"),
-            F.col("v").cast(vector).alias("v"), "codes")
-        asking = sent.select(
-            F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("part"),
-            F.lit(1).alias("asks"), F.lit(None).cast("long").alias("idx"), "query_id",
-            F.col("v").cast(vector).alias("v"), "codes")
-        fields = hit_schema(asked, "query_id").add("compared", "long")
-        return (rows.unionByName(asking).repartition("part")
-                .sortWithinPartitions("part", "asks")
-                .mapInArrow(_streamed(k, dim, made.tables), fields))
+        parts, blocks = grid_shape(self.n, asked.count(), self.part_rows, GRID_ROWS)
+        fields = hit_schema(asked, "query_id")
+        if counted:
+            fields = fields.add("compared", "long")
+        return dealt_cells(self.rows, sent.withColumnRenamed("v", "q"), parts, blocks).mapInArrow(
+            _streamed(k, dim, made.tables, counted), fields)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 4, qid_col: str = "query_id",
                qvec_col: str = "embedding") -> DataFrame:
@@ -145,65 +141,106 @@ class LshIndex:
         than ``k`` if these hold fewer, ties to the lower idx. Query ids are unique."""
         if k <= 0:
             return empty_hits(queries, qid_col)
-        return final_topk(self.hits(queries, k, probes, qid_col, qvec_col).drop("compared"), k)
+        return final_topk(self.hits(queries, k, probes, qid_col, qvec_col), k)
 
     def work(self, queries: DataFrame, k: int = 5, probes: int = 4, **columns) -> float:
         """Share of all pairs that a search compares."""
         rows, asked = self.rows.count(), queries.count()
-        done = self.hits(queries, k, probes, **columns).agg(F.sum("compared")).first()[0] or 0
+        done = self.hits(queries, k, probes, counted=True, **columns).agg(F.sum("compared")).first()[0] or 0
         return done / (rows * asked) if rows and asked else 0.0
 
 
-def _streamed(k: int, dim: int, tables: int):
-    """Sorted (part, asks, idx, query_id, v, codes): the rows of a part, then its queries."""
+def _streamed(k: int, dim: int, tables: int, counted: bool):
+    """Sorted (cell, asks, idx, query_id, v, codes): the rows of a cell, then its queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, pieces, part = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
+        for cell, asks, some in cell_runs(batches):
+            if cell != number:
+                number, pieces, part = cell, [], None
+            codes = some.column(5).flatten().to_numpy().reshape(len(some), tables, -1)
+            if not asks:
+                pieces.append((np.asarray(some.column(2)), matrix(some.column(4), dim, None),
+                               codes[..., 0]))
                 continue
-            key = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1)])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for a, b in zip(np.append(0, cuts), np.append(cuts, len(key))):
-                if key[a, 0] != number:
-                    number, pieces, part = key[a, 0], [], None
-                some = batch.slice(a, b - a)
-                codes = some.column(5).flatten().to_numpy().reshape(len(some), tables, -1)
-                vectors = matrix(some.column(4), dim)
-                if not key[a, 1]:
-                    pieces.append((np.asarray(some.column(2)), vectors, codes[..., 0]))
-                    continue
-                if part is None and pieces:
-                    ids, V, C = (np.concatenate(x) for x in zip(*pieces))
-                    order = np.argsort(C, axis=0, kind="stable")
-                    part, pieces = (ids, V, np.take_along_axis(C, order, 0), order), []
-                if part is not None:
-                    yield _best(part, some.column(3), vectors, codes, k)
+            if part is None and pieces:
+                part, pieces = Buckets(*(np.concatenate(x) for x in zip(*pieces)), k), []
+            if part is None:
+                continue
+            qi, ids, dist = part.topk(matrix(some.column(4), dim), codes)
+            out = [some.column(3).take(pa.array(qi)), pa.array(ids), pa.array(dist)]
+            names = ["query_id", "idx", "distance"]
+            if counted:
+                first = np.append(True, qi[1:] != qi[:-1])[:len(qi)]
+                compared = [len(part.marked(codes[q])) if f else 0 for q, f in zip(qi, first)]
+                out, names = [*out, pa.array(compared, pa.int64())], [*names, "compared"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
     return run
 
 
-def _best(part, names: pa.Array, Q: np.ndarray, codes: np.ndarray, k: int) -> pa.RecordBatch:
-    ids, V, C, order = part
-    qi, rows, dist, compared = [], [], [], []
-    for q in range(len(Q)):
-        near = np.zeros(len(ids), bool)
-        for t in range(codes.shape[1]):
-            low = np.searchsorted(C[:, t], codes[q, t], "left")
-            high = np.searchsorted(C[:, t], codes[q, t], "right")
+class Buckets:
+    """The rows of a part in the buckets of each table."""
+
+    def __init__(self, ids: np.ndarray, V: np.ndarray, codes: np.ndarray, k: int):
+        self.all = np.sort(codes, axis=0), np.argsort(codes, axis=0, kind="stable")
+        # equal vectors are in the same buckets
+        self.block, self.k = Block(V, ids, k, "euclidean"), k
+        self.codes = codes[self.block.one]
+        self.tables = []                # order of the fine rows, and bucket names and bounds
+        for c in self.codes[self.block.fine].T:
+            order = np.argsort(c, kind="stable")
+            name, start = np.unique(c[order], return_index=True)
+            self.tables.append((order, name, np.append(start, len(c))))
+
+    def marked(self, codes: np.ndarray) -> np.ndarray:
+        """Rows, with all copies, in the buckets (table, probe) of a query."""
+        C, order = self.all
+        near = np.zeros(len(C), bool)
+        for t in range(len(codes)):
+            low = np.searchsorted(C[:, t], codes[t], "left")
+            high = np.searchsorted(C[:, t], codes[t], "right")
             for x, y in zip(low, high):
                 near[order[x:y, t]] = True
-        found = np.flatnonzero(near)
-        if not len(found):
-            continue
-        diff = V[found] - Q[q]
-        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        _, best, d_best = select_topk(np.zeros(len(found), np.int64), ids[found], d, k)
-        qi += [q] * len(best)
-        rows.append(best)
-        dist.append(d_best)
-        compared += [len(found)] + [0] * (len(best) - 1)
-    none = np.zeros(0)
-    return pa.RecordBatch.from_arrays(
-        [names.take(pa.array(qi, pa.int64())),
-         pa.array(np.concatenate(rows) if rows else none.astype(np.int64), pa.int64()),
-         pa.array(np.concatenate(dist) if dist else none), pa.array(compared, pa.int64())],
-        names=["query_id", "idx", "distance", "compared"])
+        return np.flatnonzero(near)
+
+    def topk(self, Q: np.ndarray, codes: np.ndarray):
+        """(query row, id, distance) for queries with their (table, probe) codes."""
+        block = self.block
+        norms = np.sqrt(np.square(np.where(np.isfinite(Q), Q, 0.0)).sum(1))
+        whole = np.isfinite(Q).all(1) & np.isfinite(norms)
+        sane = np.flatnonzero(whole)
+        X, slack = block.asks(Q[sane], norms[sane])
+        near = Nearest(len(sane), self.k, slack, again=True)
+        for t, (order, name, start) in enumerate(self.tables):
+            if len(order) and len(sane):
+                self._compare(near, X, codes[sane, t], block.F[order], order, name, start)
+        q, v, _ = near.pending()
+        q, v = sane[q], block.fine[v]
+        found = [select_topk(q, block.ids[v], exact_distances(Q, block.V, q, v, "euclidean"),
+                             self.k)]
+        # distances that are not a number, or infinite, count where there are too few others
+        few = np.ones(len(Q), bool)
+        few[sane] = np.isinf(near.best).any(1) if len(block.odd) else False
+        for x in np.flatnonzero(few):
+            rows = block.odd if whole[x] else np.arange(len(block.V))
+            hit = [np.isin(self.codes[rows, t], c) for t, c in enumerate(codes[x])]
+            v = rows[np.any(hit, axis=0)]
+            at = np.full(len(v), x)
+            found.append((at, block.ids[v], exact_distances(Q, block.V, at, v, "euclidean")))
+        return select_topk(*(np.concatenate(x) for x in zip(*found)), self.k)
+
+    @staticmethod
+    def _compare(near: Nearest, X, asked, rows, order, name, start) -> None:
+        """All queries of a table's buckets with the rows there, bucket by bucket."""
+        place = np.minimum(np.searchsorted(name, asked.ravel()), len(name) - 1)
+        at = np.flatnonzero(name[place] == asked.ravel())
+        at = at[np.argsort(place[at], kind="stable")]
+        who, bucket = at // asked.shape[1], place[at]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(at) else []
+        for a, b in zip(first, np.append(first[1:], len(at))):
+            low, high = start[bucket[a]], start[bucket[a] + 1]
+            for i in range(a, b, TILE_QUERIES):
+                some = who[i:min(i + TILE_QUERIES, b)]
+                mine = X[some]
+                for j in range(low, high, TILE_ROWS):
+                    end = min(j + TILE_ROWS, high)
+                    near.add(some, mine @ rows[j:end].T, order[j:end])
