@@ -1,11 +1,12 @@
 """Approximate kNN by product quantisation with exact re-ranking.
 
 A vector is cut into ``m`` stretches, each named by the nearest of at most 256 code vectors, so a
-row is ``m`` bytes. Rows are dealt to parts; a task that has a part keeps its codes, streams the
-queries past them, and adds up table look-ups: per query and stretch, the squared distances to
-all code vectors are worked out once. The ``rerank`` best rows of a query by that estimate are
-joined to their vectors, and exact distances decide among them. The scan of a search reads ``m``
-bytes a row in place of the vector.
+row is ``m`` bytes. Rows are dealt to parts and queries to blocks; a task that has a part keeps
+its codes and streams a block past them. A row's estimate is the query's squared distance to the
+code vectors that the row names: float32 block products with these tell which rows may be among
+the best, and table look-ups of the squared distances to all code vectors add up the estimates of
+those. The ``rerank`` best rows of a query are joined to their vectors, and exact distances decide
+among them. The scan of a search reads ``m`` bytes a row in place of the vector.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import l2_distance
-from quarry.operators.knn import empty_hits, final_topk, select_topk
-from quarry.operators.pivots import matrix
+from quarry.operators.knn import (CELL_PAIRS, CELLS, GRID_ROWS, Block, cell_runs, dealt_cells,
+                                  empty_hits, few_copies, final_topk, matrix)
 from quarry.session import ship_package, store
 
 #: rows of which code vectors are learnt, at most
@@ -57,9 +58,11 @@ def learn_codebooks(rows: DataFrame, m: int, codes: int = 256, id_col: str = "id
 
 
 class PqIndex:
-    def __init__(self, codebooks: np.ndarray, rows: DataFrame, vectors: DataFrame, parts: int):
+    def __init__(self, codebooks: np.ndarray, rows: DataFrame, vectors: DataFrame, n: int,
+                 part_rows: int):
         self.codebooks = codebooks                  # (m, codes, stretch)
-        self.rows, self.parts = rows, parts         # (idx, code)
+        self.rows, self.n = rows, n                 # (idx, code), and how many
+        self.parts = max(1, -(-n // part_rows))
         self.vectors = vectors                      # (idx, v), read for re-ranking alone
 
     @classmethod
@@ -91,7 +94,7 @@ class PqIndex:
                                                  pa.py_buffer(code.tobytes())])],
                     names=["idx", "code"])
         stored = store(rows.mapInArrow(run, "idx long, code binary"), "codes")
-        return cls(books, stored, rows, max(1, -(-stored.count() // part_rows)))
+        return cls(books, stored, rows, stored.count(), part_rows)
 
     def candidates(self, queries: DataFrame, n: int, qid_col: str = "query_id",
                    qvec_col: str = "embedding") -> DataFrame:
@@ -100,18 +103,14 @@ class PqIndex:
         asked = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).cast(
             "array<double>").alias("q")).filter(F.col("q").isNotNull())
         id_kind = dict(asked.dtypes)["query_id"]
-        rows = self.rows.select(
-            F.pmod(F.xxhash64("idx"), F.lit(self.parts)).cast("int").alias("part"),
-            F.lit(0).alias("asks"), "idx", "code", F.lit(None).cast(id_kind).alias("query_id"),
-            F.lit(None).cast("array<double>").alias("q"))
-        asking = asked.select(
-            F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("part"),
-            F.lit(1).alias("asks"), F.lit(None).cast("long").alias("idx"),
-            F.lit(None).cast("binary").alias("code"), "query_id", "q")
-        near = (rows.unionByName(asking).repartition("part")
-                .sortWithinPartitions("part", "asks").mapInArrow(
-                    _streamed(self.codebooks, n),
-                    f"query_id {id_kind}, idx long, distance double"))
+        # each part has ``n`` candidates a query, so parts are few and blocks many
+        many = asked.count()
+        cells = min(CELLS, -(-self.n * many // CELL_PAIRS))
+        blocks = max(1, -(-many // GRID_ROWS), -(-cells // self.parts))
+        rows = self.rows.withColumn("v", F.lit(None).cast("array<double>"))
+        near = dealt_cells(rows, asked.withColumn("code", F.lit(None).cast("binary")), self.parts,
+                           blocks).mapInArrow(_streamed(self.codebooks, n, self.n),
+                                              f"query_id {id_kind}, idx long, distance double")
         best = Window.partitionBy("query_id").orderBy("distance", "idx")
         return near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= n).drop("n")
 
@@ -130,49 +129,46 @@ class PqIndex:
         return final_topk(exact, k)
 
 
-def _streamed(books: np.ndarray, n: int):
-    """Sorted (part, asks, idx, code, query_id, q): the codes of a part, then its queries."""
+class Coded(Block):
+    """The codes of a part with their ids, ready for the ``n`` best estimates of queries."""
+
+    def __init__(self, books: np.ndarray, codes: np.ndarray, ids: np.ndarray, n: int):
+        named = np.concatenate([b[c] for b, c in zip(books.astype(np.float32), codes.T)], 1)
+        super().__init__(named, ids, n, "euclidean", few_copies(codes, ids, n))
+        self.books, self.codes = books, codes[self.one]
+
+    def tables(self, Q: np.ndarray) -> np.ndarray:
+        """(query, stretch, code): squared distances to all code vectors."""
+        return np.stack([_squares(x, C) for x, C in zip(np.split(Q, len(self.books), axis=1),
+                                                        self.books)], 1)
+
+    def _best(self, Q: np.ndarray, qi: np.ndarray, vi: np.ndarray):
+        tables, total = self.tables(Q), np.zeros(len(qi))
+        for j in range(len(self.books)):
+            total += tables[qi, j, self.codes[vi, j]]
+        return self._kept(qi.astype(np.int64), self.ids[vi], total)
+
+
+def _streamed(books: np.ndarray, n: int, rows: int):
+    """Sorted (cell, asks, idx, query_id, q, code): the codes of a cell, then its queries."""
     m, _, width = books.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, pieces, part = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
+        for cell, asks, some in cell_runs(batches):
+            if cell != number:
+                number, pieces, part = cell, [], None
+            if not asks:
+                code = np.frombuffer(b"".join(some.column(5).to_pylist()), np.uint8)
+                pieces.append((code.reshape(-1, m), np.asarray(some.column(2))))
                 continue
-            key = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1)])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for a, b in zip(np.append(0, cuts), np.append(cuts, len(key))):
-                if key[a, 0] != number:
-                    number, pieces, part = key[a, 0], [], None
-                some = batch.slice(a, b - a)
-                if not key[a, 1]:
-                    code = np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint8)
-                    pieces.append((np.asarray(some.column(2)), code.reshape(-1, m)))
-                    continue
-                if part is None and pieces:
-                    ids, codes = (np.concatenate(x) for x in zip(*pieces))
-                    part, pieces = (ids, np.ascontiguousarray(codes.T)), []
-                if part is not None:
-                    yield nearest(some, *part)
-
-    def nearest(asked: pa.RecordBatch, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        Q = matrix(asked.column(5), m * width)
-        tables = np.stack([_squares(x, C) for x, C in zip(np.split(Q, m, axis=1), books)], 1)
-        at, found, estimate = [], [], []
-        for q, table in enumerate(tables):
-            total = np.zeros(len(ids))
-            for j in range(m):
-                total += table[j].take(codes[j])
-            if len(ids) > n:
-                first = np.flatnonzero(total <= np.partition(total, n - 1)[n - 1])
-            else:
-                first = np.arange(len(ids))
-            _, i, d = select_topk(np.zeros(len(first), np.int64), ids[first], total[first], n)
-            at += [q] * len(i)
-            found.append(i)
-            estimate.append(d)
-        return pa.RecordBatch.from_arrays(
-            [asked.column(4).take(pa.array(at, pa.int64())),
-             pa.array(np.concatenate(found)), pa.array(np.concatenate(estimate))],
-            names=["query_id", "idx", "distance"])
+            if part is None and pieces:
+                part, pieces = Coded(books, *(np.concatenate(x) for x in zip(*pieces)), n), []
+            if part is not None:
+                at, ids, estimate = part.topk(matrix(some.column(4), m * width))
+                if rows > n:            # no estimate is a number: no candidate is better
+                    at, ids, estimate = (x[~np.isnan(estimate)] for x in (at, ids, estimate))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(3).take(pa.array(at)), pa.array(ids), pa.array(estimate)],
+                    names=["query_id", "idx", "distance"])
     return run
