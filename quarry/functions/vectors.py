@@ -6,7 +6,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,14 +51,21 @@ def md5_bucket(token: Column, dim: int) -> Column:
         "int")
 
 
+#: texts whose tokens are counted at once
+COUNT_ROWS = 512
+
+
 def _count_buckets(dim: int):
-    @F.pandas_udf("array<double>")
-    def counts(buckets: pd.Series) -> pd.Series:
-        rows = [np.zeros(0, np.int64) if b is None else np.asarray(b, np.int64) for b in buckets]
-        at = np.repeat(np.arange(len(rows)) * dim, [len(r) for r in rows])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        out = np.bincount(at + flat, minlength=len(rows) * dim).astype(float)
-        return pd.Series(list(out.reshape(len(rows), dim)))
+    @F.arrow_udf("array<double>")
+    def counts(buckets: pa.Array) -> pa.Array:
+        out = np.zeros((len(buckets), dim))
+        for x in range(0, len(buckets), COUNT_ROWS):
+            some = buckets.slice(x, COUNT_ROWS)
+            size = some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(some)) * dim, size) + some.flatten().to_numpy()
+            out[x:x + COUNT_ROWS] = np.bincount(at, minlength=len(some) * dim).reshape(-1, dim)
+        ends = np.arange(len(buckets) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
     return counts
 
 
@@ -67,8 +74,9 @@ def hash_embed(text, dim: int = 64) -> Column:
     L2-normalised, as ``array<float>`` of length ``dim``. A text with no token gives the zero
     vector. Lexical, not semantic; real models plug in via ``PandasEmbedder``.
 
-    Tokens are hashed in the JVM, once each; the buckets of an Arrow batch are counted by one
-    ``bincount``, so the cost is tokens + rows x ``dim``.
+    Tokens are hashed in the JVM, once each; the buckets of an Arrow batch are counted by
+    ``bincount``, ``COUNT_ROWS`` texts at a time and without a copy of the batch, so the cost is
+    tokens + rows x ``dim``.
     """
     buckets = F.transform(word_tokens(_col(text)), lambda t: md5_bucket(t, dim))
     return normalize(_count_buckets(dim)(buckets))

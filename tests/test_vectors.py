@@ -207,3 +207,26 @@ def test_batches_of_like_length_stay_within_the_budget_and_keep_the_order(spark)
     got = {r["i"]: r["e"] for r in df.select("i", emb("t").alias("e")).collect()}
     assert [got[i][0] for i in range(len(texts))] == [len(t or "") for t in texts]
     assert max(e[1] for e in got.values()) > 1
+
+
+def test_buckets_are_counted_without_a_copy_of_the_batch(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarry.functions.vectors import _count_buckets
+    size, dim = np.arange(4000) % 601, 64
+    flat = np.random.default_rng(7).integers(0, dim, size.sum()).astype(np.int32)
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).slice(1)
+    count = _count_buckets(dim).func
+    tracemalloc.start()
+    got = count(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20 and len(got) == 3999
+    for n in (0, 511, 512, 3998):
+        want = np.bincount(flat[ends[n + 1]:ends[n + 2]], minlength=dim).tolist()
+        assert got[n].as_py() == want
+    assert count(pa.array([None, [1, 1]], pa.list_(pa.int32()))).to_pylist() == [
+        [0.0] * dim, [0.0, 2.0] + [0.0] * (dim - 2)]
