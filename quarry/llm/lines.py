@@ -11,10 +11,13 @@ are ordered by how often they occur (a fixed table of counts by hash, runs that
 first); each line takes the first ones in that order until d edits cannot change them all, so the
 rarer of two such choices meets the other. Runs that occur once need no row at all. Pairs are
 ruled out by their lengths and by the parity of their words' hashes (an edit changes two bits at
-most) before any words are moved.
+most), both before and after the run they have in common, before any words are moved.
+
+Texts are read once. Each line's words are stored once, by hash, and all later steps read those.
 
 Groups of equal runs are compared in two steps: every line with the least line of its group, and
 then, in groups that are not one component after that, the pairs of lines of unlike components.
+Only lines that are not ruled out to match another one of their group get to the second step.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
@@ -50,7 +54,9 @@ RUNS = ((2, 4, 10), (3, 9, 1 << 62))
 #: at most 2^SLOTS bits tell which runs occur twice, and 2^COUNTS counters how often they do
 SLOTS, COUNTS = 28, 20
 #: pairs compared at once
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: words, or characters, that are handled at once
+SOME = 1 << 18
 #: longer lines take their runs by count alone
 LONG = 1 << 14
 
@@ -172,25 +178,98 @@ def _signs(text: str, ids: np.ndarray, named) -> np.ndarray:
     return np.insert(ids, ends[bare], [named(" " + rows[n].strip()) for n in bare])
 
 
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its kind (0 between words, 1 in a word, 2 newline, 3 a word of its
+    own), the hash of its lower case, and whether that is no one character by itself."""
+    if not _LETTERS:
+        kind, odd = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
+        plain = np.arange(0x110000, dtype=np.uint64)
+        own = re.compile(rf"(?=[^\W_])[{_UNPARTED}]")
+        for base in range(0, 0x110000, 0x4000):
+            some = "".join(map(chr, range(base, base + 0x4000)))
+            for value, pattern in ((1, WORD), (3, own)):
+                for found in pattern.finditer(some):
+                    kind[base + found.start():base + found.end()] = value
+            if some != some.lower():
+                for at, lower in enumerate(map(str.lower, some), base):
+                    odd[at], plain[at] = len(lower) > 1, ord(lower[0])
+        kind[10] = 2
+        odd[0x3A3] = True                       # sigma, whose lower case depends on its place
+        _LETTERS.extend((kind, _letter_hash(plain), odd))
+    return tuple(_LETTERS)
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def _letter_hash(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype(np.uint64) * _MIX[0] + _MIX[1])
+
+
+def _weights(n: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=np.uint64) * _MIX[2] + _MIX[0]) | np.uint64(1)
+
+
+def _word_name(word: str) -> int:
+    """What ``parsed_lines`` names a word by, from the word itself."""
+    codes = np.frombuffer(word.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    total = (_letter_hash(codes) * _weights(len(codes))).sum(dtype=np.uint64)
+    return int(mix(total + np.array([len(codes)], np.uint64) * _MIX[2])[0] >> np.uint64(1))
+
+
+def parsed_lines(texts: list, min_words: int) -> tuple[np.ndarray, ...]:
+    """What ``text_lines`` gives, by other 63-bit hashes of the words in lower case: all
+    characters of the texts are taken at once."""
+    texts = [t or "" for t in texts]
+    if not texts:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(1, np.int64),)
+    letters = _letters()
+    whole = "\n".join(texts) + "\n"
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = letters[0][codes]
+    part = kind == 1
+    start = kind == 3
+    start[0] |= part[0]
+    start[1:] |= part[1:] & ~part[:-1]
+    at = np.flatnonzero(kind & 1)
+    first = np.flatnonzero(start[at])
+    size = np.diff(np.append(first, len(at)))
+    starts = at[first]
+    if len(first):
+        weights = _weights(int(size.max()))
+        places = np.arange(len(at)) - np.repeat(first, size)
+        total = np.add.reduceat(letters[1][codes[at]] * weights[places], first)
+        odd = np.add.reduceat(letters[2][codes[at]], first, dtype=np.int64) > 0
+        words = (mix(total + size.astype(np.uint64) * _MIX[2]) >> np.uint64(1)).astype(np.int64)
+        for x in np.flatnonzero(odd).tolist():
+            words[x] = _word_name(whole[starts[x]:starts[x] + size[x]])
+    else:
+        words = np.zeros(0, np.int64)
+    ends = np.flatnonzero(kind == 2)
+    counts = np.array([t.count("\n") + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    number = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts, counts)
+    after = np.searchsorted(starts, ends)
+    size = np.diff(after, prepend=0)
+    if min_words <= 1:                         # a line without words stands for its characters
+        begin = np.append(0, ends[:-1] + 1)
+        bare = [(x, sign) for x in np.flatnonzero((size == 0) & (ends > begin)).tolist()
+                if (sign := whole[begin[x]:ends[x]].strip())]
+        if bare:
+            rows = np.array([x for x, _ in bare])
+            words = np.insert(words, after[rows], [_word_name(" " + sign) for _, sign in bare])
+            size[rows] = 1
+    keep = size >= max(min_words, 1)
+    return (owner[keep], number[keep], words[np.repeat(keep, size)],
+            np.append(0, np.cumsum(size[keep])))
+
+
 class Lines:
-    """Distinct lines of a run of texts: the ones that ``seen`` lacks, which it then has."""
-
-    def __init__(self, texts: list, memory: Words, min_words: int, seen: set):
-        _, _, words, bounds = text_lines(texts, memory, min_words)
-        self.key = line_keys(words, bounds) if len(bounds) > 1 else np.zeros(0, np.uint64)
-        new = np.zeros(len(self.key), bool)
-        for x, k in enumerate(self.key.tolist()):
-            if k not in seen:
-                seen.add(k)
-                new[x] = True
-        self.new = new
-        self.pick(words, bounds, new)
-
-    def pick(self, words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> None:
-        size = np.diff(bounds)
-        self.key, self.words = self.key[rows], words[np.repeat(rows, size)]
-        self.size = size[rows]
-        self.bounds = np.append(0, np.cumsum(self.size))
+    """Lines by their keys and their words, end to end with their bounds."""
+
+    def __init__(self, key: np.ndarray, words: np.ndarray, bounds: np.ndarray):
+        self.key, self.words, self.bounds = key, words, bounds
+        self.size = np.diff(bounds)
 
     def runs(self, q: int, least: int, most: int) -> tuple[np.ndarray, ...]:
         """(line, place, hash) of the runs of q words, by line, of lines in the given range."""
@@ -204,15 +283,20 @@ class Lines:
             h = mix(h * _MIX[0] + each[at + x])
         return line[at], place[at], h
 
-    def parity(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each line: every word turns one of them over."""
+    def parity(self, line: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """128 bits for the words of a line before a place in it, and 128 for the others: every
+        word turns one of them over. As four 64-bit columns."""
         h = mix(self.words.astype(np.uint64) * _MIX[1] + _MIX[2])
         bit = np.uint64(1) << (h & np.uint64(63))
         high = (h >> np.uint64(6)) & np.uint64(1) == 1
         zero = np.uint64(0)
-        return tuple(np.bitwise_xor.reduceat(x, self.bounds[:-1]) if len(self.size)
-                     else np.zeros(0, np.uint64)
-                     for x in (np.where(high, zero, bit), np.where(high, bit, zero)))
+        begin, end = self.bounds[:-1][line], self.bounds[1:][line]
+        out = []
+        for some in (np.where(high, zero, bit), np.where(high, bit, zero)):
+            up_to = np.append(zero, np.bitwise_xor.accumulate(some))
+            at = up_to[begin + place]
+            out += [at ^ up_to[begin], up_to[end] ^ at]
+        return [out[x] for x in (0, 2, 1, 3)]
 
 
 class Seen:
@@ -253,15 +337,40 @@ class Seen:
 PIECE = 1 << 14
 
 
-def _count_runs(min_words: int, slots: int):
-    """(text) -> compressed pieces (kind, piece, a, b) of a task's ``Seen``."""
+def packed_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds) of a binary Arrow column without nulls that holds 64-bit words."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    words = (np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None
+             else np.zeros(0, np.uint8))
+    return words.view(np.int64), (bounds.astype(np.int64) - bounds[0]) // 8
+
+
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of together at most ``most`` in size, or of one item."""
+    ends, x = np.append(0, np.cumsum(sizes)), 0
+    while x < len(sizes):
+        y = max(x + 1, int(np.searchsorted(ends, ends[x] + most, "right")) - 1)
+        yield x, y
+        x = y
+
+
+def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """(key, words) -> the lines of about SOME words at a time."""
+    for batch in batches:
+        key = batch.column(0).to_numpy().view(np.uint64)
+        words, bounds = packed_words(batch.column(1))
+        for x, y in cuts(np.diff(bounds), SOME):
+            yield Lines(key[x:y], words[bounds[x]:bounds[y]], bounds[x:y + 1] - bounds[x])
+
+
+def _count_runs(slots: int):
+    """(key, words) -> compressed pieces (kind, piece, a, b) of a task's ``Seen``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, known, seen = Words(), set(), Seen(slots)
-        for batch in batches:
-            for x in range(0, batch.num_rows, 512):
-                lines = Lines(batch.column(0).slice(x, 512).to_pylist(), memory, min_words, known)
-                for q, least, most in RUNS:
-                    seen.add(lines.runs(q, least, most)[2])
+        seen = Seen(slots)
+        for lines in _some_lines(batches):
+            for q, least, most in RUNS:
+                seen.add(lines.runs(q, least, most)[2])
         yield from _pieces(seen)
     return run
 
@@ -322,17 +431,19 @@ def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _piece(*name, a, b)
 
 
-def run_counts(rows: DataFrame, min_words: int) -> Seen:
-    """How often the runs of all lines occur, from one scan. What reaches the driver is of fixed
-    size, 2^SLOTS bits and 2^COUNTS counters at most."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    slots = min(SLOTS, max(18, int(chars // 3).bit_length()))
-    return _counted(rows.select("text"), _count_runs(min_words, slots), slots)
+def run_counts(lines: DataFrame) -> Seen:
+    """How often the runs of distinct lines occur, from one scan. What reaches the driver is of
+    fixed size, 2^SLOTS bits and 2^COUNTS counters at most."""
+    words = (lines.agg(F.sum(F.length("words"))).first()[0] or 0) // 8
+    slots = min(SLOTS, max(18, int(2 * words).bit_length()))
+    return _counted(lines, _count_runs(slots), slots)
 
 
 def _counted(rows: DataFrame, count, slots: int) -> Seen:
     schema = "kind int, piece int, a binary, b binary"
-    pieces = (rows.mapInArrow(count, schema)
+    # every task has a filter of its own, so there are no more tasks than cores
+    pieces = (rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+              .mapInArrow(count, schema)
               .repartition("kind", "piece").sortWithinPartitions("kind", "piece")
               .mapInArrow(_merge_pieces, schema).select("kind", "piece", F.when(
                   F.col("kind") == 1, F.col("a")).otherwise(F.col("b")).alias("bits")))
@@ -399,89 +510,111 @@ def chosen_runs(line: np.ndarray, place: np.ndarray, order: np.ndarray, q: int,
     return (order > 0) & (order <= np.repeat(far, size))
 
 
-def _take_runs(min_words: int, similarity: float, seen):
-    """(text) -> (run, key, n, p, r): the runs that each line takes, its length and parity."""
+#: what is known of a run in a line: the line and its words, the run's place, and the parities of
+#: the words before it and of the others; a run that a line has more than once has the place -1,
+#: and no words before it
+TAKEN = "run long, key long, n int, at int, p long, r long, s long, t long"
+
+
+def _take_runs(similarity: float, seen):
+    """(key, words) -> the runs that each line takes, as TAKEN."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, known = Words(), set()
-        for batch in batches:
-            for x in range(0, batch.num_rows, 2048):
-                lines = Lines(batch.column(0).slice(x, 2048).to_pylist(), memory, min_words, known)
-                need = edits(lines.size, similarity)
-                found = []
-                for q, least, most in RUNS:
-                    line, place, h = lines.runs(q, least, most)
-                    take = chosen_runs(line, place, seen.value.order(h), q, need)
-                    found.append((line[take], h[take]))
-                line, h = (np.concatenate(c) for c in zip(*found))
-                if not len(line):
-                    continue
-                by = np.lexsort((h, line))
-                line, h = line[by], h[by]
-                new = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))
-                line, h = line[new], h[new]
+        for lines in _some_lines(batches):
+            need = edits(lines.size, similarity)
+            found = []
+            for q, least, most in RUNS:
+                line, place, h = lines.runs(q, least, most)
+                take = chosen_runs(line, place, seen.value.order(h), q, need)
+                found.append((line[take], place[take], h[take]))
+            line, place, h = (np.concatenate(c) for c in zip(*found))
+            by = np.lexsort((h, line))
+            line, place, h = line[by], place[by], h[by]
+            new = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))[:len(line)]
+            many = np.diff(np.append(np.flatnonzero(new), len(line))) > 1
+            line, place, h = line[new], np.where(many, -1, place[new]), h[new]
+            if len(line):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(lines.key[line].view(np.int64)),
-                     pa.array(lines.size[line], pa.int32()),
-                     *[pa.array(s[line].view(np.int64)) for s in lines.parity()]],
-                    names=["run", "key", "n", "p", "r"])
+                     pa.array(lines.size[line], pa.int32()), pa.array(place, pa.int32()),
+                     *[pa.array(x.view(np.int64))
+                       for x in lines.parity(line, np.maximum(place, 0))]],
+                    names=[c.split()[0] for c in TAKEN.split(", ")])
     return run
 
 
-def _spots(min_words: int):
-    """(id, th, text) -> one row per line of ``min_words`` or more words."""
+def _spots(min_words: int, with_sim: bool):
+    """(id, th, text) -> one row per line of ``min_words`` or more words; the first one of a key
+    in a task has its words, and the SimHash (else 0) of the words' normal forms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
+        normal, known = NormalWords(), set()
         for batch in batches:
-            for x in range(0, batch.num_rows, 512):
-                some = batch.slice(x, 512)
-                owner, number, words, bounds = text_lines(some.column(2).to_pylist(), memory,
-                                                          min_words)
-                if len(owner):
-                    rows = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0).take(rows), some.column(1).take(rows),
-                         pa.array(number, pa.int32()),
-                         *[pa.array(line_keys(words, bounds, k).view(np.int64))
-                           for k in (False, True)]],
-                        names=["id", "th", "line", "key", "key2"])
+            length = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
+            for x, y in cuts(length + 1, 2 * SOME):
+                some = batch.slice(x, y - x)
+                texts = some.column(2).to_pylist()
+                owner, number, words, bounds = parsed_lines(texts, min_words)
+                if not len(owner):
+                    continue
+                keys = [line_keys(words, bounds, k) for k in (False, True)]
+                sim = np.zeros(len(owner), np.uint64)
+                if with_sim:                    # the same lines by other names of their words
+                    sim = line_marks(text_lines(texts, normal, min_words)[2], bounds)[1]
+                new = np.zeros(len(owner), bool)
+                for at, key in enumerate(keys[0].tolist()):
+                    if key not in known:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known.add(key)
+                        new[at] = True
+                size = np.where(new, np.diff(bounds), 0)
+                data = words[np.repeat(new, np.diff(bounds))]
+                ends = np.append(0, 8 * np.cumsum(size)).astype(np.int32)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(rows), some.column(1).take(rows),
+                     pa.array(number, pa.int32()),
+                     *[pa.array(k.view(np.int64)) for k in (*keys, sim)],
+                     pa.BinaryArray.from_buffers(
+                         pa.binary(), len(owner),
+                         [pa.py_buffer(np.packbits(new, bitorder="little")), pa.py_buffer(ends),
+                          pa.py_buffer(data)])],
+                    names=["id", "th", "line", "key", "key2", "sim", "words"])
     return run
 
 
-def _worded(min_words: int, wanted, with_sim: bool):
-    """(th, text) -> (key, sim, words) of the lines of texts that ``wanted``, a broadcast bitmap
-    of text hashes, may hold. SimHashes (else 0) are those of the words' normal forms."""
+def _marked(wanted, inside: bool = True):
+    """Rows (key, ...) that a broadcast bitmap of keys may hold, or those that it does not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, normal, known = Words(), NormalWords(), set()
         for batch in batches:
             place = bit_of(batch.column(0).to_numpy().view(np.uint64))
             bits = wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))
-            batch = batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
-            for x in range(0, batch.num_rows, 512):
-                texts = batch.column(1).slice(x, 512).to_pylist()
-                lines = Lines(texts, memory, min_words, known)
-                if len(lines.key):
-                    sim = np.zeros(len(lines.key), np.uint64)
-                    if with_sim:                # the same lines by other names of their words
-                        _, _, words, bounds = text_lines(texts, normal, min_words)
-                        picked = words[np.repeat(lines.new, np.diff(bounds))]
-                        sim = line_marks(picked, lines.bounds)[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(lines.key.view(np.int64)), pa.array(sim.view(np.int64)),
-                         pa.ListArray.from_arrays(pa.array(lines.bounds, pa.int32()),
-                                                  pa.array(lines.words))],
-                        names=["key", "sim", "words"])
+            held = (bits & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(held == inside))
     return run
 
 
+def distinct_lines(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, sim, words): one row per key of the lines with words. Only keys that more than one
+    task may have are shuffled with their words."""
+    held = found.filter(F.col("words").isNotNull()).select("key", "words", "sim")
+    twice = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    copied = _bitmap(twice.select("key"))
+    once = held.mapInArrow(_marked(copied, inside=False), held.schema)
+    rest = held.mapInArrow(_marked(copied), held.schema).dropDuplicates(["key"])
+    out = scratch.keep(once.unionByName(rest), "distinct")
+    copied.destroy()
+    return out
+
+
 def bit_of(name: np.ndarray) -> np.ndarray:
     """Place of a 64-bit hash in a bitmap of 2^BITS bits: its low bits."""
     return name & np.uint64((1 << BITS) - 1)
 
 
 def _bitmap(names: DataFrame):
-    """The bitmap of a column ``th``: 2^BITS bits (8 MB) whatever the table's size. It only
-    spares texts whose lines an exact join would drop."""
-    table = (names.select(F.col("th").bitwiseAND(F.lit((1 << BITS) - 1)).alias("p"))
+    """The bitmap of a column ``key``: 2^BITS bits (8 MB) whatever the table's size. It only
+    spares rows that an exact join would drop, or a shuffle."""
+    table = (names.select(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("p"))
              .selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
              .groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas())
     out = np.zeros(1 << (BITS - 6), np.uint64)
@@ -558,19 +691,82 @@ def slices(starts: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray,
         g = h
 
 
+def may_match(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows (n, at, p, r, s, t) of one run, the pairs a, b of rows whose lines are not ruled
+    out by the lengths and the parities before and after that run."""
+    n, at, p, r, s, t = rows
+    most = np.floor((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
+    # without a place for the run, whole lines are compared
+    known = (at[a] >= 0) & (at[b] >= 0)
+    before = np.where(known, np.abs(at[a] - at[b]), 0)
+    after = np.abs(n[a] - n[b] - np.where(known, at[a] - at[b], 0))
+    ok = np.flatnonzero(before + after <= most)
+    a, b, most, known, before, after = (x[ok] for x in (a, b, most, known, before, after))
+    one, two = p[a] ^ p[b], r[a] ^ r[b]
+    odd = np.bitwise_count(one).astype(np.int32) + np.bitwise_count(two)
+    before = np.maximum(before, np.where(known, (odd + 1) // 2, 0))
+    zero = np.uint64(0)
+    one = s[a] ^ s[b] ^ np.where(known, zero, one)
+    two = t[a] ^ t[b] ^ np.where(known, zero, two)
+    odd = np.bitwise_count(one).astype(np.int32) + np.bitwise_count(two)
+    after = np.maximum(after, (odd + 1) // 2)
+    return ok[before + after <= most]
+
+
+def _signatures(rows: pa.Table, first: int) -> list[np.ndarray]:
+    """The columns n, at, p, r, s and t, from number ``first`` on."""
+    cols = [rows.column(x).to_numpy() for x in range(first, first + 6)]
+    return cols[:2] + [c.view(np.uint64) for c in cols[2:]]
+
+
+def _open_rows(similarity: float, block: int):
+    """Rows (run, key, n, ..., size, star), groups of a run together -> those with a star, and
+    those that are ``open``: not ruled out to match a line of their group but its least one. In
+    groups of more than ``block`` rows, all are taken for open."""
+    def marked(rows: pa.Table, open_: np.ndarray) -> list[pa.RecordBatch]:
+        star = rows.column(9).is_valid().to_numpy()
+        out = rows.append_column("open", pa.array(open_))
+        return out.filter(pa.array(open_ | star)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = []
+
+        def small():
+            for batch in batches:
+                many = batch.column(8).to_numpy() > block
+                if many.any():
+                    some = pa.Table.from_batches([batch]).filter(pa.array(many))
+                    large.extend(marked(some, np.ones(some.num_rows, bool)))
+                    batch = batch.filter(pa.array(~many))
+                yield batch
+
+        rest = small()
+        for rows, starts in sorted_groups(rest, 1):
+            yield from large
+            large.clear()
+            key, signature = rows.column(1).to_numpy(), _signatures(rows, 2)
+            least = np.repeat(np.minimum.reduceat(key, starts[:-1]), np.diff(starts)) == key
+            open_ = np.zeros(len(key), bool)
+            for a, b in slices(starts):
+                other = np.flatnonzero(~(least[a] | least[b]))
+                other = other[may_match(signature, a[other], b[other], similarity)]
+                open_[a[other]] = open_[b[other]] = True
+            yield from marked(rows, open_)
+        yield from large
+    return run
+
+
 def _across(similarity: float):
-    """Sorted groups (run, i, j, c, key, n, p, r) -> pairs of keys of unlike components c that
-    their lengths and parities do not rule out."""
+    """Sorted groups (run, i, j, c, key, n, at, p, r, s, t) -> pairs of keys of unlike components c
+    that are not ruled out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in sorted_groups(batches, 3):
-            c, key, n, p, r = (rows.column(x).to_numpy() for x in range(3, 8))
+            c, key = (rows.column(x).to_numpy() for x in (3, 4))
+            signature = _signatures(rows, 5)
             for a, b in slices(starts):
                 ok = c[a] != c[b]
                 a, b = a[ok], b[ok]
-                most = np.floor((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
-                odd = np.bitwise_count(p[a].view(np.uint64) ^ p[b].view(np.uint64)).astype(int)
-                odd += np.bitwise_count(r[a].view(np.uint64) ^ r[b].view(np.uint64))
-                ok = (np.abs(n[a] - n[b]) <= most) & (odd <= 2 * most)
+                ok = may_match(signature, a, b, similarity)
                 a, b = key[a[ok]], key[b[ok]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
@@ -587,8 +783,7 @@ def _similar(similarity: float, radius: int | None):
             if radius is not None:
                 s, t = (batch.column(x).to_numpy().view(np.uint64) for x in (2, 4))
                 ok = np.bitwise_count(s ^ t) <= radius
-            (u, x), (v, y) = ((batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy())
-                              for c in (3, 5))
+            (x, u), (y, v) = (packed_words(batch.column(c)) for c in (3, 5))
             for row in np.flatnonzero(ok).tolist():
                 one, two = x[u[row]:u[row + 1]], y[v[row]:v[row + 1]]
                 most = (1 - similarity) * max(len(one), len(two)) + 1e-9
@@ -597,65 +792,81 @@ def _similar(similarity: float, radius: int | None):
     return run
 
 
-def _links(pairs: DataFrame, rows: DataFrame, spots: DataFrame, min_words: int,
-           similarity: float, radius: int | None, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of line keys that are links; words are read from one text per line."""
+def _links(pairs: DataFrame, lines: DataFrame, similarity: float, radius: int | None,
+           scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of line keys that are links."""
     pairs = scratch.keep(pairs.distinct(), "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    holders = spots.join(keys, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th"))
-    wanted = _bitmap(holders)
-    worded = rows.select("th", "text").mapInArrow(
-        _worded(min_words, wanted, radius is not None), "key long, sim long, words array<long>")
-    worded = scratch.keep(worded.join(keys, "key", "left_semi").dropDuplicates(["key"]), "words")
+    keys = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    wanted = _bitmap(keys)
+    worded = scratch.keep(lines.mapInArrow(_marked(wanted), lines.schema)
+                          .join(keys, "key", "left_semi"), "words")
     one = worded.select(F.col("key").alias("a"), F.col("sim").alias("s"),
                         F.col("words").alias("u"))
     two = worded.select(F.col("key").alias("b"), F.col("sim").alias("t"),
                         F.col("words").alias("v"))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "u", "t", "v")
     links = scratch.keep(full.mapInArrow(_similar(similarity, radius), "a long, b long"), "links")
-    scratch.drop(pairs, worded)
+    scratch.drop(pairs, keys, worded)
     wanted.destroy()
     return links
 
 
-def line_groups(rows: DataFrame, spots: DataFrame, min_words: int, similarity: float,
-                radius: int | None, block: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of the line keys that are linked to another one."""
+def _close(one: str, similarity: float):
+    """Whether lengths and parities do not rule out that a row's line and the one in ``one`` are
+    similar, given that their run is the same one."""
+    of = lambda c: F.col(f"{one}.{c}")
+    most = F.floor(F.lit(1 - similarity) * F.greatest("n", of("n")) + 1e-9)
+    known = (F.col("at") >= 0) & (of("at") >= 0)
+    moved = F.when(known, F.col("at") - of("at")).otherwise(0)
+    p, r, s, t = (F.col(c).bitwiseXOR(of(c)) for c in ("p", "r", "s", "t"))
+    none = F.lit(0).cast("long")
+    half = lambda x, y: F.ceil((F.bit_count(x) + F.bit_count(y)) / 2)
+    before = F.when(known, F.greatest(F.abs(moved), half(p, r))).otherwise(none)
+    after = F.greatest(F.abs(F.col("n") - of("n") - moved),
+                       half(s.bitwiseXOR(F.when(known, none).otherwise(p)),
+                            t.bitwiseXOR(F.when(known, none).otherwise(r))))
+    # without a place for the run, whole lines are compared
+    return (F.col("key") != of("key")) & (before + after <= most)
+
+
+def line_groups(lines: DataFrame, similarity: float, radius: int | None, block: int,
+                scratch: Scratch) -> DataFrame:
+    """lines (key, words, sim) -> (node, component) of the keys that are linked to another one."""
     if similarity < 0.8:
         raise ValueError("the runs of RUNS are complete for a similarity of 0.8 or more")
-    seen = rows.sparkSession.sparkContext.broadcast(run_counts(rows, min_words))
-    taken = scratch.keep(rows.select("text").mapInArrow(
-        _take_runs(min_words, similarity, seen), "run long, key long, n int, p long, r long"),
-        "runs")
+    context = lines.sparkSession.sparkContext
+    named = lines.select("key", "words")
+    seen = context.broadcast(run_counts(named))
+    taken = scratch.keep(named.mapInArrow(_take_runs(similarity, seen), TAKEN), "runs")
     # rows whose run no other line took go before any is shuffled
     slots = min(SLOTS, max(18, (4 * taken.count()).bit_length()))
-    twice = rows.sparkSession.sparkContext.broadcast(
-        _counted(taken.select("run"), _count_taken(slots), slots))
-    all_runs = taken
-    taken = scratch.keep(all_runs.mapInArrow(_shared_runs(twice), all_runs.schema), "taken")
-    scratch.drop(all_runs)
-    for sent in (seen, twice):
-        sent.destroy()
-    groups = taken.groupBy("run").agg(
-        F.min(F.struct("key", "n", "p", "r")).alias("least"), F.max("key").alias("last"),
-        F.count("*").alias("size")).filter("least.key <> last").drop("last")
+    twice = context.broadcast(_counted(taken.select("run"), _count_taken(slots), slots))
     # the least line of a group is compared with all others here, the others among them below
-    shared = scratch.keep(taken.join(groups, "run").filter("key <> least.key"), "shared")
+    held = ["key", "n", "at", "p", "r", "s", "t"]
+    group = Window.partitionBy("run")
+    grouped = taken.mapInArrow(_shared_runs(twice), TAKEN).select(
+        "run", *held, F.min(F.struct(*held)).over(group).alias("one"),
+        F.max("key").over(group).alias("last"), F.count("*").over(group).alias("size"))
+    grouped = grouped.filter("one.key <> last").select(
+        "run", *held, "size", F.when(_close("one", similarity), F.col("one.key")).alias("star"))
+    shared = scratch.keep(grouped.sortWithinPartitions("run").mapInArrow(
+        _open_rows(similarity, block), f"{TAKEN}, size long, star long, open boolean"), "shared")
     scratch.drop(taken)
-    most = F.floor(F.lit(1 - similarity) * F.greatest("n", "least.n") + 1e-9)
-    odd = (F.bit_count(F.col("p").bitwiseXOR(F.col("least.p")))
-           + F.bit_count(F.col("r").bitwiseXOR(F.col("least.r"))))
-    stars = shared.filter((F.abs(F.col("n") - F.col("least.n")) <= most) & (odd <= 2 * most))
-    options = (rows, spots, min_words, similarity, radius, scratch)
-    links = _links(stars.select(F.col("least.key").alias("a"), F.col("key").alias("b")), *options)
+    for sent in (seen, twice):
+        sent.destroy()
+    stars = shared.filter(F.col("star").isNotNull()).select(
+        F.col("star").alias("a"), F.col("key").alias("b"))
+    options = (lines, similarity, radius, scratch)
+    links = _links(stars, *options)
     parts = scratch.keep(connected_components(links, scratch), "parts")
-    placed = scratch.keep(shared.join(parts, F.col("key") == F.col("node"), "left").select(
-        "run", "size", F.coalesce("component", "key").alias("c"), "key", "n", "p", "r"), "placed")
+    left = shared.filter("open")
+    placed = scratch.keep(left.join(parts, F.col("key") == F.col("node"), "left").select(
+        "run", "size", F.coalesce("component", "key").alias("c"), *held), "placed")
     scratch.drop(shared, links)
     parted = placed.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     parted = parted.filter("low <> high").select("run")
     dealt = block_pairs(placed.join(parted, "run"), "size", "key", block)
-    dealt = (dealt.select("run", "i", "j", "c", "key", "n", "p", "r")
+    dealt = (dealt.select("run", "i", "j", "c", *held)
              .repartition("run", "i", "j").sortWithinPartitions("run", "i", "j"))
     more = _links(dealt.mapInArrow(_across(similarity), "a long, b long"), *options)
     if more.isEmpty():
@@ -677,10 +888,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    spots = scratch.keep(rows.mapInArrow(
-        _spots(min_words), "id long, th long, line int, key long, key2 long")
-        .distinct(), "spots")
-    groups = line_groups(rows, spots, min_words, similarity, radius, block, scratch)
+    found = scratch.keep(rows.mapInArrow(
+        _spots(min_words, radius is not None),
+        "id long, th long, line int, key long, key2 long, sim long, words binary"), "found")
+    lines = distinct_lines(found, scratch)
+    spots = scratch.keep(found.select("id", "th", "line", "key", "key2").distinct(), "spots")
+    scratch.drop(found)
+    groups = line_groups(lines, similarity, radius, block, scratch)
     place = F.struct("id", "th", "line")
     # equal lines agree in both keys; a linked line goes by its group, any other by itself
     by_key = spots.groupBy("key", "key2").agg(F.min(place).alias("first"),
