@@ -691,7 +691,8 @@ def slices(starts: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray,
         g = h
 
 
-def may_match(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+def may_match(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray,
+              similarity: float) -> np.ndarray:
     """For rows (n, at, p, r, s, t) of one run, the pairs a, b of rows whose lines are not ruled
     out by the lengths and the parities before and after that run."""
     n, at, p, r, s, t = rows
