@@ -13,7 +13,7 @@ rarer of two such choices meets the other. Runs that occur once need no row at a
 ruled out by their lengths and by the parity of their words' hashes (an edit changes two bits at
 most), both before and after the run they have in common, before any words are moved.
 
-Texts are read once. Each line's words are stored once, by hash, and all later steps read those.
+Texts are cut into words once. Each line's words are stored once, by hash, and all later steps read those.
 
 Groups of equal runs are compared in two steps: every line with the least line of its group, and
 then, in groups that are not one component after that, the pairs of lines of unlike components.
