@@ -1,8 +1,8 @@
 """Connected components of a link table, as alternating large-star and small-star rounds.
 
 Every round is two joins and two distinct aggregates over the links, written to the shared
-folder; a node with very many links is one hash key of a sort-merge join, whose skewed side
-AQE splits. Nothing but a row count and a checksum per round reaches the driver.
+folder; a node with very many links is one hash key of a sort-merge join (never a broadcast),
+whose skewed side AQE splits. Nothing but a row count and a checksum per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch
+from quarry.llm.shared import Scratch, growing
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -21,11 +21,11 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = (both.groupBy("a").agg(F.min("b").alias("m"))
                  .select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
-        out = (both.join(least, both["a"] == least["n"]).filter(F.col("b") > F.col("a"))
+        out = (both.join(growing(least), both["a"] == least["n"]).filter(F.col("b") > F.col("a"))
                .select(F.col("b").alias("a"), F.col("m").alias("b")))
     else:
         least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        out = (links.join(least, links["a"] == least["n"]).filter(F.col("b") != F.col("m"))
+        out = (links.join(growing(least), links["a"] == least["n"]).filter(F.col("b") != F.col("m"))
                .select(F.col("b").alias("a"), F.col("m").alias("b"))
                .unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
     return out.filter(F.col("a") != F.col("b")).distinct()

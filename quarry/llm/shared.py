@@ -27,6 +27,13 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df``, one side of a join whose sides both grow with the input, so that neither is
+    broadcast. Spark sizes a stored table by its compressed files, and rows that an explode makes
+    by those it reads, so it may hold a table for small that does not fit in the driver."""
+    return df.hint("merge")
+
+
 class Scratch:
     """Intermediate tables in the folder of ``spark.checkpoint.dir``.
 

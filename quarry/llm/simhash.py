@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.components import connected_components
-from quarry.llm.shared import Scratch, fresh, majority_bits
+from quarry.llm.shared import Scratch, fresh, growing, majority_bits
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -169,7 +169,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, block: int = BL
     masked = (distinct.select("fp", F.explode(masks).alias("m"))
               .select("fp", F.xxhash64("m.k", "m.v").alias("bucket")))
     shared = masked.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = masked.join(shared, "bucket")
+    rows = masked.join(growing(shared), "bucket")
     dealt = (block_pairs(rows, "size", "fp", block).select("bucket", "i", "j", "fp")
              .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
     return dealt.mapInArrow(_bucket_edges(radius), "a long, b long").distinct()
@@ -183,10 +183,10 @@ def fingerprint_groups(marked: DataFrame, scratch: Scratch, id_col: str = "doc_i
     parts = scratch.keep(
         connected_components(fingerprint_links(distinct.select("fp"), radius, block), scratch),
         "parts")
-    placed = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
+    placed = distinct.join(growing(parts), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return scratch.keep(placed.join(roots, "root").select("fp", "component_id"), "groups")
+    return scratch.keep(placed.join(growing(roots), "root").select("fp", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
         .select("id", "fp"), "marked")
     groups = fingerprint_groups(marked, scratch, "id", radius, block)
-    return marked.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return marked.join(growing(groups), "fp").select(
+        F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -220,6 +221,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          F.col(row).alias("row"))
     groups = fingerprint_groups(slim, scratch, "fp", radius, block)
     first = F.struct(F.col("id").isNull(), "id", "row")
-    kept = slim.join(groups, "fp").groupBy("component_id").agg(F.min(first).alias("first"))
-    return stored.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(
-        *columns)
+    kept = slim.join(growing(groups), "fp").groupBy("component_id").agg(F.min(first).alias("first"))
+    kept = kept.select(F.col("first.row").alias(row))
+    return stored.join(growing(kept), row, "left_semi").select(*columns)

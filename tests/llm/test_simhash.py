@@ -103,3 +103,31 @@ def test_empty_table(frame):
     docs = frame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
     assert S.drop_near_duplicates(docs).count() == 0
+
+
+def _kept_plans(monkeypatch):
+    """The plans of all tables that operators store from now on, as they are before they run."""
+    from quarry.llm.shared import Scratch
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name)
+    monkeypatch.setattr(Scratch, "keep", kept)
+    return plans
+
+
+def test_no_table_that_grows_with_the_input_is_broadcast(spark, frame, monkeypatch):
+    """Small here, so Spark would broadcast each; above all the masked rows after an explode,
+    which it takes to be as few as the fingerprints."""
+    plans = _kept_plans(monkeypatch)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i:i + 30]) for i in range(4)] + [" ".join(words[:30])] * 2
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    for result in (S.near_duplicates(docs), S.drop_near_duplicates(docs)):
+        plans.append(result._jdf.queryExecution().executedPlan().toString())
+        assert result.count()
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 4 and any("Generate explode" in p for p in joined)
+    for plan in joined:
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
