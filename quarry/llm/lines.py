@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.llm.shared import Scratch, fresh, majority_bits, pairs_within, sorted_groups
+from quarry.llm.shared import (Scratch, fresh, growing, majority_bits, pairs_within,
+                               sorted_groups)
 from quarry.llm.simhash import block_pairs
 
 MIN_WORDS = 5
@@ -800,12 +801,13 @@ def _links(pairs: DataFrame, lines: DataFrame, similarity: float, radius: int |
     keys = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     wanted = _bitmap(keys)
     worded = scratch.keep(lines.mapInArrow(_marked(wanted), lines.schema)
-                          .join(keys, "key", "left_semi"), "words")
+                          .join(growing(keys), "key", "left_semi"), "words")
     one = worded.select(F.col("key").alias("a"), F.col("sim").alias("s"),
                         F.col("words").alias("u"))
     two = worded.select(F.col("key").alias("b"), F.col("sim").alias("t"),
                         F.col("words").alias("v"))
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "u", "t", "v")
+    full = (pairs.join(growing(one), "a").join(growing(two), "b")
+            .select("a", "b", "s", "u", "t", "v"))
     links = scratch.keep(full.mapInArrow(_similar(similarity, radius), "a long, b long"), "links")
     scratch.drop(pairs, keys, worded)
     wanted.destroy()
@@ -861,12 +863,12 @@ def line_groups(lines: DataFrame, similarity: float, radius: int | None, block:
     links = _links(stars, *options)
     parts = scratch.keep(connected_components(links, scratch), "parts")
     left = shared.filter("open")
-    placed = scratch.keep(left.join(parts, F.col("key") == F.col("node"), "left").select(
+    placed = scratch.keep(left.join(growing(parts), F.col("key") == F.col("node"), "left").select(
         "run", "size", F.coalesce("component", "key").alias("c"), *held), "placed")
     scratch.drop(shared, links)
     parted = placed.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     parted = parted.filter("low <> high").select("run")
-    dealt = block_pairs(placed.join(parted, "run"), "size", "key", block)
+    dealt = block_pairs(placed.join(growing(parted), "run"), "size", "key", block)
     dealt = (dealt.select("run", "i", "j", "c", *held)
              .repartition("run", "i", "j").sortWithinPartitions("run", "i", "j"))
     more = _links(dealt.mapInArrow(_across(similarity), "a long, b long"), *options)
@@ -903,11 +905,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = F.col("node").isNull()
     root = F.struct(F.coalesce("component", "key").alias("a"),
                     F.when(alone, F.col("key2")).otherwise(0).alias("b"))
-    rooted = scratch.keep(by_key.join(groups, F.col("key") == F.col("node"), "left").select(
-        "key", "key2", "first", "n", root.alias("root")), "rooted")
+    found = by_key.join(growing(groups), F.col("key") == F.col("node"), "left")
+    rooted = scratch.keep(found.select("key", "key2", "first", "n", root.alias("root")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    told = rooted.join(kept.filter(F.col("all") > 1), "root").select("key", "key2", "kept")
-    return (spots.join(told, ["key", "key2"]).filter(~place.eqNullSafe(F.col("kept")))
+    told = rooted.join(growing(kept.filter(F.col("all") > 1)), "root").select("key", "key2", "kept")
+    return (spots.join(growing(told), ["key", "key2"]).filter(~place.eqNullSafe(F.col("kept")))
             .select("id", "th", "line"))
 
 

@@ -222,3 +222,24 @@ def test_whole_lines_with_extra_columns(frame):
     kept = L.drop_lines(docs, **L.WHOLE)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1]
+
+
+def test_no_table_of_lines_is_broadcast(spark, frame, monkeypatch):
+    """Stored keys and links compress to less than they hold; small here, all would be broadcast."""
+    from quarry.llm.shared import Scratch
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name)
+    monkeypatch.setattr(Scratch, "keep", kept)
+    words = [f"w{i}" for i in range(12)]
+    lines = [" ".join(words), " ".join([*words[:11], "x"]), " ".join(["y", *words[1:]]), "else"]
+    gone = L.repeated_lines(frame([(1, "\n".join(lines)), (2, lines[0])],
+                                  "doc_id long, text string"), **L.WHOLE)
+    plans.append(gone._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, gone.select("id", "line").collect())) == [(1, 1), (1, 2), (2, 0)]
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 5
+    for plan in joined:
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
