@@ -1,6 +1,7 @@
 """Exact kNN by pivot cells against plain distances of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,57 @@ def test_bounds_exclude_far_cells_and_rows_stay(spark):
     assert found(index.search(asked, 5)) == truth(X, X[:200], 5)
     # a search whose queries go everywhere copies no row either
     assert PivotIndex.build(rows, 1).work(asked, 5)["row_copies"] == 1.0
+
+
+def test_queries_are_copied_per_unit_where_bounds_exclude_little(spark):
+    rng = np.random.default_rng(6)
+    X = rng.normal(0, 1, (3000, 32))                 # random: nearly every cell is open
+    rows, asked = tables(spark, X, X[:40])
+    index = PivotIndex.build(rows, 64)
+    work = index.work(asked, 5)
+    assert len(index.cells) > 40 and work["pairs"] > 0.5 and work["query_copies"] < 6
+    assert found(index.search(asked, 5)) == truth(X, X[:40], 5)
+
+
+def test_probes_come_in_small_batches():
+    from quarry.operators import pivots as P
+    rng = np.random.default_rng(7)
+    pivots = rng.normal(0, 1, (500, 4))
+    cells = P.Cells(pivots, {c: (1000, 0.0, 9.0, 1) for c in range(500)}, 10_000)
+    n = 5000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(list(rng.normal(0, 1, (n, 4)))),
+         pa.array(np.full(n, np.nan)), pa.array(np.zeros(n), pa.int32()),
+         pa.array(np.zeros(n), pa.int32())], names=["query_id", "q", "tau", "unit", "cell"])
+    sizes = [b.num_rows for b in P._other_probes(cells)(iter([batch]))]
+    assert sum(sizes) == n * cells.units and max(sizes) <= P.SENT * cells.units
+    assert 500 * 1000 / 10_000 <= cells.units < 120
+
+
+def test_bundles_hold_every_cell_once():
+    from quarry.operators.pivots import bundles
+    rng = np.random.default_rng(8)
+    size = {c: int(n) for c, n in enumerate(rng.integers(1, 90, 60))} | {-1: 7, 60: 400}
+    held = bundles(rng.normal(0, 1, (61, 3)), size, 100)
+    assert sorted(c for some in held for c in some) == sorted(size)
+    assert [-1] in held and [60] in held
+    assert all(len(some) == 1 or sum(size[c] for c in some) <= 100 for some in held)
+    assert bundles(np.zeros((0, 0)), {}, 100) == []
+
+
+def test_a_bound_leaves_out_only_what_is_beyond_it():
+    rng = np.random.default_rng(9)
+    X = np.concatenate((rng.normal(0, 1, (500, 6)), np.zeros((3, 6)), 1e6 * np.ones((1, 6))))
+    Q = np.concatenate((X[:60], np.zeros((2, 6)), 1e3 * rng.normal(0, 1, (20, 6))))
+    block = K.Block(X, np.arange(len(X)), 7, "euclidean")
+    pairs = np.indices((len(Q), len(X))).reshape(2, -1)
+    every = K.exact_distances(Q, X, *pairs, "euclidean").reshape(len(Q), len(X))
+    for bound in (np.sort(every, axis=1)[:, 6], np.sort(every, axis=1)[:, 2], np.full(82, np.nan),
+                  np.zeros(82), np.full(82, np.inf)):
+        q, i, d = block.topk(Q, bound)
+        ok = ~(d > bound[q])
+        got = [list(zip(i[ok & (q == x)], d[ok & (q == x)])) for x in range(len(Q))]
+        for x, row in enumerate(every):
+            best = sorted(zip(row, range(len(X))))[:7]
+            assert [(j, e) for e, j in best if not e > bound[x]] == [
+                (j, row[j]) for j, _ in got[x]]
